@@ -28,7 +28,6 @@ if str(ROOT) not in sys.path:
 
 import snapledger as sl  # noqa: E402
 from snapledger.operators import diff  # noqa: E402
-from snapledger.plans.volumes import current_rows  # noqa: E402
 from snapledger.sources.store import new_folder  # noqa: E402
 
 # Prefix length of the partial mode here: shorter than most texts, so that the
@@ -302,21 +301,20 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sl.latest_runs(_history(spark, sf_dir))
+    return sl.latest_runs(sl.ranked_runs(_history(spark, sf_dir)))
 
 
 def history_latest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sl.volume_changes(_history(spark, sf_dir))
+    return sl.Volumes(_history(spark, sf_dir)).changes()
 
 
 def history_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates inside the latest run of each volume."""
-    return sl.duplicates_by_mode(current_rows(_history(spark, sf_dir)), sl.FULL, within=["volume"])
+    return sl.Volumes(_history(spark, sf_dir)).duplicates()
 
 
 def volume_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _history(spark, sf_dir)
-    return sl.run_summary(rows, sl.volume_changes(rows))
+    return sl.Volumes(_history(spark, sf_dir)).summary()
 
 
 def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,9 +348,9 @@ def _as_tree(rows: DataFrame, label: str) -> str:
                     out.write(content)
         yield pa.RecordBatch.from_pydict({"done": pa.array([True])})
 
-    rows.select("path", F.col("content").cast("binary")).mapInArrow(write, "done boolean").write.format("noop").mode(
-        "overwrite"
-    ).save()
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    files = rows.select("path", F.col("content").cast("binary")).repartition(tasks, "path")
+    files.mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
     return root
 
 

@@ -15,8 +15,8 @@ from .operators.metrics import bytes_avoided, observe_counters, scan_counters, t
 from .operators.snapshot import concat, fingerprint_levels, snapshot
 from .plans.analysis import reports, run
 from .plans.staged import duplicate_files
-from .plans.volumes import run_summary, run_volumes, volume_changes
-from .sources.history import add_run, add_runs, latest_runs, read_history
+from .plans.volumes import Volumes, run_volumes
+from .sources.history import add_run, add_runs, latest_runs, ranked_runs, read_history
 from .sources.store import read_snapshot, stored, write_bucketed, write_snapshot
 from .sources.tree import scan_tree
 from .sources.tsv import read_tsv, write_tsv

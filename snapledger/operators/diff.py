@@ -1,12 +1,17 @@
 """What changed between two snapshots, by path.
 
 Paths are compared null-safely by default. ``null_keys=False`` states that no
-path is null and compares with plain equality; snapshots bucketed by path
-(``sources.store.write_bucketed``) then join without any shuffle.
+path is null; snapshots bucketed by path (``sources.store.write_bucketed``)
+then join without any shuffle.
 
-A path must be unique on each side. The check is part of the plan: a scalar
-subquery over pre-aggregated keys, which fails the query when a key repeats.
-``validate=False`` skips it for snapshots already known to be unique.
+A path must be unique on each side, and the query fails where it is not. The
+check costs no shuffle of its own: each side is first grouped by path, which
+collapses even a very frequent path map-side, and the join reuses the
+partitioning and order of the groups. ``validate=False`` skips the grouping,
+for snapshots already known to be unique.
+
+Compare stored snapshots: on a snapshot still to be computed, even the test
+whether a path has a hash computes that hash.
 """
 
 from __future__ import annotations
@@ -17,41 +22,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import HASH, PATH, SIZE, require_same_tag
-from .skew import key_counts
+from .skew import N_ROWS, key_counts
 
-OLD_HERE, NEW_HERE = "old_here", "new_here"
+# The path as a pair of never-null join keys.
+KEY, KEY_IS_NULL = "key", "key_is_null"
+HERE = "here"
 
 
 def repeated_keys(snapshot: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """Keys held by more than one row, with their counts."""
-    return key_counts(snapshot, [*within, PATH]).where("n_rows > 1")
-
+    """Paths held by more than one row, with their counts."""
+    return key_counts(snapshot, [*within, PATH]).where(F.col(N_ROWS) > 1)
 
-def _checked(side: DataFrame, old: DataFrame, new: DataFrame, within: Sequence[str]) -> DataFrame:
-    n_old, n_new = (repeated_keys(s, within).agg(F.count(F.lit(1))).scalar() for s in (old, new))
-    fail = F.raise_error(F.lit("a path occurs more than once in one snapshot")).cast("boolean")
-    return side.where(F.when(n_old + n_new > 0, fail).otherwise(F.lit(True)))
 
-
-def _sides(
-    old: DataFrame, new: DataFrame, within: Sequence[str], validate: bool
-) -> tuple[DataFrame, DataFrame]:
-    require_same_tag(old, new)
+def _one_per_path(
+    side: DataFrame,
+    name: str,
+    values: dict[str, Column],
+    within: Sequence[str],
+    null_keys: bool,
+    validate: bool,
+) -> DataFrame:
+    """Keys and values of one side, every column named ``<name>_...``."""
+    keys = {c: F.col(c) for c in within} | {KEY: F.col(PATH)}
+    if null_keys:
+        keys |= {KEY: F.coalesce(PATH, F.lit("")), KEY_IS_NULL: F.col(PATH).isNull()}
+    rows = side.select(*(c.alias(f"{name}_{k}") for k, c in (keys | values).items()))
     if not validate:
-        return old, new
-    return _checked(old, old, new, within), _checked(new, old, new, within)
+        return rows
+    key, n = F.col(f"{name}_{KEY}"), F.col(N_ROWS)
+    message = F.concat(F.lit("a path occurs more than once in one snapshot: "), key)
+    # With one row per path, the maximum of a value is the value.
+    return (
+        rows.groupBy(*(f"{name}_{k}" for k in keys))
+        .agg(F.count(F.lit(1)).alias(N_ROWS), *(F.max(f"{name}_{v}").alias(f"{name}_{v}") for v in values))
+        .where(F.when(n == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+        .drop(N_ROWS)
+    )
 
 
-def _prefixed(side: DataFrame, name: str, columns: Sequence[str], *extra: Column) -> DataFrame:
-    return side.select(*(F.col(c).alias(f"{name}_{c}") for c in dict.fromkeys(columns)), *extra)
+def _same_path(within: Sequence[str], null_keys: bool) -> Column:
+    same = F.col(f"old_{KEY}") == F.col(f"new_{KEY}")
+    for k in [*([KEY_IS_NULL] if null_keys else []), *within]:
+        same = same & (F.col(f"old_{k}") == F.col(f"new_{k}"))
+    return same
 
 
-def _same_key(within: Sequence[str], null_keys: bool) -> Column:
-    old, new = F.col(f"old_{PATH}"), F.col(f"new_{PATH}")
-    same = old.eqNullSafe(new) if null_keys else old == new
-    for c in within:
-        same = same & (F.col(f"old_{c}") == F.col(f"new_{c}"))
-    return same
+def _path_of(name: str, null_keys: bool) -> Column:
+    key = F.col(f"{name}_{KEY}")
+    return F.when(~F.col(f"{name}_{KEY_IS_NULL}"), key) if null_keys else key
 
 
 def _differs(value: str) -> Column:
@@ -59,6 +77,10 @@ def _differs(value: str) -> Column:
     return ~old.eqNullSafe(new) | old.isNull()
 
 
+def _columns(names: Sequence[str]) -> dict[str, Column]:
+    return {c: F.col(c) for c in names}
+
+
 def removed(
     old: DataFrame,
     new: DataFrame,
@@ -68,12 +90,16 @@ def removed(
     validate: bool = True,
 ) -> DataFrame:
     """Rows of ``old`` whose path has no non-null ``value`` in ``new``."""
-    old, new = _sides(old, new, within, validate)
-    report = [*within, PATH, HASH, SIZE]
-    left = _prefixed(old, "old", report)
-    right = _prefixed(new.where(F.col(value).isNotNull()), "new", [*within, PATH])
-    gone = left.join(right, _same_key(within, null_keys), "left_anti")
-    return gone.select(*(F.col(f"old_{c}").alias(c) for c in report))
+    require_same_tag(old, new)
+    left = _one_per_path(old, "old", _columns([HASH, SIZE]), within, null_keys, validate)
+    has_value = {HERE: F.col(value).isNotNull()}
+    right = _one_per_path(new, "new", has_value, within, null_keys, validate).where(F.col(f"new_{HERE}"))
+    gone = left.join(right, _same_path(within, null_keys), "left_anti")
+    return gone.select(
+        *(F.col(f"old_{c}").alias(c) for c in within),
+        _path_of("old", null_keys).alias(PATH),
+        *(F.col(f"old_{c}").alias(c) for c in (HASH, SIZE)),
+    )
 
 
 def added(
@@ -100,12 +126,13 @@ def modified(
 
     ``value`` is the hash, or ``file_size_bytes`` for size-only snapshots.
     """
-    old, new = _sides(old, new, within, validate)
-    needed = [*within, PATH, value]
-    both = _prefixed(old, "old", needed).join(
-        _prefixed(new, "new", needed), _same_key(within, null_keys) & _differs(value), "inner"
+    require_same_tag(old, new)
+    left = _one_per_path(old, "old", _columns([value]), within, null_keys, validate)
+    right = _one_per_path(new, "new", _columns([value]), within, null_keys, validate)
+    both = left.join(right, _same_path(within, null_keys) & _differs(value), "inner")
+    return both.select(
+        *(F.col(f"old_{c}").alias(c) for c in within), _path_of("old", null_keys).alias(PATH)
     )
-    return both.select(*(F.col(f"old_{c}").alias(c) for c in [*within, PATH]))
 
 
 def diff_flags(
@@ -124,14 +151,15 @@ def diff_flags(
     hence three flags and not one label. ``details`` keeps hash and size of
     both sides, from which ``reports_from_flags`` cuts the separate reports.
     """
-    old, new = _sides(old, new, within, validate)
-    needed = [*within, PATH, value] + ([HASH, SIZE] if details else [])
-    joined = _prefixed(old, "old", needed, F.lit(True).alias(OLD_HERE)).join(
-        _prefixed(new, "new", needed, F.lit(True).alias(NEW_HERE)), _same_key(within, null_keys), "full_outer"
+    require_same_tag(old, new)
+    kept = _columns([value, *((HASH, SIZE) if details else ())]) | {HERE: F.lit(True)}
+    joined = _one_per_path(old, "old", kept, within, null_keys, validate).join(
+        _one_per_path(new, "new", kept, within, null_keys, validate), _same_path(within, null_keys), "full_outer"
     )
-    was, now = F.col(OLD_HERE).isNotNull(), F.col(NEW_HERE).isNotNull()
+    was, now = F.col(f"old_{HERE}").isNotNull(), F.col(f"new_{HERE}").isNotNull()
     flags = joined.select(
-        *(F.coalesce(F.col(f"old_{c}"), F.col(f"new_{c}")).alias(c) for c in [*within, PATH]),
+        *(F.coalesce(F.col(f"old_{c}"), F.col(f"new_{c}")).alias(c) for c in within),
+        F.coalesce(_path_of("old", null_keys), _path_of("new", null_keys)).alias(PATH),
         (was & F.col(f"new_{value}").isNull()).alias("removed"),
         (now & F.col(f"old_{value}").isNull()).alias("added"),
         (was & now & _differs(value)).alias("modified"),

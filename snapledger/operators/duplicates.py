@@ -16,7 +16,9 @@ from .skew import N_ROWS, is_hot, key_counts
 
 
 def _with_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.dropna(subset=list(keys))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    return rows
 
 
 def value_counts(rows: DataFrame, field: str = HASH, within: Sequence[str] = ()) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 
@@ -30,18 +28,6 @@ def _distinct(rules: Iterable[str], refuse: set[str]) -> list[str]:
     return found
 
 
-def excluded(
-    key: Column | str,
-    suffixes: Iterable[str] | None = None,
-    paths: Iterable[str] | None = None,
-    boundary: bool = False,
-) -> Column | None:
-    """Predicate for rows that some rule drops, or None when there are no rules."""
-    tests = [dir_starts_with(key, p, boundary) for p in path_rules(paths)]
-    tests += [name_ends_with(key, s) for s in suffix_rules(suffixes)]
-    return reduce(or_, tests) if tests else None
-
-
 def exclude(
     rows: DataFrame,
     suffixes: Iterable[str] | None = None,
@@ -52,8 +38,13 @@ def exclude(
     """Keep the rows no rule drops.
 
     Apply it before fingerprinting: the filter then runs below the digest, so
-    excluded content is never hashed. On a stored key column the suffix tests
-    reach the Parquet scan.
+    excluded content is never hashed. Each rule is a filter of its own; on a
+    stored key column, suffix rules and ``boundary`` rules reach the Parquet
+    scan that way.
     """
-    dropped = excluded(key, suffixes, paths, boundary)
-    return rows if dropped is None else rows.where(~dropped | as_column(key).isNull())
+    key = as_column(key)
+    drops = [dir_starts_with(key, p, boundary) for p in path_rules(paths)]
+    drops += [name_ends_with(key, s) for s in suffix_rules(suffixes)]
+    for drop in drops:
+        rows = rows.where(~drop | key.isNull())
+    return rows

@@ -2,65 +2,87 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import FULL, PATH
+from ..functions.fingerprint import FULL
 from ..operators.diff import diff_flags, reports_from_flags
 from ..operators.duplicates import duplicate_summary, duplicates_by_mode
-from ..sources.history import BASELINE, RUN, VOLUME, current_and_baseline, latest_runs, read_history
+from ..sources.history import (
+    BASELINE,
+    RUN,
+    VOLUME,
+    current_and_baseline,
+    latest_runs,
+    ranked_runs,
+    read_history,
+    rows_of_runs,
+)
 from ..sources.store import stored, write_snapshot
-from .analysis import compared_column
+from .analysis import COMPARISONS, compared_column
 
 
-def volume_changes(history: DataFrame, mode: str = FULL, as_of: str | None = None, details: bool = False) -> DataFrame:
-    """Changed paths of every volume that has a baseline, flagged."""
-    current, baseline = current_and_baseline(history, latest_runs(history, as_of))
-    return diff_flags(
-        baseline, current, compared_column(mode), within=[VOLUME], changed_only=True, details=details
-    )
+@dataclass
+class Volumes:
+    """A history, and which of its runs are compared (resolved once and stored)."""
 
+    history: DataFrame
+    mode: str = FULL
+    as_of: str | None = None
 
-def current_rows(history: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Rows of every volume's latest run, baseline or not."""
-    latest = latest_runs(history, as_of).select(VOLUME, RUN)
-    return history.join(latest, [VOLUME, RUN], "left_semi").drop(RUN)
+    def __post_init__(self) -> None:
+        self.runs = latest_runs(stored(ranked_runs(self.history, self.as_of), "runs"))
 
+    def current(self) -> DataFrame:
+        """Rows of every volume's latest run, baseline or not."""
+        return rows_of_runs(self.history, self.runs)
 
-def run_summary(
-    history: DataFrame, changes: DataFrame, mode: str = FULL, as_of: str | None = None
-) -> DataFrame:
-    """One row per volume: its runs, and how much each report holds.
+    def changes(self, details: bool = False) -> DataFrame:
+        """Changed paths of every volume that has a baseline, flagged."""
+        current, baseline = current_and_baseline(self.history, self.runs)
+        return diff_flags(
+            baseline, current, compared_column(self.mode), within=[VOLUME], changed_only=True, details=details
+        )
 
-    A volume without a baseline is listed with null change counts.
-    """
-    runs, rows = latest_runs(history, as_of), current_rows(history, as_of)
-    counted = changes.groupBy(VOLUME).agg(*(F.count_if(F.col(c)).alias(c) for c in ("removed", "added", "modified")))
-    repeated = duplicate_summary(rows, compared_column(mode), [VOLUME])
-    files = rows.groupBy(VOLUME).agg(F.count(F.lit(1)).alias("files"))
-    none = F.lit(0).cast("long")
-    compared = F.col(BASELINE).isNotNull()
-    return (
-        runs.join(files, VOLUME, "left")
-        .join(repeated, VOLUME, "left")
-        .join(counted, VOLUME, "left")
-        .select(
-            VOLUME,
-            RUN,
-            BASELINE,
-            "files",
-            *(F.coalesce(F.col(c), none).alias(c) for c in ("duplicate_rows", "duplicate_groups")),
-            *(F.when(compared, F.coalesce(F.col(c), none)).alias(c) for c in ("removed", "added", "modified")),
+    def duplicates(self) -> DataFrame:
+        """Duplicates inside the latest run of each volume."""
+        return duplicates_by_mode(self.current(), self.mode, [VOLUME])
+
+    def summary(self, changes: DataFrame | None = None) -> DataFrame:
+        """One row per volume: its runs, and how much each report holds.
+
+        A volume without a baseline is listed with null change counts.
+        """
+        changes = self.changes() if changes is None else changes
+        rows = self.current()
+        files = rows.groupBy(VOLUME).agg(F.count(F.lit(1)).alias("files"))
+        repeated = duplicate_summary(rows, compared_column(self.mode), [VOLUME])
+        counted = changes.groupBy(VOLUME).agg(*(F.count_if(F.col(c)).alias(c) for c in COMPARISONS))
+        none, compared = F.lit(0).cast("long"), F.col(BASELINE).isNotNull()
+        return (
+            self.runs.join(files, VOLUME, "left")
+            .join(repeated, VOLUME, "left")
+            .join(counted, VOLUME, "left")
+            .select(
+                VOLUME,
+                RUN,
+                BASELINE,
+                "files",
+                *(F.coalesce(F.col(c), none).alias(c) for c in ("duplicate_rows", "duplicate_groups")),
+                *(F.when(compared, F.coalesce(F.col(c), none)).alias(c) for c in COMPARISONS),
+            )
         )
-    )
 
 
-def run_volumes(spark: SparkSession, history_path: str, out: str, mode: str = FULL, as_of: str | None = None) -> DataFrame:
+def run_volumes(
+    spark: SparkSession, history_path: str, out: str, mode: str = FULL, as_of: str | None = None
+) -> DataFrame:
     """Write every report of every volume under ``out``, partitioned by volume; returns the summary."""
-    history = read_history(spark, history_path)
-    changes = stored(volume_changes(history, mode, as_of, details=True), "volume-changes")
-    tables = reports_from_flags(changes, [VOLUME])
-    tables["duplicates"] = duplicates_by_mode(current_rows(history, as_of), mode, [VOLUME])
+    volumes = Volumes(read_history(spark, history_path), mode, as_of)
+    changes = stored(volumes.changes(details=True), "volume-changes")
+    tables = reports_from_flags(changes, [VOLUME]) | {"duplicates": volumes.duplicates()}
     for name, df in tables.items():
         write_snapshot(df, f"{out.rstrip('/')}/{name}", [VOLUME])
-    return run_summary(history, changes, mode, as_of)
+    return volumes.summary(changes)

@@ -48,8 +48,8 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def latest_runs(history: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Latest run per volume (up to ``as_of``) and the one before it, null when there is none.
+def ranked_runs(history: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Runs per volume (up to ``as_of``), the latest first, each with the one before it.
 
     Run names start with their date, so their order is chronological. The
     window sees one row per stored run, not per file.
@@ -58,23 +58,32 @@ def latest_runs(history: DataFrame, as_of: str | None = None) -> DataFrame:
     if as_of is not None:
         runs = runs.where(F.col(RUN) <= as_of)
     by_run = W.partitionBy(VOLUME).orderBy(F.desc(RUN))
-    return (
-        runs.select(
-            VOLUME, RUN, F.lead(RUN).over(by_run).alias(BASELINE), F.row_number().over(by_run).alias("nth")
-        )
-        .where("nth = 1")
-        .drop("nth")
+    return runs.select(
+        VOLUME, RUN, F.lead(RUN).over(by_run).alias(BASELINE), F.row_number().over(by_run).alias("nth")
     )
 
 
+def latest_runs(ranked: DataFrame) -> DataFrame:
+    """Latest run of every volume and its baseline, null when there is none."""
+    return ranked.where("nth = 1").drop("nth")
+
+
+def rows_of_runs(history: DataFrame, runs: DataFrame) -> DataFrame:
+    """History rows of the given ``(volume, run_id)`` pairs, without their run.
+
+    The pairs are broadcast: there is at most one per partition folder, and the
+    driver lists those folders whenever it plans a read. A join on partition
+    columns prunes them, so only the files of these runs are opened, and no
+    row shuffles by its volume.
+    """
+    return history.join(F.broadcast(runs.select(VOLUME, RUN)), [VOLUME, RUN], "left_semi").drop(RUN)
+
+
 def current_and_baseline(history: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of each volume's latest run, and of its baseline.
 
     Volumes without a baseline are in neither: they have nothing to compare.
-    Both joins are on partition columns, so only those partitions are read.
     """
     paired = runs.where(F.col(BASELINE).isNotNull())
-    current = history.join(paired.select(VOLUME, RUN), [VOLUME, RUN], "left_semi").drop(RUN)
     earlier = paired.select(VOLUME, F.col(BASELINE).alias(RUN))
-    baseline = history.join(earlier, [VOLUME, RUN], "left_semi").drop(RUN)
-    return current, baseline
+    return rows_of_runs(history, paired), rows_of_runs(history, earlier)
