@@ -38,9 +38,7 @@ def exclude(
     """Keep the rows no rule drops.
 
     Apply it before fingerprinting: the filter then runs below the digest, so
-    excluded content is never hashed. Each rule is a filter of its own; on a
-    stored key column, suffix rules and ``boundary`` rules reach the Parquet
-    scan that way.
+    excluded content is never hashed. Rows without a key are kept.
     """
     key = as_column(key)
     drops = [dir_starts_with(key, p, boundary) for p in path_rules(paths)]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import HASH, NOT_COMPUTED, PATH, SIZE
-from .skew import MAX_HOT_KEYS, N_ROWS, all_equal, key_counts, total_rows
+from . import skew
+from .skew import N_ROWS, all_equal, key_counts
 
 LIST_ROWS = 100_000
 LEVELS = (SIZE, "partial_hash", "fully_hashed", "full_hash")
@@ -26,7 +27,7 @@ def group_paths(snapshot: DataFrame, keys: Sequence[str] = (HASH,), list_rows: i
     """
     keys = list(keys)
     counts = key_counts(snapshot, keys)
-    most = F.greatest(F.lit(list_rows).cast("double"), total_rows(counts) / MAX_HOT_KEYS)
+    most = F.greatest(F.lit(list_rows).cast("double"), skew.total_rows(counts) / skew.MAX_HOT_KEYS)
     large = F.broadcast(
         counts.where(F.col(N_ROWS) > most).select(
             *(F.col(k).alias(f"large_{k}") for k in keys),
