@@ -100,7 +100,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored_documents(spark: SparkSession, sf_dir: str, mode: str = sl.FULL) -> DataFrame:
-    return sl.stored(_snap(_documents(spark, sf_dir), mode))
+    return sl.stored(_snap(_documents(spark, sf_dir), mode), compact=True)
 
 
 # --- snapshots and exclusion ----------------------------------------------------
@@ -170,7 +170,7 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicates_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sl.duplicates(sl.stored(_snap(_order_lines(spark, sf_dir))))
+    return sl.duplicates(sl.stored(_snap(_order_lines(spark, sf_dir)), compact=True))
 
 
 def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def _order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicates_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sl.duplicates(sl.stored(_snap(_order_records(spark, sf_dir))))
+    return sl.duplicates(sl.stored(_snap(_order_records(spark, sf_dir)), compact=True))
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,11 +203,11 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(sl.nested_groups(sl.stored(fingerprint_levels(spark, sf_dir))))
+    return _listed(sl.nested_groups(sl.stored(fingerprint_levels(spark, sf_dir), compact=True)))
 
 
 def flatten_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sl.flatten_groups(sl.nested_groups(sl.stored(fingerprint_levels(spark, sf_dir))))
+    return sl.flatten_groups(sl.nested_groups(sl.stored(fingerprint_levels(spark, sf_dir), compact=True)))
 
 
 # --- comparison -------------------------------------------------------------------
@@ -244,7 +244,7 @@ def diff_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All comparison reports of one run, stacked."""
-    old, new = (sl.stored(s) for s in _both(spark, sf_dir))
+    old, new = (sl.stored(s, compact=True) for s in _both(spark, sf_dir))
     cut = sl.reports(new, old, wanted=("removed", "added", "modified"))
     stacked = [df.select(F.lit(name).alias("report"), sl.PATH) for name, df in cut.items()]
     return stacked[0].unionByName(stacked[1]).unionByName(stacked[2])
@@ -255,7 +255,7 @@ def concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sl.path_collisions(_merged(spark, sf_dir))
+    return sl.path_collisions(sl.stored(_merged(spark, sf_dir), compact=True))
 
 
 def repeated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

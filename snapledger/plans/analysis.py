@@ -65,7 +65,7 @@ def run(
     ``write_current=False`` is for a snapshot read from a single file, which
     need not be written again.
     """
-    current = stored(current, "snapshot")
+    current = stored(current, "snapshot", compact=True)
     tables = {"hashes": current} if write_current else {}
     tables |= reports(current, baseline, mode, wanted)
     written = {name: f"{out.rstrip('/')}/{name}{suffix}" for name in tables}

@@ -48,16 +48,20 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+def stored(df: DataFrame, label: str = "stored", compact: bool = False) -> DataFrame:
     """Write a result once and go on from the copy.
 
     Analyses that read a snapshot several times then never fingerprint content
     again, and a lost executor costs a re-read rather than a re-computation.
-    The folder stays until its owner removes it.
+    ``compact`` writes files of even size, for a snapshot computed by the many
+    small tasks of a content scan. The folder stays until its owner removes it.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    if compact:
+        write_snapshot(df, path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
