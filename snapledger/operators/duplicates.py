@@ -38,13 +38,12 @@ def rows_sharing(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     keys, wanted = list(keys), list(dict.fromkeys([*keys, *columns]))
     rows = _with_keys(rows.select(*wanted), keys)
     counts = key_counts(rows, keys)
-    repeated = F.col(N_ROWS) > 1
-    hot_all = F.broadcast(counts.where(is_hot(counts)).select(*keys))
-    hot = F.broadcast(counts.where(repeated & is_hot(counts)).select(*keys))
-    rest = counts.where(repeated & ~is_hot(counts)).select(*keys)
-    spread = rows.join(hot, keys, "left_semi")
-    shuffled = rows.join(hot_all, keys, "left_anti").join(rest, keys, "left_semi")
-    return spread.select(*columns).unionByName(shuffled.select(*columns))
+    repeated, hot = F.col(N_ROWS) > 1, is_hot(counts)
+    hot_keys = F.broadcast(counts.where(repeated & hot).select(*keys))
+    other_keys = counts.where(repeated & ~hot).select(*keys)
+    unmoved = rows.join(hot_keys, keys, "left_semi")
+    shuffled = rows.join(hot_keys, keys, "left_anti").join(other_keys, keys, "left_semi")
+    return unmoved.select(*columns).unionByName(shuffled.select(*columns))
 
 
 def duplicates(
