@@ -280,7 +280,7 @@ def tsv_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sl.read_tsv(spark, folders, sl.FULL)
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history(spark: SparkSession, sf_dir: str) -> sl.History:
     """Documents over three runs, conversations over two, pages in one run only."""
     table = _table(spark, sf_dir, "documents")
     edited = table.select(_doc_path().alias("path"), _edited().alias("content"))
@@ -390,7 +390,7 @@ def tree_partial_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ship(spark)
     scan = sl.scan_tree(spark, _as_tree(_documents(spark, sf_dir), "tree"), mode=sl.PARTIAL, prefix_bytes=PREFIX)
-    return scan.counters
+    return scan.counters.drop("volume")
 
 
 def tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

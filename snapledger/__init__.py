@@ -13,10 +13,10 @@ from .operators.exclude import exclude
 from .operators.groups import flatten_groups, group_paths, nested_groups
 from .operators.metrics import bytes_avoided, observe_counters, scan_counters, throughput
 from .operators.snapshot import concat, fingerprint_levels, snapshot
-from .plans.analysis import reports, run
+from .plans.analysis import reports, run, run_files
 from .plans.staged import duplicate_files
-from .plans.volumes import Volumes, run_volumes
-from .sources.history import add_run, add_runs, latest_runs, ranked_runs, read_history
+from .plans.volumes import Volumes, run_volumes, scan_volumes
+from .sources.history import History, add_run, add_runs, latest_runs, ranked_runs, read_history
 from .sources.store import read_snapshot, stored, write_bucketed, write_snapshot
-from .sources.tree import scan_tree
+from .sources.tree import scan_tree, scan_trees
 from .sources.tsv import read_tsv, write_tsv

@@ -5,13 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.fingerprint import FULL, HASH, SIZE, SIZE_ONLY, check_mode
+from ..functions.fingerprint import FULL, HASH, PATH, SIZE, SIZE_ONLY, check_mode
 from ..operators.diff import diff_flags, reports_from_flags
-from ..operators.duplicates import duplicates_by_mode
+from ..operators.duplicates import duplicate_summary, duplicates_by_mode
 from ..sources.store import stored
-from ..sources.tsv import write_tsv
+from ..sources.tsv import read_tsv, write_tsv
 
 log = logging.getLogger(__name__)
 
@@ -72,3 +72,25 @@ def run(
     for name, df in tables.items():
         write(df, written[name], mode)
     return written
+
+
+def run_files(
+    spark: SparkSession,
+    inputs: list[str],
+    out: str,
+    baseline: str | None = None,
+    mode: str = FULL,
+    wanted: Iterable[str] = REPORTS,
+    suffix: str = ".tsv.gz",
+) -> dict[str, str]:
+    """The same for snapshots stored as text: concatenate the inputs and report on them.
+
+    Paths that collide between inputs are worth a warning; a comparison will
+    then refuse them. A single input is not written again.
+    """
+    current = stored(read_tsv(spark, inputs, mode), "inputs", compact=True)
+    colliding = duplicate_summary(current, PATH).first()["duplicate_rows"]
+    if colliding:
+        log.warning("the inputs hold %d rows with colliding paths", colliding)
+    earlier = read_tsv(spark, baseline, mode) if baseline else None
+    return run(current, out, earlier, mode, wanted, suffix, write_current=len(inputs) > 1)

@@ -14,34 +14,29 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprint import FULL, HASH, PARTIAL, PATH, PREFIX_BYTES, SHA256, SIZE, fully_hashed
 from ..operators.duplicates import duplicates, rows_sharing
+from ..sources.history import VOLUME
 from ..sources.store import stored
-from ..sources.tree import FILE, hash_files, list_tree
+from ..sources.tree import FILE, hash_files, list_trees
 
 
 def duplicate_files(
     spark: SparkSession,
     root: str,
     prefix_bytes: int = PREFIX_BYTES,
-    base: str | None = None,
     exclude_suffixes: Iterable[str] | None = None,
     exclude_paths: Iterable[str] | None = None,
     boundary: bool = False,
     algo: str = SHA256,
 ) -> DataFrame:
-    listing = list_tree(spark, root, base, exclude_suffixes, exclude_paths, boundary)
-    files = listing.where(F.col("kind") == FILE).select("location", PATH, SIZE)
+    listing = list_trees(spark, {root: root}, None, exclude_suffixes, exclude_paths, boundary)
+    files = listing.where(F.col("kind") == FILE)
 
-    same_size = stored(rows_sharing(files, [SIZE], ["location", PATH, SIZE]), "same-size")
-    prefixes = stored(
-        hash_files(same_size, root, PARTIAL, prefix_bytes, algo).where("error is null").select(PATH, HASH, SIZE),
-        "prefixes",
-    )
-    same_prefix = stored(duplicates(prefixes, HASH, with_size=True), "same-prefix")
+    def hashed(some: DataFrame, mode: str) -> DataFrame:
+        read = hash_files(some, mode, prefix_bytes, algo)
+        return stored(read.where("error is null").select(PATH, HASH, SIZE), mode)
 
+    same_size = stored(rows_sharing(files, [SIZE], [VOLUME, "root", "location", PATH, SIZE]), "same-size")
+    same_prefix = stored(duplicates(hashed(same_size, PARTIAL), HASH, with_size=True), "same-prefix")
     covered = fully_hashed(SIZE, prefix_bytes)
-    longer = same_size.join(same_prefix.where(~covered).select(PATH), PATH, "left_semi")
-    full = stored(
-        hash_files(stored(longer, "longer"), root, FULL, prefix_bytes, algo).where("error is null").select(PATH, HASH, SIZE),
-        "full",
-    )
-    return same_prefix.where(covered).select(HASH, PATH, SIZE).unionByName(duplicates(full, HASH))
+    longer = stored(same_size.join(same_prefix.where(~covered).select(PATH), PATH, "left_semi"), "longer")
+    return same_prefix.where(covered).select(HASH, PATH, SIZE).unionByName(duplicates(hashed(longer, FULL), HASH))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,17 @@ from ..sources.history import (
     BASELINE,
     RUN,
     VOLUME,
+    History,
+    add_runs,
     current_and_baseline,
     latest_runs,
+    pairs,
     ranked_runs,
     read_history,
     rows_of_runs,
 )
 from ..sources.store import stored, write_snapshot
+from ..sources.tree import TreeScan, scan_trees
 from .analysis import COMPARISONS, compared_column
 
 
@@ -28,7 +33,7 @@ from .analysis import COMPARISONS, compared_column
 class Volumes:
     """A history, and which of its runs are compared (resolved once and stored)."""
 
-    history: DataFrame
+    history: History
     mode: str = FULL
     as_of: str | None = None
 
@@ -69,8 +74,7 @@ class Volumes:
                 VOLUME,
                 RUN,
                 BASELINE,
-                "files",
-                *(F.coalesce(F.col(c), none).alias(c) for c in ("duplicate_rows", "duplicate_groups")),
+                *(F.coalesce(F.col(c), none).alias(c) for c in ("files", "duplicate_rows", "duplicate_groups")),
                 *(F.when(compared, F.coalesce(F.col(c), none)).alias(c) for c in COMPARISONS),
             )
         )
@@ -86,3 +90,15 @@ def run_volumes(
     for name, df in tables.items():
         write_snapshot(df, f"{out.rstrip('/')}/{name}", [VOLUME])
     return volumes.summary(changes)
+
+
+def scan_volumes(
+    spark: SparkSession, roots: Mapping[str, str], history_path: str, run_id: str, mode: str = FULL, **options
+) -> TreeScan:
+    """Scan the trees of all volumes together and add them to the history as one run.
+
+    ``options`` are those of ``scan_trees``. ``run_volumes`` then compares.
+    """
+    scan = scan_trees(spark, roots, mode, **options)
+    add_runs(scan.by_volume.withColumn(RUN, F.lit(run_id)), history_path, pairs(spark, list(roots), run_id))
+    return scan

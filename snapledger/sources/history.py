@@ -1,7 +1,13 @@
-"""Snapshot history: one table partitioned by volume and run."""
+"""Snapshot history: a table partitioned by volume and run, and a register of the runs.
+
+The register is written last, and knows runs that found no file at all: a
+volume that was emptied is compared like any other.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,50 +17,69 @@ from ..functions.fingerprint import HASH, PATH, SIZE
 
 VOLUME, RUN, BASELINE = "volume", "run_id", "baseline_run_id"
 
-SCHEMA = T.StructType(
+_RUN_FIELDS = [T.StructField(VOLUME, T.StringType()), T.StructField(RUN, T.StringType())]
+RUNS = T.StructType([T.StructField("stored", T.BooleanType()), *_RUN_FIELDS])
+ROWS = T.StructType(
     [
         T.StructField(PATH, T.StringType()),
         T.StructField(HASH, T.StringType()),
         T.StructField(SIZE, T.LongType()),
-        T.StructField(VOLUME, T.StringType()),
-        T.StructField(RUN, T.StringType()),
+        *_RUN_FIELDS,
     ]
 )
 
 
-def add_runs(rows: DataFrame, path: str) -> None:
-    """Store snapshot rows that carry ``volume`` and ``run_id``.
+class History(NamedTuple):
+    rows: DataFrame
+    runs: DataFrame
 
-    Only the partitions present in ``rows`` are replaced, so repeating a failed
-    run leaves no row twice. Rebalancing by partition keeps files large and
-    splits a volume that holds most rows.
-    """
+
+def _replace_partitions(df: DataFrame, path: str) -> None:
+    """Write only the partitions present in ``df``, so repeating a failed run leaves no row twice."""
     (
-        rows.select(PATH, HASH, SIZE, VOLUME, RUN)
-        .hint("rebalance", F.col(VOLUME), F.col(RUN))
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(VOLUME, RUN)
         .parquet(path)
     )
 
 
+def add_runs(rows: DataFrame, path: str, runs: DataFrame | None = None) -> None:
+    """Store snapshot rows that carry ``volume`` and ``run_id``.
+
+    ``runs`` lists their ``(volume, run_id)`` pairs, and must do so where a run
+    may have no rows. Rebalancing by partition keeps files large and splits a
+    volume that holds most rows.
+    """
+    kept = rows.select(PATH, HASH, SIZE, VOLUME, RUN)
+    _replace_partitions(kept.hint("rebalance", F.col(VOLUME), F.col(RUN)), f"{path}/rows")
+    runs = rows.select(VOLUME, RUN).distinct() if runs is None else runs
+    _replace_partitions(runs.select(F.lit(True).alias("stored"), VOLUME, RUN), f"{path}/runs")
+
+
+def pairs(spark: SparkSession, volumes: list[str], run_id: str) -> DataFrame:
+    """One run of each of the given volumes."""
+    return spark.createDataFrame([(v, run_id) for v in volumes], f"{VOLUME} string, {RUN} string")
+
+
 def add_run(snapshot: DataFrame, path: str, volume: str, run_id: str) -> None:
-    add_runs(snapshot.withColumns({VOLUME: F.lit(volume), RUN: F.lit(run_id)}), path)
+    rows = snapshot.withColumns({VOLUME: F.lit(volume), RUN: F.lit(run_id)})
+    add_runs(rows, path, pairs(snapshot.sparkSession, [volume], run_id))
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
+def read_history(spark: SparkSession, path: str) -> History:
     """The stored history. Volume and run stay text, whatever they look like."""
-    return spark.read.schema(SCHEMA).parquet(path)
+    rows, runs = (spark.read.schema(t).parquet(f"{path}/{n}") for t, n in ((ROWS, "rows"), (RUNS, "runs")))
+    return History(rows, runs.select(VOLUME, RUN))
 
 
-def ranked_runs(history: DataFrame, as_of: str | None = None) -> DataFrame:
+def ranked_runs(history: History, as_of: str | None = None) -> DataFrame:
     """Runs per volume (up to ``as_of``), the latest first, each with the one before it.
 
     Run names start with their date, so their order is chronological. The
     window sees one row per stored run, not per file.
     """
-    runs = history.select(VOLUME, RUN).distinct()
+    runs = history.runs.distinct()
     if as_of is not None:
         runs = runs.where(F.col(RUN) <= as_of)
     by_run = W.partitionBy(VOLUME).orderBy(F.desc(RUN))
@@ -68,18 +93,18 @@ def latest_runs(ranked: DataFrame) -> DataFrame:
     return ranked.where("nth = 1").drop("nth")
 
 
-def rows_of_runs(history: DataFrame, runs: DataFrame) -> DataFrame:
+def rows_of_runs(history: History, runs: DataFrame) -> DataFrame:
     """History rows of the given ``(volume, run_id)`` pairs, without their run.
 
-    The pairs are broadcast: there is at most one per partition folder, and the
-    driver lists those folders whenever it plans a read. A join on partition
-    columns prunes them, so only the files of these runs are opened, and no
-    row shuffles by its volume.
+    The pairs are broadcast: there is at most one per volume, and the driver
+    lists the partition folders of all of them whenever it plans a read. A join on
+    partition columns prunes them, so only the files of these runs are opened,
+    and no row shuffles by its volume.
     """
-    return history.join(F.broadcast(runs.select(VOLUME, RUN)), [VOLUME, RUN], "left_semi").drop(RUN)
+    return history.rows.join(F.broadcast(runs.select(VOLUME, RUN)), [VOLUME, RUN], "left_semi").drop(RUN)
 
 
-def current_and_baseline(history: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def current_and_baseline(history: History, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of each volume's latest run, and of its baseline.
 
     Volumes without a baseline are in neither: they have nothing to compare.

@@ -65,7 +65,7 @@ def stored(df: DataFrame, label: str = "stored", compact: bool = False) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, mode: str = "errorifexists") -> DataFrame:
     """A snapshot table hashed and sorted by path, for repeated comparison.
 
     Two tables of equal bucket count compare without a shuffle, when the
@@ -79,7 +79,7 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> DataFr
         .write.bucketBy(buckets, PATH)
         .sortBy(PATH)
         .option("path", path)
-        .mode("overwrite")
+        .mode(mode)
         .saveAsTable(table)
     )
     return df.sparkSession.table(table)

@@ -15,7 +15,7 @@ import hashlib
 import math
 import os
 import posixpath
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,6 +37,7 @@ from ..functions.fingerprint import (
     hash_tag,
 )
 from ..operators.exclude import path_rules, suffix_rules
+from .history import VOLUME
 from .store import new_folder, stored
 
 FILE, DIRECTORY, LINK, UNREADABLE, VANISHED, OTHER = "file", "directory", "link", "unreadable", "vanished", "other"
@@ -47,13 +48,13 @@ ROWS_PER_BATCH = 4096
 DIRECTORIES_PER_TASK = 64
 BYTES_PER_TASK = 1 << 30
 
-LISTING = f"location string, {PATH} string, kind string, {SIZE} long"
-HASHED = f"{PATH} string, {HASH} string, {SIZE} long, bytes_read long, error string"
+LISTING = f"{VOLUME} string, root string, location string, {PATH} string, kind string, {SIZE} long"
+HASHED = f"{VOLUME} string, {PATH} string, {HASH} string, {SIZE} long, bytes_read long, error string"
 
 
 @dataclass
 class TreeScan:
-    """A finished scan, all of it in stored tables."""
+    """A finished scan of one or more trees, all of it in stored tables."""
 
     listing: DataFrame
     files: DataFrame
@@ -62,89 +63,112 @@ class TreeScan:
     algo: str
 
     @property
-    def snapshot(self) -> DataFrame:
+    def by_volume(self) -> DataFrame:
+        """Snapshot rows with the volume they belong to."""
         tag = hash_tag(self.mode, self.prefix_bytes, self.algo)
-        return self.files.where("error is null").select(PATH, F.col(HASH).alias(HASH, metadata=tag), SIZE)
+        hashed = F.col(HASH).alias(HASH, metadata=tag)
+        return self.files.where("error is null").select(PATH, hashed, SIZE, VOLUME)
+
+    @property
+    def snapshot(self) -> DataFrame:
+        return self.by_volume.drop(VOLUME)
 
     @property
     def vanished(self) -> DataFrame:
         """Files that were listed, or nearly, but gone before they could be read."""
-        unread = self.files.where("error is not null").select(PATH)
-        return self.listing.where(F.col("kind") == VANISHED).select(PATH).unionByName(unread)
+        unread = self.files.where("error is not null").select(VOLUME, PATH)
+        return self.listing.where(F.col("kind") == VANISHED).select(VOLUME, PATH).unionByName(unread)
 
     @property
     def skipped(self) -> DataFrame:
         """Links, unreadable directories and special files."""
-        return self.listing.where(F.col("kind").isin(LINK, UNREADABLE, OTHER)).select(PATH, "kind")
+        return self.listing.where(F.col("kind").isin(LINK, UNREADABLE, OTHER)).select(VOLUME, PATH, "kind")
 
     @property
     def counters(self) -> DataFrame:
-        """Files, directories, bytes in total and truly read."""
-        files = self.files.where("error is null").agg(
-            F.count(F.lit(1)).alias("files"),
-            F.coalesce(F.sum(SIZE), F.lit(0)).alias("bytes_total"),
-            F.coalesce(F.sum("bytes_read"), F.lit(0)).alias("bytes_read"),
+        """Per volume: files, directories, bytes in total, truly read and avoided."""
+        read = self.files.where("error is null").select(
+            VOLUME, F.lit(1).alias("files"), F.lit(0).alias("directories"), SIZE, "bytes_read"
         )
-        directories = self.listing.where(F.col("kind") == DIRECTORY).agg(F.count(F.lit(1))).scalar()
-        return files.select(
-            "*",
-            (F.col("bytes_total") - F.col("bytes_read")).alias("bytes_avoided"),
-            directories.alias("directories"),
+        entered = self.listing.where(F.col("kind") == DIRECTORY).select(
+            VOLUME, F.lit(0).alias("files"), F.lit(1).alias("directories"), F.lit(0).alias(SIZE), F.lit(0).alias("bytes_read")
+        )
+        return (
+            read.unionByName(entered)
+            .groupBy(VOLUME)
+            .agg(
+                F.sum("files").alias("files"),
+                F.sum("directories").alias("directories"),
+                F.sum(SIZE).alias("bytes_total"),
+                F.sum("bytes_read").alias("bytes_read"),
+                (F.sum(SIZE) - F.sum("bytes_read")).alias("bytes_avoided"),
+            )
         )
 
 
-def scan_tree(
+def scan_trees(
     spark: SparkSession,
-    root: str,
+    roots: Mapping[str, str],
     mode: str = FULL,
     prefix_bytes: int = PREFIX_BYTES,
-    base: str | None = None,
+    bases: Mapping[str, str] | None = None,
     exclude_suffixes: Iterable[str] | None = None,
     exclude_paths: Iterable[str] | None = None,
     boundary: bool = False,
     algo: str = SHA256,
 ) -> TreeScan:
-    """List and fingerprint every file under ``root``; paths are relative to ``base`` (default: root)."""
+    """List and fingerprint every file under every root, all volumes in the same jobs.
+
+    ``roots`` names the root of each volume. Paths are relative to the root, or
+    to what ``bases`` gives for the volume.
+    """
     check_mode(mode)
-    listing = list_tree(spark, root, base, exclude_suffixes, exclude_paths, boundary)
+    listing = list_trees(spark, roots, bases, exclude_suffixes, exclude_paths, boundary)
     files = listing.where(F.col("kind") == FILE)
-    hashed = stored(hash_files(files, root, mode, prefix_bytes, algo), "tree-files")
+    hashed = stored(hash_files(files, mode, prefix_bytes, algo), "tree-files")
     return TreeScan(listing, hashed, mode, prefix_bytes, algo)
 
 
+def scan_tree(spark: SparkSession, root: str, mode: str = FULL, base: str | None = None, **options) -> TreeScan:
+    """The same for a single tree; its root is its volume name."""
+    return scan_trees(spark, {root: root}, mode, bases={root: base} if base else None, **options)
+
+
 # --- listing ---------------------------------------------------------------
 
 
-def list_tree(
+def list_trees(
     spark: SparkSession,
-    root: str,
-    base: str | None = None,
+    roots: Mapping[str, str],
+    bases: Mapping[str, str] | None = None,
     exclude_suffixes: Iterable[str] | None = None,
     exclude_paths: Iterable[str] | None = None,
     boundary: bool = False,
 ) -> DataFrame:
-    """Everything under ``root`` as stored rows ``(location, relative_path, kind, file_size_bytes)``.
+    """Everything under the roots, as stored rows of files, directories and links.
 
     An excluded directory is not entered. One Spark job per level of depth; the
     driver learns only how many directories the next level has.
     """
-    root = _plain(root)
-    list_one = _lister(root, _plain(base) if base else root, suffix_rules(exclude_suffixes), path_rules(exclude_paths), boundary)
+    starts = {volume: _plain(root) for volume, root in roots.items()}
+    relative_to = {volume: _plain((bases or {}).get(volume, root)) for volume, root in starts.items()}
+    list_one = _lister(relative_to, suffix_rules(exclude_suffixes), path_rules(exclude_paths), boundary)
     folder = new_folder(spark, "tree-listing")
-    level, directories = 0, 1
-    frontier = spark.createDataFrame([(root,)], "location string")
-    while directories:
-        entries = frontier.repartition(math.ceil(directories / DIRECTORIES_PER_TASK), "location").mapInArrow(
-            _listing_task(list_one), LISTING
-        )
+    frontier = spark.createDataFrame(
+        [(volume, root, root) for volume, root in starts.items()], f"{VOLUME} string, root string, location string"
+    )
+    level, directories = 0, len(starts)
+    while directories > 0:
+        tasks = math.ceil(directories / DIRECTORIES_PER_TASK)
+        entries = frontier.repartition(tasks, VOLUME, "location").mapInArrow(_listing_task(list_one), LISTING)
         found = Observation()
-        entries.observe(found, F.count_if(F.col("kind") == DIRECTORY).alias("n")).write.parquet(f"{folder}/level={level}")
-        # The root is reported as a directory of its own, on top of those to enter next.
-        directories = found.get["n"] - (level == 0)
-        done = spark.read.schema(LISTING).parquet(f"{folder}/level={level}")
-        frontier = done.where((F.col("kind") == DIRECTORY) & (F.col("location") != root)).select("location")
+        ahead = (F.col("kind") == DIRECTORY) & (F.col("location") != F.col("root"))
+        entries.observe(found, F.count_if(ahead).alias("n")).write.parquet(f"{folder}/level={level}")
+        directories = found.get["n"]
+        frontier = spark.read.schema(LISTING).parquet(f"{folder}/level={level}").where(ahead)
+        frontier = frontier.select(VOLUME, "root", "location")
         level += 1
-    return spark.read.schema(LISTING).parquet(folder)
+    return spark.read.schema(LISTING).parquet(*(f"{folder}/level={n}" for n in range(level)))
 
 
 def _plain(path: str) -> str:
@@ -162,31 +186,31 @@ def _relative(location: str, base: str) -> str:
     return posixpath.relpath(location, base)
 
 
-def _lister(root: str, base: str, suffixes: list[str], prefixes: list[str], boundary: bool) -> Callable:
+def _lister(bases: dict[str, str], suffixes: list[str], prefixes: list[str], boundary: bool) -> Callable:
     def dropped_directory(path: str) -> bool:
         if boundary:
             return any(path == p or path.startswith(p + "/") for p in prefixes)
         return any(path.startswith(p) for p in prefixes)
 
-    def list_one(directory: str) -> Iterator[tuple]:
-        here = _relative(directory, base)
+    def list_one(volume: str, root: str, directory: str) -> Iterator[tuple]:
+        here = _relative(directory, bases[volume])
         if directory == root:
             if dropped_directory(here):
                 return
-            yield directory, here, DIRECTORY, None
+            yield volume, root, directory, here, DIRECTORY, None
         try:
             for name, kind, size in _entries(directory):
                 location = directory.rstrip("/") + "/" + name
                 path = name if here == "." else f"{here}/{name}"
                 if kind == DIRECTORY:
                     if not dropped_directory(path):
-                        yield location, path, kind, None
+                        yield volume, root, location, path, kind, None
                 elif not any(name.endswith(s) for s in suffixes):
-                    yield location, path, kind, size
+                    yield volume, root, location, path, kind, size
         except OSError:
             if directory == root:
                 raise
-            yield directory, here, UNREADABLE, None
+            yield volume, root, directory, here, UNREADABLE, None
 
     return list_one
 
@@ -221,17 +245,23 @@ def _stat(entry: os.DirEntry) -> tuple:
 
 
 def _listing_task(list_one: Callable) -> Callable:
-    schema = pa.schema(
-        [("location", pa.string()), (PATH, pa.string()), ("kind", pa.string()), (SIZE, pa.int64())]
-    )
+    schema = _arrow({VOLUME: "s", "root": "s", "location": "s", PATH: "s", "kind": "s", SIZE: "l"})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for directory in batch.column(0).to_pylist() for row in list_one(directory))
+        rows = (entry for batch in batches for directory in _rows_of(batch) for entry in list_one(*directory))
         yield from _batched(rows, schema)
 
     return task
 
 
+def _arrow(columns: dict[str, str]) -> pa.Schema:
+    return pa.schema([(name, pa.string() if kind == "s" else pa.int64()) for name, kind in columns.items()])
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(column.to_pylist() for column in batch.columns))
+
+
 def _batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Arrow batches of bounded size from a stream of rows."""
     held: list[tuple] = []
@@ -252,9 +282,7 @@ def _to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 # --- hashing ---------------------------------------------------------------
 
 
-def hash_files(
-    files: DataFrame, root: str, mode: str = FULL, prefix_bytes: int = PREFIX_BYTES, algo: str = SHA256
-) -> DataFrame:
+def hash_files(files: DataFrame, mode: str = FULL, prefix_bytes: int = PREFIX_BYTES, algo: str = SHA256) -> DataFrame:
     """Fingerprint listed files. ``files`` must be a stored listing: it is read twice.
 
     A size-only snapshot opens no file. Otherwise files are spread by a hash of
@@ -264,16 +292,16 @@ def hash_files(
     """
     check_mode(mode)
     if mode == SIZE_ONLY:
+        unread, no_error = F.lit(0).cast("long"), F.lit(None).cast("string")
         return files.select(
-            PATH, F.lit(NOT_COMPUTED).alias(HASH), SIZE, F.lit(0).cast("long").alias("bytes_read"), F.lit(None).cast("string").alias("error")
+            VOLUME, PATH, F.lit(NOT_COMPUTED).alias(HASH), SIZE, unread.alias("bytes_read"), no_error.alias("error")
         )
     hasher(algo)
-    tasks = _hash_tasks(files, mode, prefix_bytes)
     limit = prefix_bytes if mode == PARTIAL else None
     return (
-        files.select("location", PATH, SIZE)
-        .repartition(tasks, PATH)
-        .mapInArrow(_hashing_task(_plain(root), limit, algo), HASHED)
+        files.select(VOLUME, "root", "location", PATH, SIZE)
+        .repartition(_hash_tasks(files, mode, prefix_bytes), "location")
+        .mapInArrow(_hashing_task(limit, algo), HASHED)
     )
 
 
@@ -319,27 +347,22 @@ def _open(location: str):
     return open(location, "rb", buffering=0)
 
 
-def _hashing_task(root: str, limit: int | None, algo: str) -> Callable:
-    schema = pa.schema(
-        [(PATH, pa.string()), (HASH, pa.string()), (SIZE, pa.int64()), ("bytes_read", pa.int64()), ("error", pa.string())]
-    )
+def _hashing_task(limit: int | None, algo: str) -> Callable:
+    schema = _arrow({VOLUME: "s", PATH: "s", HASH: "s", SIZE: "l", "bytes_read": "l", "error": "s"})
 
-    def one(location: str, path: str, size: int) -> tuple:
+    def one(volume: str, root: str, location: str, path: str, size: int) -> tuple:
         try:
             with _open(location) as stream:
-                return path, *_named(digest(stream, limit, algo), size)
+                value, seen = digest(stream, limit, algo)
         except FileNotFoundError:
             # A file deleted since the listing is set aside. If the whole tree
             # is gone, its mount is missing here and the task must fail.
             if not _is_remote(root) and not os.path.isdir(root):
                 raise OSError(errno.ENOTCONN, "the scanned tree is not visible on this executor", root) from None
-            return path, None, size, 0, NOT_FOUND
-
-    def _named(result: tuple[str, int], size: int) -> tuple:
-        return result[0], size, result[1], None
+            return volume, path, None, size, 0, NOT_FOUND
+        return volume, path, value, size, seen, None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (one(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        yield from _batched(rows, schema)
+        yield from _batched((one(*row) for batch in batches for row in _rows_of(batch)), schema)
 
     return task

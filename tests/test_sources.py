@@ -3,6 +3,7 @@ import os
 
 import pytest
 import snapledger as sl
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from snapledger.sources import store
 from snapledger.sources.tsv import hash_column, rename_column, write_merged
@@ -148,14 +149,14 @@ def test_volume_changes(spark, history, rows):
 
 def test_repeating_a_run_replaces_it(spark, history, frame, rows):
     sl.add_run(frame(("only", "1", 1)), history, "d2", RUNS[2])
-    again = sl.read_history(spark, history)
+    again = sl.read_history(spark, history).rows
     assert rows(again.where("volume = 'd2'"), sl.PATH) == [("only",)]
     assert again.where("volume = 'd1'").count() == 6
 
 
 def test_names_that_look_like_numbers_stay_text(spark, frame, rows, tmp_path):
     sl.add_run(frame(("a", "1", 1)), str(tmp_path / "h"), "007", "20210321")
-    assert rows(sl.read_history(spark, str(tmp_path / "h")), "volume", "run_id") == [("007", "20210321")]
+    assert rows(sl.read_history(spark, str(tmp_path / "h")).rows, "volume", "run_id") == [("007", "20210321")]
 
 
 def test_only_compared_runs_are_read(spark, history):
@@ -165,6 +166,18 @@ def test_only_compared_runs_are_read(spark, history):
     assert "dynamicpruning" in plan and "SortMergeJoin [volume" not in plan
 
 
+def test_an_emptied_volume_is_compared(spark, history, frame, rows):
+    sl.add_run(frame(), history, "d1", "2021-03-30")
+    volumes = sl.Volumes(sl.read_history(spark, history))
+    assert rows(volumes.changes()) == [("d1", p, True, False, False) for p in ("a", "c", "e")]
+    assert rows(volumes.summary().where("volume = 'd1'"), "files", "duplicate_rows", "removed") == [(0, 0, 3)]
+
+
+def test_a_history_of_nothing(spark, frame, rows, tmp_path):
+    sl.add_run(frame(), str(tmp_path / "h"), "d1", "2021-03-30")
+    assert rows(sl.Volumes(sl.read_history(spark, str(tmp_path / "h"))).summary(), "volume", "files") == [("d1", 0)]
+
+
 def test_run_volumes(spark, history, rows, tmp_path):
     summary = sl.run_volumes(spark, history, str(tmp_path / "out"))
     assert rows(summary, "volume", "removed", "added", "modified") == [("d1", 1, 2, 1), ("d2", None, None, None)]
@@ -191,3 +204,18 @@ def test_run_without_baseline_skips_comparisons(frame, tmp_path, caplog):
     assert "no baseline" in caplog.text
     with pytest.raises(ValueError, match="unknown reports"):
         sl.reports(frame(), wanted=["moved"])
+
+
+def test_run_from_text_files(spark, frame, rows, tmp_path, caplog):
+    for name, df in {"1": frame(("a", "1", 1)), "2": frame(("b", "1", 1), ("a", "3", 1))}.items():
+        sl.write_tsv(df, str(tmp_path / name), sl.FULL)
+    inputs = [str(tmp_path / n) for n in "12"]
+    written = sl.run_files(spark, inputs, str(tmp_path / "both"), wanted=["duplicates"])
+    assert "2 rows with colliding paths" in caplog.text
+    assert rows(sl.read_tsv(spark, written["hashes"], sl.FULL)) == [("a", "1", 1), ("a", "3", 1), ("b", "1", 1)]
+    assert rows(sl.read_tsv(spark, written["duplicates"], sl.FULL), sl.PATH) == [("a",), ("b",)]
+    single = sl.run_files(spark, inputs[1:], str(tmp_path / "one"), baseline=inputs[0], wanted=["added", "modified"])
+    assert set(single) == {"added", "modified"}
+    assert rows(sl.read_tsv(spark, single["added"], sl.FULL), sl.PATH) == [("b",)]
+    with pytest.raises(PySparkException):
+        sl.run_files(spark, inputs, str(tmp_path / "clash"), baseline=inputs[0])

@@ -43,10 +43,10 @@ def test_every_file_and_no_link(spark, root, rows):
     top, files = root
     scan = sl.scan_tree(spark, top)
     assert rows(scan.snapshot) == sorted((n, sha(d), len(d)) for n, d in files.items())
-    assert rows(scan.skipped) == [("broken", "link"), ("link", "link")]
+    assert rows(scan.skipped, sl.PATH, "kind") == [("broken", "link"), ("link", "link")]
     assert scan.vanished.count() == 0
     total = sum(map(len, files.values()))
-    assert scan.counters.first().asDict() == {
+    assert scan.counters.drop("volume").first().asDict() == {
         "files": 10, "bytes_total": total, "bytes_read": total, "bytes_avoided": 0, "directories": 12,
     }
 
@@ -83,6 +83,35 @@ def test_paths_are_relative_to_the_base(spark, root, rows):
     assert rows(beside.snapshot, sl.PATH) == [("../a/one.txt",)]
 
 
+def test_an_excluded_root_has_nothing(spark, root, rows):
+    top, _ = root
+    scan = sl.scan_tree(spark, top + "/src1", base=top, exclude_paths=["src1"])
+    assert rows(scan.snapshot) == rows(scan.skipped) == []
+
+
+def test_several_volumes_in_one_scan(spark, root, rows):
+    top, _ = root
+    scan = sl.scan_trees(spark, {"d1": top + "/a", "d2": top + "/b"})
+    assert rows(scan.by_volume, "volume", sl.PATH) == [("d1", "one.txt"), ("d2", "two.txt")]
+    assert rows(scan.counters, "volume", "files", "directories", "bytes_read") == [("d1", 1, 1, 4), ("d2", 1, 1, 4)]
+
+
+def test_volumes_scanned_twice_and_compared(spark, root, rows, tmp_path):
+    top, _ = root
+    history, roots = str(tmp_path / "history"), {"d1": top + "/a", "d2": top + "/b", "d3": top + "/src1"}
+    sl.scan_volumes(spark, {v: roots[v] for v in ("d1", "d2")}, history, "2021-03-28")
+    with open(top + "/a/one.txt", "ab") as f:
+        f.write(b"!")
+    os.remove(top + "/b/two.txt")
+    sl.scan_volumes(spark, roots, history, "2021-03-29", exclude_suffixes=[".nfo"])
+    summary = sl.run_volumes(spark, history, str(tmp_path / "reports"))
+    assert rows(summary, "volume", "baseline_run_id", "files", "removed", "modified") == [
+        ("d1", "2021-03-28", 1, 0, 1),
+        ("d2", "2021-03-28", 0, 1, 0),
+        ("d3", None, 1, None, None),
+    ]
+
+
 def test_agrees_with_the_table_route(spark, root, rows):
     top, files = root
     table = spark.createDataFrame([(n, d) for n, d in files.items()], "k string, v binary")
@@ -92,9 +121,9 @@ def test_agrees_with_the_table_route(spark, root, rows):
 
 def test_a_vanished_file_is_set_aside(spark, root, rows):
     top, files = root
-    listing = tree.list_tree(spark, top).where("kind = 'file'")
+    listing = tree.list_trees(spark, {"d1": top}).where("kind = 'file'")
     os.remove(top + "/a/one.txt")
-    hashed = tree.hash_files(listing, top)
+    hashed = tree.hash_files(listing)
     assert rows(hashed.where("error is not null"), sl.PATH, "error") == [("a/one.txt", "not found")]
     assert hashed.where("error is null").count() == len(files) - 1
 
@@ -102,9 +131,9 @@ def test_a_vanished_file_is_set_aside(spark, root, rows):
 def test_a_missing_tree_fails(spark, root, tmp_path):
     with pytest.raises(PySparkException):
         sl.scan_tree(spark, str(tmp_path / "nothing"))
-    listing = spark.createDataFrame([("/nowhere/x", "x", 1)], "location string, relative_path string, file_size_bytes long")
+    listing = spark.createDataFrame([("d1", "/nowhere", "/nowhere/x", "x", "file", 1)], tree.LISTING)
     with pytest.raises(PySparkException, match="not visible"):
-        tree.hash_files(sl.stored(listing), "/nowhere").collect()
+        tree.hash_files(sl.stored(listing)).collect()
 
 
 def test_an_empty_tree(spark, tmp_path):
