@@ -22,6 +22,7 @@ from ..sources.history import (
     pairs,
     ranked_runs,
     read_history,
+    require_comparable,
     rows_of_runs,
 )
 from ..sources.store import stored, write_snapshot
@@ -38,7 +39,9 @@ class Volumes:
     as_of: str | None = None
 
     def __post_init__(self) -> None:
-        self.runs = latest_runs(stored(ranked_runs(self.history, self.as_of), "runs"))
+        ranked = stored(ranked_runs(self.history, self.as_of), "runs")
+        require_comparable(ranked)
+        self.runs = latest_runs(ranked)
 
     def current(self) -> DataFrame:
         """Rows of every volume's latest run, baseline or not."""

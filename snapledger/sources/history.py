@@ -6,6 +6,7 @@ volume that was emptied is compared like any other.
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fingerprint import HASH, PATH, SIZE
+from ..functions.fingerprint import HASH, PATH, SIZE, tag_of
 
 VOLUME, RUN, BASELINE = "volume", "run_id", "baseline_run_id"
+TAG, BASELINE_TAG = "hash_tag", "baseline_hash_tag"
 
 _RUN_FIELDS = [T.StructField(VOLUME, T.StringType()), T.StructField(RUN, T.StringType())]
-RUNS = T.StructType([T.StructField("stored", T.BooleanType()), *_RUN_FIELDS])
+RUNS = T.StructType([T.StructField(TAG, T.StringType()), *_RUN_FIELDS])
 ROWS = T.StructType(
     [
         T.StructField(PATH, T.StringType()),
@@ -54,7 +56,8 @@ def add_runs(rows: DataFrame, path: str, runs: DataFrame | None = None) -> None:
     kept = rows.select(PATH, HASH, SIZE, VOLUME, RUN)
     _replace_partitions(kept.hint("rebalance", F.col(VOLUME), F.col(RUN)), f"{path}/rows")
     runs = rows.select(VOLUME, RUN).distinct() if runs is None else runs
-    _replace_partitions(runs.select(F.lit(True).alias("stored"), VOLUME, RUN), f"{path}/runs")
+    tag = json.dumps(tag_of(rows), sort_keys=True)
+    _replace_partitions(runs.select(F.lit(tag).alias(TAG), VOLUME, RUN), f"{path}/runs")
 
 
 def pairs(spark: SparkSession, volumes: list[str], run_id: str) -> DataFrame:
@@ -70,7 +73,7 @@ def add_run(snapshot: DataFrame, path: str, volume: str, run_id: str) -> None:
 def read_history(spark: SparkSession, path: str) -> History:
     """The stored history. Volume and run stay text, whatever they look like."""
     rows, runs = (spark.read.schema(t).parquet(f"{path}/{n}") for t, n in ((ROWS, "rows"), (RUNS, "runs")))
-    return History(rows, runs.select(VOLUME, RUN))
+    return History(rows, runs)
 
 
 def ranked_runs(history: History, as_of: str | None = None) -> DataFrame:
@@ -79,18 +82,36 @@ def ranked_runs(history: History, as_of: str | None = None) -> DataFrame:
     Run names start with their date, so their order is chronological. The
     window sees one row per stored run, not per file.
     """
-    runs = history.runs.distinct()
+    runs = history.runs
     if as_of is not None:
         runs = runs.where(F.col(RUN) <= as_of)
     by_run = W.partitionBy(VOLUME).orderBy(F.desc(RUN))
     return runs.select(
-        VOLUME, RUN, F.lead(RUN).over(by_run).alias(BASELINE), F.row_number().over(by_run).alias("nth")
+        VOLUME,
+        RUN,
+        TAG,
+        F.lead(RUN).over(by_run).alias(BASELINE),
+        F.lead(TAG).over(by_run).alias(BASELINE_TAG),
+        F.row_number().over(by_run).alias("nth"),
     )
 
 
 def latest_runs(ranked: DataFrame) -> DataFrame:
     """Latest run of every volume and its baseline, null when there is none."""
-    return ranked.where("nth = 1").drop("nth")
+    return ranked.where("nth = 1").select(VOLUME, RUN, BASELINE)
+
+
+def require_comparable(ranked: DataFrame) -> None:
+    """Refuse a latest run whose hashes were made differently from its baseline's; untagged ones are trusted."""
+    untagged = json.dumps({})
+    clash = ranked.where(
+        (F.col("nth") == 1)
+        & (F.col(TAG) != F.col(BASELINE_TAG))
+        & (F.col(TAG) != untagged)
+        & (F.col(BASELINE_TAG) != untagged)
+    ).first()
+    if clash:
+        raise ValueError(f"runs hold hashes of different kinds: {clash.asDict()}")
 
 
 def rows_of_runs(history: History, runs: DataFrame) -> DataFrame:

@@ -173,6 +173,16 @@ def test_an_emptied_volume_is_compared(spark, history, frame, rows):
     assert rows(volumes.summary().where("volume = 'd1'"), "files", "duplicate_rows", "removed") == [(0, 0, 3)]
 
 
+def test_runs_of_different_kinds_are_refused(spark, frame, rows, tmp_path):
+    path, once = str(tmp_path / "h"), frame(("a", "1", 1))
+    sl.add_run(sl.tagged(once, sl.FULL), path, "d1", "1")
+    sl.add_run(once, path, "d1", "2")
+    assert rows(sl.Volumes(sl.read_history(spark, path)).changes()) == []
+    sl.add_run(sl.tagged(once, sl.PARTIAL), path, "d1", "2")
+    with pytest.raises(ValueError, match="different kinds"):
+        sl.Volumes(sl.read_history(spark, path))
+
+
 def test_a_history_of_nothing(spark, frame, rows, tmp_path):
     sl.add_run(frame(), str(tmp_path / "h"), "d1", "2021-03-30")
     assert rows(sl.Volumes(sl.read_history(spark, str(tmp_path / "h"))).summary(), "volume", "files") == [("d1", 0)]
