@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import HASH, PATH, SIZE, SIZE_ONLY, check_mode
-from .skew import N_ROWS, is_hot, key_counts
+from .skew import N_ROWS, broadcast_hot, is_hot, key_counts, total_rows
 
 
 def _with_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,10 +36,10 @@ def rows_sharing(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     join. The counting shuffle is shared by both branches.
     """
     keys, wanted = list(keys), list(dict.fromkeys([*keys, *columns]))
+    repeated, hot = F.col(N_ROWS) > 1, is_hot(total_rows(rows))
     rows = _with_keys(rows.select(*wanted), keys)
     counts = key_counts(rows, keys)
-    repeated, hot = F.col(N_ROWS) > 1, is_hot(counts)
-    hot_keys = F.broadcast(counts.where(repeated & hot).select(*keys))
+    hot_keys = broadcast_hot(counts.where(repeated & hot).select(*keys))
     other_keys = counts.where(repeated & ~hot).select(*keys)
     unmoved = rows.join(hot_keys, keys, "left_semi")
     shuffled = rows.join(hot_keys, keys, "left_anti").join(other_keys, keys, "left_semi")

@@ -27,8 +27,8 @@ def group_paths(snapshot: DataFrame, keys: Sequence[str] = (HASH,), list_rows: i
     """
     keys = list(keys)
     counts = key_counts(snapshot, keys)
-    most = F.greatest(F.lit(list_rows).cast("double"), skew.total_rows(counts) / skew.MAX_HOT_KEYS)
-    large = F.broadcast(
+    most = F.greatest(F.lit(list_rows).cast("double"), skew.total_rows(snapshot) / skew.MAX_HOT_KEYS)
+    large = skew.broadcast_hot(
         counts.where(F.col(N_ROWS) > most).select(
             *(F.col(k).alias(f"large_{k}") for k in keys),
             F.ceil(F.col(N_ROWS) / most).alias("parts"),

@@ -24,13 +24,22 @@ def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(N_ROWS))
 
 
-def total_rows(counts: DataFrame) -> Column:
-    """All rows behind ``counts``, as a scalar subquery of the same plan."""
-    return counts.agg(F.sum(N_ROWS)).scalar()
+def total_rows(rows: DataFrame) -> Column:
+    """Number of rows, as a scalar subquery of the same plan. Over Parquet it reads footers only."""
+    return rows.agg(F.count(F.lit(1))).scalar()
 
 
-def is_hot(counts: DataFrame) -> Column:
-    return F.col(N_ROWS) * F.lit(MAX_HOT_KEYS) > total_rows(counts)
+def is_hot(total: Column) -> Column:
+    return F.col(N_ROWS) * F.lit(MAX_HOT_KEYS) > total
+
+
+def broadcast_hot(keys: DataFrame) -> DataFrame:
+    """Broadcast fewer than ``MAX_HOT_KEYS`` rows cut from an aggregate over all rows.
+
+    The shuffle to one partition ends the stage that finds them, so that the
+    broadcast, which has a timeout, only collects them.
+    """
+    return F.broadcast(keys.repartition(1))
 
 
 def all_equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.fingerprint import FULL, HASH, PATH, SIZE, SIZE_ONLY, check_mode
-from ..operators.diff import diff_flags, reports_from_flags
+from ..operators.diff import added, diff_flags, modified, removed, reports_from_flags
 from ..operators.duplicates import duplicate_summary, duplicates_by_mode
 from ..sources.store import stored
 from ..sources.tsv import read_tsv, write_tsv
@@ -31,8 +31,9 @@ def reports(
 ) -> dict[str, DataFrame]:
     """The wanted reports over a *stored* snapshot.
 
-    One full outer join serves all comparisons; its changed rows are stored and
-    the reports cut from them. Without a baseline the comparisons are skipped.
+    A single comparison is a join of its own. One full outer join serves
+    several: its changed rows are stored and the reports cut from them. Without
+    a baseline the comparisons are skipped.
     """
     wanted = list(wanted)
     if unknown := set(wanted) - set(REPORTS):
@@ -43,6 +44,9 @@ def reports(
     comparisons = [r for r in COMPARISONS if r in wanted]
     if comparisons and baseline is None:
         log.warning("no baseline: skipping %s", ", ".join(comparisons))
+    elif len(comparisons) == 1:
+        compare = {"removed": removed, "added": added, "modified": modified}[comparisons[0]]
+        out[comparisons[0]] = compare(baseline, current, compared_column(mode))
     elif comparisons:
         flags = diff_flags(baseline, current, compared_column(mode), changed_only=True, details=True)
         cut = reports_from_flags(stored(flags, "changes"))

@@ -208,6 +208,13 @@ def test_run_writes_the_wanted_reports(spark, frame, rows, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(written["modified"]).first()[0] == "a"
 
 
+def test_one_comparison_equals_its_part_of_all(frame, rows):
+    old, new = frame(("a", "1", 1), ("b", "2", 2), ("d", None, 1)), frame(("a", "9", 1), ("c", "9", 1), ("d", "1", 1))
+    together = sl.reports(new, old)
+    for name in ("removed", "added", "modified"):
+        assert rows(sl.reports(new, old, wanted=[name])[name]) == rows(together[name])
+
+
 def test_run_without_baseline_skips_comparisons(frame, tmp_path, caplog):
     written = sl.run(frame(("a", "1", 1)), str(tmp_path / "r"), wanted=["removed", "duplicates"], write_current=False)
     assert set(written) == {"duplicates"}
