@@ -296,7 +296,8 @@ def _history(spark: SparkSession, sf_dir: str) -> sl.History:
     ]
     folder = new_folder(spark, "history")
     rows = [_snap(rows).withColumns({"volume": F.lit(v), "run_id": F.lit(r)}) for v, r, rows in runs]
-    sl.add_runs(sl.concat(*rows), folder)
+    pairs = spark.createDataFrame([(v, r) for v, r, _ in runs], "volume string, run_id string")
+    sl.add_runs(sl.concat(*rows), folder, pairs)
     return sl.read_history(spark, folder)
 
 

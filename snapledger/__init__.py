@@ -16,7 +16,15 @@ from .operators.snapshot import concat, fingerprint_levels, snapshot
 from .plans.analysis import reports, run, run_files
 from .plans.staged import duplicate_files
 from .plans.volumes import Volumes, run_volumes, scan_volumes
-from .sources.history import History, add_run, add_runs, latest_runs, ranked_runs, read_history
+from .sources.history import (
+    History,
+    add_run,
+    add_runs,
+    import_series,
+    latest_runs,
+    ranked_runs,
+    read_history,
+)
 from .sources.store import read_snapshot, stored, write_bucketed, write_snapshot
 from .sources.tree import scan_tree, scan_trees
 from .sources.tsv import read_tsv, write_tsv

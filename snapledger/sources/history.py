@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fingerprint import HASH, PATH, SIZE, tag_of
+from .tsv import READ_DIALECT, hash_column
 
 VOLUME, RUN, BASELINE = "volume", "run_id", "baseline_run_id"
 TAG, BASELINE_TAG = "hash_tag", "baseline_hash_tag"
 
+# Fixed value: how dated snapshot files are named, as run, volume, suffix.
+SERIES_NAME = r"^(.+)-([^-]+)-hashes\.tsv(?:\.gz|\.bz2)?$"
+
 _RUN_FIELDS = [T.StructField(VOLUME, T.StringType()), T.StructField(RUN, T.StringType())]
 RUNS = T.StructType([T.StructField(TAG, T.StringType()), *_RUN_FIELDS])
 ROWS = T.StructType(
@@ -76,6 +80,32 @@ def read_history(spark: SparkSession, path: str) -> History:
     return History(rows, runs)
 
 
+def import_series(spark: SparkSession, folder: str, path: str, mode: str) -> None:
+    """Add a folder of dated text snapshots, ``<run>-<volume>-hashes.tsv[.gz]``, to the history.
+
+    All files are read in one job, one task per file; run and volume come from the file name.
+    """
+    files = f"{folder.rstrip('/')}/*-hashes.tsv*"
+    schema = [T.StructField(PATH, T.StringType()), T.StructField(hash_column(mode), T.StringType())]
+    schema = T.StructType([*schema, T.StructField(SIZE, T.LongType())])
+    name = F.col("_metadata.file_name")
+    rows = (
+        spark.read.schema(schema)
+        .options(**READ_DIALECT, multiLine=True)
+        .csv(files)
+        .select(
+            PATH,
+            F.col(hash_column(mode)).alias(HASH),
+            SIZE,
+            F.regexp_extract(name, SERIES_NAME, 2).alias(VOLUME),
+            F.regexp_extract(name, SERIES_NAME, 1).alias(RUN),
+        )
+    )
+    listed = spark.read.format("binaryFile").load(files).select(F.substring_index("path", "/", -1).alias("name"))
+    runs = listed.select(*(F.regexp_extract("name", SERIES_NAME, i).alias(c) for i, c in ((2, VOLUME), (1, RUN))))
+    add_runs(rows, path, runs.distinct())
+
+
 def ranked_runs(history: History, as_of: str | None = None) -> DataFrame:
     """Runs per volume (up to ``as_of``), the latest first, each with the one before it.
 

@@ -21,6 +21,10 @@ log = logging.getLogger(__name__)
 # File suffix and the codec Spark writes for it.
 CODECS = {".gz": "gzip", ".bz2": "bzip2"}
 
+# A file that does not fit the stated schema, in its header or its fields, fails the query.
+DIALECT = {"sep": "\t", "header": True, "escape": "\\"}
+READ_DIALECT = DIALECT | {"mode": "FAILFAST", "enforceSchema": False}
+
 
 def hash_column(mode: str) -> str:
     """What a text file calls the hash column. A size-only file keeps the plain name."""
@@ -45,10 +49,8 @@ def write_tsv(df: DataFrame, path: str, mode: str, ordered: bool = False) -> Non
         df = rename_column(df, HASH, hash_column(mode))
     codec = next((codec for suffix, codec in CODECS.items() if path.endswith(suffix)), "none")
     df.write.options(
-        sep="\t",
-        header=True,
+        **DIALECT,
         quoteAll=True,
-        escape="\\",
         emptyValue="",
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
@@ -76,14 +78,13 @@ def read_tsv(
 
 
 def _read_one(spark: SparkSession, path: str, mode: str, multiline: bool) -> DataFrame:
-    dialect = {"sep": "\t", "header": True, "escape": "\\", "multiLine": multiline}
-    names = spark.read.options(**dialect).csv(path).columns
+    names = spark.read.options(**DIALECT, multiLine=multiline).csv(path).columns
     if hash_column(mode) not in names:
         raise ValueError(f"no column {hash_column(mode)!r} in {path}; was it written in another mode?")
     schema = T.StructType(
         [T.StructField(n, T.LongType() if n == SIZE else T.StringType()) for n in names]
     )
-    rows = spark.read.schema(schema).options(**dialect, mode="FAILFAST", enforceSchema=False).csv(path)
+    rows = spark.read.schema(schema).options(**READ_DIALECT, multiLine=multiline).csv(path)
     return rename_column(rows, hash_column(mode), HASH).select(
         *(c for c in (PATH, HASH, SIZE) if c in [HASH, *names])
     )

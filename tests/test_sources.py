@@ -166,6 +166,25 @@ def test_only_compared_runs_are_read(spark, history):
     assert "dynamicpruning" in plan and "SortMergeJoin [volume" not in plan
 
 
+def test_import_of_dated_text_snapshots(spark, rows, tmp_path):
+    def text(name, *lines, column="full_hash"):
+        body = "".join(f'"{p}"\t"{h}"\t{n}\n' for p, h, n in lines)
+        data = f'"relative_path"\t"{column}"\t"file_size_bytes"\n{body}'.encode()
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith(".gz") else data)
+
+    text(f"{RUNS[0]}-disk1-hashes.tsv.gz", ("a", "1", 1), ("b", "2", 2))
+    text(f"{RUNS[1]}-disk1-hashes.tsv.gz", ("a", "9", 1))
+    text(f"{RUNS[1]}-disk1-removed.tsv.gz", ("b", "2", 2))
+    text(f"{RUNS[1]}-disk2-hashes.tsv")
+    sl.import_series(spark, str(tmp_path), str(tmp_path / "history"), sl.FULL)
+    volumes = sl.Volumes(sl.read_history(spark, str(tmp_path / "history")))
+    assert rows(volumes.runs) == [("disk1", RUNS[1], RUNS[0]), ("disk2", RUNS[1], None)]
+    assert rows(volumes.changes()) == [("disk1", "a", False, False, True), ("disk1", "b", True, False, False)]
+    text(f"{RUNS[2]}-disk1-hashes.tsv", ("a", "1", 1), column="partial_hash")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        sl.import_series(spark, str(tmp_path), str(tmp_path / "other"), sl.FULL)
+
+
 def test_an_emptied_volume_is_compared(spark, history, frame, rows):
     sl.add_run(frame(), history, "d1", "2021-03-30")
     volumes = sl.Volumes(sl.read_history(spark, history))
