@@ -27,6 +27,7 @@ if str(ROOT) not in sys.path:
     sys.path.insert(0, str(ROOT))
 
 import snapledger as sl  # noqa: E402
+from snapledger.functions.paths import basename, dirname  # noqa: E402
 from snapledger.operators import diff  # noqa: E402
 from snapledger.sources.store import new_folder  # noqa: E402
 
@@ -130,6 +131,11 @@ def fingerprint_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sl.fingerprint_levels(_documents(spark, sf_dir), "path", "content", prefix_bytes=PREFIX)
 
 
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _new(spark, sf_dir).select("path")
+    return rows.select("path", dirname("path").alias("directory"), basename("path").alias("name"))
+
+
 def exclude_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snap(sl.exclude(_documents(spark, sf_dir), paths=["./src1/"], key="path"))
 
@@ -280,7 +286,7 @@ def tsv_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sl.read_tsv(spark, folders, sl.FULL)
 
 
-def _history(spark: SparkSession, sf_dir: str) -> sl.History:
+def _runs(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
     """Documents over three runs, conversations over two, pages in one run only."""
     table = _table(spark, sf_dir, "documents")
     edited = table.select(_doc_path().alias("path"), _edited().alias("content"))
@@ -294,8 +300,13 @@ def _history(spark: SparkSession, sf_dir: str) -> sl.History:
         ("conversations", RUNS[2], _conversations(spark, sf_dir, answered)),
         ("pages", RUNS[2], _pages(spark, sf_dir)),
     ]
+    return [(volume, run, _snap(rows)) for volume, run, rows in runs]
+
+
+def _history(spark: SparkSession, sf_dir: str) -> sl.History:
+    runs = _runs(spark, sf_dir)
     folder = new_folder(spark, "history")
-    rows = [_snap(rows).withColumns({"volume": F.lit(v), "run_id": F.lit(r)}) for v, r, rows in runs]
+    rows = [snap.withColumns({"volume": F.lit(v), "run_id": F.lit(r)}) for v, r, snap in runs]
     pairs = spark.createDataFrame([(v, r) for v, r, _ in runs], "volume string, run_id string")
     sl.add_runs(sl.concat(*rows), folder, pairs)
     return sl.read_history(spark, folder)
@@ -309,6 +320,15 @@ def history_latest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sl.Volumes(_history(spark, sf_dir)).changes()
 
 
+def history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes, of runs that were stored as dated text snapshots."""
+    texts, folder = new_folder(spark, "dated"), new_folder(spark, "history")
+    for volume, run, snap in _runs(spark, sf_dir):
+        sl.write_tsv(snap, f"{texts}/{run}-{volume}-hashes.tsv.gz", sl.FULL)
+    sl.import_series(spark, texts, folder, sl.FULL)
+    return sl.Volumes(sl.read_history(spark, folder)).changes()
+
+
 def history_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicates inside the latest run of each volume."""
     return sl.Volumes(_history(spark, sf_dir)).duplicates()
@@ -331,6 +351,11 @@ def bytes_avoided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates, had the scan taken ten minutes."""
+    return sl.throughput(sl.scan_counters(_snap(_documents(spark, sf_dir))), 600)
+
+
 # --- file trees -------------------------------------------------------------------------
 
 
@@ -408,6 +433,7 @@ QUERIES = (
     snapshot_pages,
     snapshot_conversations,
     fingerprint_levels,
+    path_parts,
     exclude_path,
     exclude_path_boundary,
     exclude_ext,
@@ -436,10 +462,12 @@ QUERIES = (
     tsv_concat,
     history_latest_runs,
     history_latest_diff,
+    history_import,
     history_duplicates,
     volume_summary,
     scan_counters,
     bytes_avoided,
+    throughput,
     tree_snapshot,
     tree_partial_excluded,
     tree_counters,
@@ -577,6 +605,7 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_pages": snap("select url as path, html as content from pages"),
         "snapshot_conversations": snap(conversations),
         "fingerprint_levels": levels,
+        "path_parts": f"select path, {directory} as directory, {name} as name from ({new})",
         "exclude_path": snap(f"select * from ({documents}) where not starts_with({directory}, 'src1')"),
         "exclude_path_boundary": snap(
             f"select * from ({documents}) where {directory} <> 'src1' and not starts_with({directory}, 'src1/')"
@@ -644,6 +673,7 @@ def oracle_sql() -> dict[str, str]:
         "tsv_concat": f"{snap(old)} union all {snap(new)}",
         "history_latest_runs": f"{history} select volume, run_id, baseline_run_id from latest",
         "history_latest_diff": f"{history} {changes}",
+        "history_import": f"{history} {changes}",
         "history_duplicates": (
             f"{history}, k as (select volume, hash from n group by volume, hash having count(*) > 1) "
             "select volume, hash, relative_path, file_size_bytes from n "
@@ -659,6 +689,14 @@ def oracle_sql() -> dict[str, str]:
             f"cast({total} - {read} as bigint) from ({documents}) "
             f"union all select 'file-size', cast({total} as bigint), cast({total} as bigint) from ({documents})"
         ),
+        "throughput": (
+            "select *, bytes_read / 1000000.0::double as mb_read, bytes_read / 1000000.0::double / 600.0::double as mb_per_second, "
+            "600.0::double / 60 as elapsed, 'minutes' as elapsed_unit, "
+            "case when files / 600.0::double < 5 then files / 600.0::double * 60 else files / 600.0::double end as file_rate, "
+            "case when files / 600.0::double < 5 then 'minute' else 'second' end as file_rate_unit from "
+            f"(select count(distinct {directory}) as directories, count(*) as files, cast({total} as bigint) as bytes_total, "
+            f"cast({total} as bigint) as bytes_read, cast(0 as bigint) as bytes_avoided from ({documents}))"
+        ),
         "tree_snapshot": snap(documents),
         "tree_partial_excluded": snap(
             f"select * from ({new}) where not ends_with({name}, '.fr') and not starts_with({directory}, 'archive/src1')",

@@ -21,7 +21,7 @@ VOLUME, RUN, BASELINE = "volume", "run_id", "baseline_run_id"
 TAG, BASELINE_TAG = "hash_tag", "baseline_hash_tag"
 
 # Fixed value: how dated snapshot files are named, as run, volume, suffix.
-SERIES_NAME = r"^(.+)-([^-]+)-hashes\.tsv(?:\.gz|\.bz2)?$"
+SERIES_NAME = r"([^/]+)-([^/-]+)-hashes\.tsv(?:\.gz|\.bz2)?(?:/[^/]*)?$"
 
 _RUN_FIELDS = [T.StructField(VOLUME, T.StringType()), T.StructField(RUN, T.StringType())]
 RUNS = T.StructType([T.StructField(TAG, T.StringType()), *_RUN_FIELDS])
@@ -83,12 +83,13 @@ def read_history(spark: SparkSession, path: str) -> History:
 def import_series(spark: SparkSession, folder: str, path: str, mode: str) -> None:
     """Add a folder of dated text snapshots, ``<run>-<volume>-hashes.tsv[.gz]``, to the history.
 
-    All files are read in one job, one task per file; run and volume come from the file name.
+    Each may be a single file or a folder of part files. All are read in one
+    job, one task per file; run and volume come from the name.
     """
     files = f"{folder.rstrip('/')}/*-hashes.tsv*"
     schema = [T.StructField(PATH, T.StringType()), T.StructField(hash_column(mode), T.StringType())]
     schema = T.StructType([*schema, T.StructField(SIZE, T.LongType())])
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     rows = (
         spark.read.schema(schema)
         .options(**READ_DIALECT, multiLine=True)
@@ -101,8 +102,8 @@ def import_series(spark: SparkSession, folder: str, path: str, mode: str) -> Non
             F.regexp_extract(name, SERIES_NAME, 1).alias(RUN),
         )
     )
-    listed = spark.read.format("binaryFile").load(files).select(F.substring_index("path", "/", -1).alias("name"))
-    runs = listed.select(*(F.regexp_extract("name", SERIES_NAME, i).alias(c) for i, c in ((2, VOLUME), (1, RUN))))
+    listed = spark.read.format("binaryFile").load(files)
+    runs = listed.select(*(F.regexp_extract("path", SERIES_NAME, i).alias(c) for i, c in ((2, VOLUME), (1, RUN))))
     add_runs(rows, path, runs.distinct())
 
 
