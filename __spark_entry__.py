@@ -12,10 +12,9 @@ Queries that read a snapshot more than once store it first, as a user would.
 
 from __future__ import annotations
 
+import importlib.util
 import pathlib
 import sys
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +28,7 @@ if str(ROOT) not in sys.path:
 import snapledger as sl  # noqa: E402
 from snapledger.functions.paths import basename, dirname  # noqa: E402
 from snapledger.operators import diff  # noqa: E402
+from snapledger.sources.ship import ship  # noqa: E402
 from snapledger.sources.store import new_folder  # noqa: E402
 
 # Prefix length of the partial mode here: shorter than most texts, so that the
@@ -380,29 +380,13 @@ def _as_tree(rows: DataFrame, label: str) -> str:
     return root
 
 
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Put the package on the executors, where file scans run Python."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    archive = pathlib.Path(tempfile.mkdtemp(prefix="snapledger-")) / "snapledger.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted((ROOT / "snapledger").rglob("*.py")):
-            z.write(source, source.relative_to(ROOT))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def tree_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ship(spark)
+    ship(spark)
     return sl.scan_tree(spark, _as_tree(_documents(spark, sf_dir), "tree")).snapshot
 
 
 def tree_partial_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ship(spark)
+    ship(spark)
     return sl.scan_tree(
         spark,
         _as_tree(_new(spark, sf_dir), "tree"),
@@ -414,13 +398,13 @@ def tree_partial_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ship(spark)
+    ship(spark)
     scan = sl.scan_tree(spark, _as_tree(_documents(spark, sf_dir), "tree"), mode=sl.PARTIAL, prefix_bytes=PREFIX)
     return scan.counters.drop("volume")
 
 
 def tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ship(spark)
+    ship(spark)
     return sl.duplicate_files(spark, _as_tree(_documents(spark, sf_dir), "tree"), prefix_bytes=PREFIX)
 
 
@@ -480,11 +464,30 @@ def entry(spark: SparkSession) -> DataFrame:
     return duplicates_full(spark, "/root/testdata/sf0.001")
 
 
+def _corpus_queries() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators; empty where that subpackage is absent."""
+    specs = [importlib.util.find_spec(m) for m in ("snapledger.llm", "corpus_pipeline")]
+    if not all(spec and spec.origin for spec in specs):
+        return {}, {}
+    import corpus_pipeline
+    from snapledger.llm import queries as corpus
+
+    found, sql = dict(corpus.QUERIES), dict(corpus.ORACLE_SQL)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: query for query in QUERIES} | _corpus_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_sql() | _corpus_queries()[1]
+
+
+def _own_sql() -> dict[str, str]:
     doc_path = "concat(source, '/', cast(doc_id as varchar), '.', lang)"
     moved = f"concat(case when n_chars >= {LONG} then 'archive/' else '' end, {doc_path})"
     edited = "case when lang = 'fr' then concat(text, chr(10)) else text end"
