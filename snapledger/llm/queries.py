@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.ship import ship
-from . import licenses, minhash, quality, secrets, toxicity
+from . import contamination, licenses, minhash, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +39,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"doc": "doc_id", "component": "component_id"})
 
 
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return contamination.digest(contamination.contaminated(docs, items))
+
+
 @_query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
