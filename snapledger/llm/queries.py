@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.ship import ship
-from . import contamination, licenses, minhash, quality, secrets, tokens, toxicity, warc
+from . import contamination, licenses, minhash, quality, secrets, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +69,8 @@ def _vocabulary(name: str) -> str:
 @_query
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+@_query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
