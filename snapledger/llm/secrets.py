@@ -302,7 +302,11 @@ def digest(found: DataFrame) -> DataFrame:
 
     spans = F.col("secret_spans")
     base = F.filter(spans, lambda s: s["kind"] < 3)
-    counts = {f"n_{k}": F.size(F.filter(spans, lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS)}
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": count(i) for i, k in enumerate(KINDS)}
     return found.select(
         "doc_id",
         *(counts[f"n_{k}"].alias(f"n_{k}") for k in KINDS[:3]),

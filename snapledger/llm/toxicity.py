@@ -54,7 +54,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done += n
 
 
-def _score(batches: Iterator[pa.RecordBatch], weights, bias: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], weights, bias: float, name: str = "score") -> Iterator[pa.RecordBatch]:
     w = weights.value
     for batch in batches:
         scores = [
@@ -63,7 +63,7 @@ def _score(batches: Iterator[pa.RecordBatch], weights, bias: float) -> Iterator[
         ]
         scores = np.concatenate(scores) if scores else np.zeros(0)
         kept = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores)], names=[*kept, "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores)], names=[*kept, name])
 
 
 def fit(y: np.ndarray, lists: list[np.ndarray], prior: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -162,5 +162,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.withColumn("_text", F.col(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = rows.drop("score").mapInArrow(partial(_score, weights=shared, bias=bias), f"{schema}, score double")
-    return scored.where("score < 0.5").select(*docs.columns)
+    own = partial(_score, weights=shared, bias=bias, name="_toxic_score")
+    return rows.mapInArrow(own, f"{schema}, _toxic_score double").where("_toxic_score < 0.5").select(*docs.columns)
