@@ -154,10 +154,10 @@ def near_duplicates(
         found = components(first.where(linked).union(second.where(linked)))
 
     named = nodes.select("k1", "k2", "node").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    own = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return (
         signed.drop("bands").join(named, ["k1", "k2"], "left")
-        .select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
-        .select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
+        .select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc")).alias("component"))
         .withColumn("kept", F.coalesce(F.col("doc") == F.col("component"), F.lit(True)))
     )
 

@@ -26,6 +26,7 @@ MAX_POSITIVE = 6_000  # texts to fit on, at most; the bound of what reaches the
 MAX_UNLABELLED = 12_000
 MIN_PRESENT = 5
 FEATURES = 20_000
+MIN_GAIN = 3.0  # standard errors by which a feature's share in the two samples must differ
 ROUNDS = 300
 FOLDS = 5
 
@@ -78,7 +79,7 @@ def fit(y: np.ndarray, lists: list[np.ndarray], prior: float, rounds: int = ROUN
     gain = (p - u) / np.sqrt(u * (1 - u) / n_p + p * (1 - p) / n_p)
     gain[in_p + in_u < MIN_PRESENT] = 0
     chosen = np.argsort(-np.abs(gain), kind="stable")[:FEATURES]
-    chosen = chosen[gain[chosen] != 0]
+    chosen = chosen[np.abs(gain[chosen]) >= MIN_GAIN]
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     seen = place[col] >= 0

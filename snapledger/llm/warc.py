@@ -128,7 +128,9 @@ class _Reader(DataSourceReader):
         with files.open_input_stream(f"{top}/{LISTING}") as f:
             return [_File(f"{self._path}/{name}") for name in f.read().decode().split()]
 
-    def read(self, partition: _File):
+    def read(self, partition: _File | None):
+        if partition is None:  # an archive without files
+            return
         files, path = _filesystem(partition.path)
         with files.open_input_stream(path, compression=None) as f:
             data = memoryview(f.read())

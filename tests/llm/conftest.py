@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import Row
 
-SECRET = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
+SECRET = "6df57b16f87eabefefcab67b433efd90636bb6bd4c15e9a08d27f3b1"
 BASE = " ".join(f"word{i} thing{i % 7}" for i in range(120))
 TEXTS = [
     BASE,

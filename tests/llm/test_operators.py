@@ -81,7 +81,7 @@ def test_licenses(docs, texts, nothing):
         want = (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})))
         assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want
         assert 0 <= got[i].score <= 1
-    assert got[11].labels == "apache-2,cc-by-nc,mit" and got[12].labels == "mpl-2" and got[0].labels == ""
+    assert got[11].labels == "apache-2,cc-by-nc,mit" and got[12].labels == "mpl" and got[0].labels == ""
     assert licenses.digest(licenses.scan(nothing)).count() == 0
 
 
@@ -228,7 +228,7 @@ def test_toxicity(spark, docs, nothing):
         toxic = i % 8 == 0
         w = list(rng.choice(common, 40)) + (["scumbag" + str(i % 5)] if toxic else [])
         rows.append((i, " ".join(rng.permutation(w))))
-        if i % 3 or toxic:
+        if rng.random() < 0.5:
             marks.append((i, int(toxic)))
     table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
     got = by_id(toxicity.digest(table, labels))
@@ -338,7 +338,7 @@ def test_segmentations_decode_and_differ(docs, texts, nothing):
     rows = segment.segmentations(docs, MODEL, k=4, check=True).collect()
     own = collections.defaultdict(list)
     for r in rows:
-        assert r.decoded and 0 < r.inclusion <= 1
+        assert r.decoded and r.log_inclusion <= 0
         own[r.doc].append(r)
     assert set(own) == {*texts, None}
     for group in own.values():
@@ -372,7 +372,7 @@ def test_samples_follow_the_distribution():
         assert all(abs(x[0] - math.log(chance[tuple(x[3].tolist())])) < 1e-9 for x in got)
         first[tuple(got[0][3].tolist())] += 1
         for x in got:
-            weight[tuple(x[3].tolist())] += math.exp(x[0]) / x[2]
+            weight[tuple(x[3].tolist())] += math.exp(x[0] - x[2])
     for path, p in chance.items():
         assert abs(first[path] / n - p) < 0.02
         if p > 0.01:
@@ -392,9 +392,8 @@ def test_queries_cover_the_operators():
 
 def test_pipeline_equals_its_operators(spark):
     import corpus_pipeline
-    from conftest import TESTDATA
 
-    sf = f"{TESTDATA}/sf0.001"
+    sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id: r.text for r in toxicity.reject_toxic(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     label = reference_components({i: shingles(t or "", 5) for i, t in kept.items()})
