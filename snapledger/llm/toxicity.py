@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from .textops import ALNUM, chunks, hashes, words
 
-BITS = 20
+BITS = 22
 PREFIXES = (4, 5, 6)
 MAX_POSITIVE = 6_000  # texts to fit on, at most; the bound of what reaches the driver
 MAX_UNLABELLED = 12_000
 MIN_PRESENT = 5
 FEATURES = 20_000
-MIN_GAIN = 3.0  # standard errors by which a feature's share in the two samples must differ
+MIN_GAIN = 5.0  # standard errors by which a feature's share in the two samples must differ
 ROUNDS = 300
 FOLDS = 5
 
