@@ -35,6 +35,7 @@ from snapledger.sources.store import new_folder  # noqa: E402
 # prefix matters. It is a parameter of the operator, not a cut of its input.
 PREFIX = 256
 LONG = 2000
+SPLIT = 500
 RUNS = ("2021-03-21PT2300", "2021-03-28PT2213", "2021-03-29PT2130")
 
 
@@ -208,12 +209,27 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(groups.where("n_rows > 1"))
 
 
+def split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups too large for one list: every part tells the group's size, and no path is lost."""
+    key = F.concat_ws("/", "l_orderkey", "l_linenumber")
+    rows = _table(spark, sf_dir, "lineitem").select(key.alias("path"), F.concat("l_returnflag", F.lit("|"), "l_linestatus").alias("content"))
+    groups = sl.group_paths(sl.stored(_snap(rows), compact=True), list_rows=SPLIT)
+    return groups.groupBy("hash").agg(
+        F.max("n_rows").alias("n_rows"), F.sum(F.size("paths")).alias("listed"), (F.count(F.lit(1)) > 1).alias("split")
+    )
+
+
 def hierarchical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(sl.nested_groups(sl.stored(fingerprint_levels(spark, sf_dir), compact=True)))
 
 
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = sl.stored(fingerprint_levels(spark, sf_dir), compact=True)
+    return levels.unionAll(levels)
+
+
 def flatten_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sl.flatten_groups(sl.nested_groups(sl.stored(fingerprint_levels(spark, sf_dir), compact=True)))
+    return sl.flatten_groups(sl.nested_groups(_twice(spark, sf_dir)))
 
 
 # --- comparison -------------------------------------------------------------------
@@ -430,6 +446,7 @@ QUERIES = (
     value_counts,
     duplicates_summary,
     duplicate_groups,
+    split_groups,
     hierarchical_groups,
     flatten_groups,
     removed,
@@ -646,12 +663,20 @@ def _own_sql() -> dict[str, str]:
             "string_agg(relative_path, chr(10) order by relative_path) as paths "
             f"from ({snap(documents)}) group by hash having count(*) > 1"
         ),
+        "split_groups": (
+            f"select hash, count(*) as n_rows, count(*) as listed, count(*) > {SPLIT} as split from ("
+            + snap(
+                "select concat(cast(l_orderkey as varchar), '/', cast(l_linenumber as varchar)) as path, "
+                "concat(l_returnflag, '|', l_linestatus) as content from lineitem"
+            )
+            + ") group by hash"
+        ),
         "hierarchical_groups": (
             "select file_size_bytes, partial_hash, fully_hashed, full_hash, cast(0 as bigint) as part, "
             "count(*) as n_rows, string_agg(relative_path, chr(10) order by relative_path) as paths "
             f"from ({levels}) group by file_size_bytes, partial_hash, fully_hashed, full_hash"
         ),
-        "flatten_groups": snap(documents),
+        "flatten_groups": f"select * from ({snap(documents)}) union all select * from ({snap(documents)})",
         "removed": f"{sides} {gone}",
         "added": f"{sides} {come}",
         "modified": f"{sides} {changed}",

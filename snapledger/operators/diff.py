@@ -127,10 +127,15 @@ def modified(
     ``value`` is the hash, or ``file_size_bytes`` for size-only snapshots.
     """
     require_same_tag(old, new)
-    left = _one_per_path(old, "old", _columns([value]), within, null_keys, validate)
-    right = _one_per_path(new, "new", _columns([value]), within, null_keys, validate)
-    both = left.join(right, _same_path(within, null_keys) & _differs(value), "inner")
-    return both.select(
+    kept = _columns([value]) | {HERE: F.lit(True)}
+    left = _one_per_path(old, "old", kept, within, null_keys, validate)
+    right = _one_per_path(new, "new", kept, within, null_keys, validate)
+    both = left.join(right, _same_path(within, null_keys), "full_outer")
+    here = [F.col(f"{side}_{HERE}").isNotNull() for side in ("old", "new")]
+    # As an inner join, an empty side would drop the other side and its check along with it. A draw in the
+    # condition keeps the optimizer from finding that the outer join's extra rows are not wanted.
+    wanted = F.forall(F.array(*here, _differs(value), F.rand(0) >= 0), lambda x: x)
+    return both.where(wanted).select(
         *(F.col(f"old_{c}").alias(c) for c in within), _path_of("old", null_keys).alias(PATH)
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import HASH, NOT_COMPUTED, PATH, SIZE
-from . import skew
 from .skew import N_ROWS, all_equal, key_counts
 
 LIST_ROWS = 100_000
@@ -16,30 +15,29 @@ LEVELS = (SIZE, "partial_hash", "fully_hashed", "full_hash")
 
 
 def group_paths(snapshot: DataFrame, keys: Sequence[str] = (HASH,), list_rows: int = LIST_ROWS) -> DataFrame:
-    """One sorted list of paths per group; a group too large for one list is split into parts.
-
-    Columns: the keys, ``part`` (0 unless split), ``n_rows``, ``paths``. The
-    parts of a group are disjoint and together hold all of its paths. A group
-    is split by a digest of the path, into parts of about
-    ``max(list_rows, all rows / MAX_HOT_KEYS)`` rows; fewer than
-    ``MAX_HOT_KEYS`` groups can exceed that, so the broadcast stays small.
-    A path repeated inside a group is listed once and counted in ``n_rows``.
+    """One sorted list of paths per group; a group of more than ``list_rows`` rows comes in parts.
+
+    Columns: the keys, ``part`` (0 unless split), ``n_rows`` (of the whole group, on every part), ``paths``. Parts are
+    disjoint, together hold every row's path, also repeated ones, and are dealt out by a digest of the path,
+    about ``list_rows`` each whatever the size of the snapshot. Totals are counted map-side; only those of large
+    groups are joined to the rows, by broadcast or by shuffle as their number allows.
     """
     keys = list(keys)
-    counts = key_counts(snapshot, keys)
-    most = F.greatest(F.lit(list_rows).cast("double"), skew.total_rows(snapshot) / skew.MAX_HOT_KEYS)
-    large = skew.broadcast_hot(
-        counts.where(F.col(N_ROWS) > most).select(
-            *(F.col(k).alias(f"large_{k}") for k in keys),
-            F.ceil(F.col(N_ROWS) / most).alias("parts"),
-        )
+    large = key_counts(snapshot, keys).where(F.col(N_ROWS) > list_rows)
+    large = large.select(
+        *(F.col(k).alias(f"large_{k}") for k in keys), F.col(N_ROWS).alias("total"), F.ceil(F.col(N_ROWS) / list_rows).alias("parts")
     )
     rows = snapshot.select(*keys, PATH)
     return (
         rows.join(large, all_equal(rows, large, [(k, f"large_{k}") for k in keys]), "left")
         .withColumn("part", F.coalesce(F.pmod(F.xxhash64(PATH), F.col("parts")), F.lit(0).cast("long")))
         .groupBy(*keys, "part")
-        .agg(F.count(F.lit(1)).alias(N_ROWS), F.sort_array(F.collect_set(PATH)).alias("paths"))
+        .agg(
+            F.coalesce(F.max("total"), F.count(F.lit(1))).alias(N_ROWS),
+            # A null path is a path too, and lists drop nulls.
+            F.sort_array(F.collect_list(F.struct(PATH))).alias("paths"),
+        )
+        .withColumn("paths", F.transform("paths", lambda x: x[PATH]))
     )
 
 

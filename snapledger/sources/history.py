@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +20,9 @@ from .tsv import READ_DIALECT, hash_column
 VOLUME, RUN, BASELINE = "volume", "run_id", "baseline_run_id"
 TAG, BASELINE_TAG = "hash_tag", "baseline_hash_tag"
 
-# Fixed value: how dated snapshot files are named, as run, volume, suffix.
-SERIES_NAME = r"([^/]+)-([^/-]+)-hashes\.tsv(?:\.gz|\.bz2)?(?:/[^/]*)?$"
+# Fixed value: how dated snapshot files are named, as run, volume, suffix. A run begins with its date; the
+# volume is all that follows, dashes included.
+SERIES_NAME = r"/(\d{4}-\d{2}-\d{2}[^-/]*)-([^/]+)-hashes\.tsv(?:\.gz|\.bz2)?(?:/[^/]*)?$"
 
 _RUN_FIELDS = [T.StructField(VOLUME, T.StringType()), T.StructField(RUN, T.StringType())]
 RUNS = T.StructType([T.StructField(TAG, T.StringType()), *_RUN_FIELDS])
@@ -58,6 +59,9 @@ def add_runs(rows: DataFrame, path: str, runs: DataFrame | None = None) -> None:
     volume that holds most rows.
     """
     kept = rows.select(PATH, HASH, SIZE, VOLUME, RUN)
+    if runs is not None:
+        # A run repeated without rows has no partition that the write below would replace.
+        _drop_rows(rows.sparkSession, path, runs.distinct())
     _replace_partitions(kept.hint("rebalance", F.col(VOLUME), F.col(RUN)), f"{path}/rows")
     runs = rows.select(VOLUME, RUN).distinct() if runs is None else runs
     tag = json.dumps(tag_of(rows), sort_keys=True)
@@ -80,6 +84,21 @@ def read_history(spark: SparkSession, path: str) -> History:
     return History(rows, runs)
 
 
+def _named(path: Column) -> list[Column]:
+    """Volume and run that the name of a series file gives; any other name fails the query."""
+    bad = F.raise_error(F.concat(F.lit("not the name of a dated snapshot: "), path)).cast("string")
+    fields = ((2, VOLUME), (1, RUN))
+    return [F.when(path.rlike(SERIES_NAME), F.regexp_extract(path, SERIES_NAME, i)).otherwise(bad).alias(c) for i, c in fields]
+
+
+def _drop_rows(spark: SparkSession, path: str, runs: DataFrame) -> None:
+    """Remove the stored rows of the given runs, one partition folder each. The list is that of one call of ``add_runs``."""
+    jvm, escape = spark._jvm, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for r in runs.toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/rows/{VOLUME}={escape(r[VOLUME])}/{RUN}={escape(r[RUN])}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def import_series(spark: SparkSession, folder: str, path: str, mode: str) -> None:
     """Add a folder of dated text snapshots, ``<run>-<volume>-hashes.tsv[.gz]``, to the history.
 
@@ -89,7 +108,6 @@ def import_series(spark: SparkSession, folder: str, path: str, mode: str) -> Non
     files = f"{folder.rstrip('/')}/*-hashes.tsv*"
     schema = [T.StructField(PATH, T.StringType()), T.StructField(hash_column(mode), T.StringType())]
     schema = T.StructType([*schema, T.StructField(SIZE, T.LongType())])
-    name = F.col("_metadata.file_path")
     rows = (
         spark.read.schema(schema)
         .options(**READ_DIALECT, multiLine=True)
@@ -98,12 +116,11 @@ def import_series(spark: SparkSession, folder: str, path: str, mode: str) -> Non
             PATH,
             F.col(hash_column(mode)).alias(HASH),
             SIZE,
-            F.regexp_extract(name, SERIES_NAME, 2).alias(VOLUME),
-            F.regexp_extract(name, SERIES_NAME, 1).alias(RUN),
+            *_named(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))),
         )
     )
     listed = spark.read.format("binaryFile").load(files)
-    runs = listed.select(*(F.regexp_extract("path", SERIES_NAME, i).alias(c) for i, c in ((2, VOLUME), (1, RUN))))
+    runs = listed.select(*_named(F.col("path")))
     add_runs(rows, path, runs.distinct())
 
 

@@ -18,6 +18,8 @@ import posixpath
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+from urllib.parse import quote, unquote
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -182,7 +184,7 @@ def _is_remote(path: str) -> bool:
 
 def _relative(location: str, base: str) -> str:
     if _is_remote(location):
-        return location.removeprefix(base.rstrip("/") + "/") if location != base else "."
+        return unquote(location.removeprefix(base.rstrip("/") + "/")) if location != base else "."
     return posixpath.relpath(location, base)
 
 
@@ -200,14 +202,20 @@ def _lister(bases: dict[str, str], suffixes: list[str], prefixes: list[str], bou
             yield volume, root, directory, here, DIRECTORY, None
         try:
             for name, kind, size in _entries(directory):
-                location = directory.rstrip("/") + "/" + name
                 path = name if here == "." else f"{here}/{name}"
+                if not _is_text(name):
+                    # Neither a column nor a URI can hold such a name: it is reported, escaped, and left out.
+                    path, kind = path.encode("utf-8", "backslashreplace").decode(), UNREADABLE if kind == DIRECTORY else OTHER
+                    yield volume, root, directory, path, kind, None
+                    continue
+                location = directory.rstrip("/") + "/" + (quote(name) if _is_remote(directory) else name)
                 if kind == DIRECTORY:
                     if not dropped_directory(path):
                         yield volume, root, location, path, kind, None
                 elif not any(name.endswith(s) for s in suffixes):
                     yield volume, root, location, path, kind, size
-        except OSError:
+        except (PermissionError, FileNotFoundError, NotADirectoryError):
+            # Any other error leaves it open what the directory holds, and fails the task.
             if directory == root:
                 raise
             yield volume, root, directory, here, UNREADABLE, None
@@ -215,6 +223,14 @@ def _lister(bases: dict[str, str], suffixes: list[str], prefixes: list[str], bou
     return list_one
 
 
+def _is_text(name: str) -> bool:
+    try:
+        name.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _entries(directory: str) -> Iterator[tuple]:
     if _is_remote(directory):
         from pyarrow import fs
@@ -227,8 +243,13 @@ def _entries(directory: str) -> Iterator[tuple]:
     with os.scandir(directory) as entries:
         for entry in entries:
             if entry.is_symlink():
-                # A link to a directory is not a file and is silently left alone.
-                if not entry.is_dir():
+                # A link to a directory is not a file and is silently left alone. One that cannot be
+                # followed, as it leads to itself or into a closed folder, is a link all the same.
+                try:
+                    to_directory = entry.is_dir()
+                except OSError:
+                    to_directory = False
+                if not to_directory:
                     yield entry.name, LINK, None
             elif entry.is_dir(follow_symlinks=False):
                 yield entry.name, DIRECTORY, None
@@ -241,6 +262,8 @@ def _stat(entry: os.DirEntry) -> tuple:
         size = entry.stat(follow_symlinks=False).st_size
     except FileNotFoundError:
         return VANISHED, None
+    except PermissionError:
+        return OTHER, None
     return (FILE, size) if entry.is_file(follow_symlinks=False) else (OTHER, None)
 
 

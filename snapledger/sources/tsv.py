@@ -20,6 +20,7 @@ log = logging.getLogger(__name__)
 
 # File suffix and the codec Spark writes for it.
 CODECS = {".gz": "gzip", ".bz2": "bzip2"}
+UNWRITABLE = (".zip", ".xz", ".zst", ".zstd", ".7z", ".lz4", ".br")
 
 # A file that does not fit the stated schema, in its header or its fields, fails the query.
 DIALECT = {"sep": "\t", "header": True, "escape": "\\"}
@@ -43,6 +44,8 @@ def write_tsv(df: DataFrame, path: str, mode: str, ordered: bool = False) -> Non
     The suffix of ``path`` chooses the compression. ``ordered`` sorts the rows,
     so that duplicates of one another are adjacent.
     """
+    if path.rstrip("/").endswith(UNWRITABLE):
+        raise ValueError(f"no codec for the suffix of {path!r}; .gz and .bz2 are written, or nothing")
     if ordered:
         df = df.orderBy(*(c for c in (HASH, SIZE, PATH) if c in df.columns))
     if HASH in df.columns:

@@ -113,12 +113,18 @@ def test_large_groups_come_in_parts(spark, monkeypatch):
     assert max(sizes) < 1000 and sum(sizes) == 30_000
     by_hash = Counter()
     for g in groups:
-        assert g["n_rows"] == len(g["paths"]) and list(g["paths"]) == sorted(g["paths"])
-        by_hash[g["hash"]] += g["n_rows"]
+        assert list(g["paths"]) == sorted(g["paths"])
+        by_hash[g["hash"]] += len(g["paths"])
     assert by_hash == Counter(r[0] for r in snap.select("hash").collect())
+    assert all(g["n_rows"] == by_hash[g["hash"]] for g in groups)
     assert len({p for g in groups for p in g["paths"]}) == 30_000
 
 
+def test_repeated_paths_stay_in_their_group(frame):
+    groups = sl.group_paths(frame(("a", "h", 1), ("a", "h", 1), ("b", "h", 1), (None, "h", 1)))
+    assert [(g["n_rows"], g["paths"]) for g in groups.collect()] == [(4, [None, "a", "a", "b"])]
+
+
 def test_nested_groups_flatten_back(spark, rows):
     source = spark.createDataFrame(
         [("a", "xy"), ("b", "xy"), ("c", "xyz1"), ("d", "xyz2"), ("e", "")], "k string, v string"
