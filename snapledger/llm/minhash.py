@@ -7,9 +7,9 @@ similarity of 0.8 a pair misses all 32 bands with a chance of about 5e-8 (at mos
 shingles, where the two values are less independent).
 
 Documents of equal sets are one node. In a bucket, every node is compared with the smallest one only;
-linked nodes fall into components, and only members of different components that share a bucket
-are compared further, unless their distances to the smallest one rule a link out (the Jaccard
-distance is a metric). So a group of copies costs about one comparison a copy and band, and
+linked nodes fall into components. Where a bucket still holds several, its other members meet a few of the
+largest one's, which merges nearly all of a group of copies; what stays apart is compared pair by
+pair, unless set sizes or the distances to the smallest one rule a link out (the Jaccard distance is a metric). So a group of copies costs about one comparison a copy and band, and
 no link is lost by that. Every link is confirmed on the full sets.
 """
 
@@ -21,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
@@ -30,6 +30,8 @@ from .textops import NOT_SPACE, chunks, constants, hashes, mix, runs, words
 
 PERMUTATIONS = 64
 BANDS = 32
+PIVOTS = 4  # members of a bucket's largest component that its other members are compared with in a round
+ROUNDS = 2
 SIMILARITY = 0.8
 _MULTIPLY = constants(PERMUTATIONS, 11)
 _SIGNED = "doc bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"
@@ -126,19 +128,50 @@ def near_duplicates(
     texts = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("text"))
     signed = stored(texts.mapInArrow(partial(_sign, width=width), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc is not null")
-    nodes = stored(some.groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands"))
+    nodes = stored(nodes, "nodes")
+    banded = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     centers = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
     shared = stored(banded.join(centers.select("key", "a"), "key").distinct(), "buckets")
     # Only documents that share a bucket are read again.
-    first = _compared(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), texts, width)
+    sizes = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("other"))
     percent = round(100 * similarity)
-    linked = F.col("n_both") * 100 >= percent * F.col("n_all")
-    found = components(first.where(linked))
 
-    # Members of one bucket that are in different components so far.
-    label = shared.join(found, "node", "left").select("key", "a", "node", F.coalesce("component", "node").alias("component"))
-    mixed = label.where("node <> a").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    def fits(x: str, y: str) -> Column:
+        """Sets whose sizes differ too much cannot be similar, whatever they share."""
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    stars = shared.where("node <> a").select("a", F.col("node").alias("b"), "size").distinct()
+    first = _compared(stars.join(sizes, "a").select("a", "b"), texts, width)
+    linked = F.col("n_both") * 100 >= percent * F.col("n_all")
+    done, links = first, first.where(linked)
+    found = components(links)
+
+    def labelled() -> DataFrame:
+        label = shared.join(found, "node", "left").select("key", "a", "node", "size", F.coalesce("component", "node").alias("component"))
+        return stored(label, "labelled")
+
+    # Buckets that still hold several components: some members of the largest one are compared with all others.
+    for turn in range(ROUNDS):
+        label = labelled()
+        picks = [F.max_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        each = label.groupBy("key", "component").agg(F.count("*").alias("n"), *picks)
+        top = each.groupBy("key").agg(
+            F.count("*").alias("parts"), F.max(F.struct("n", "component", *(f"p{i}" for i in range(PIVOTS)))).alias("top")
+        ).where("parts > 1")
+        pivots = top.select("key", F.col("top.component").alias("chief"), F.array_distinct(F.array(*(f"top.p{i}" for i in range(PIVOTS)))).alias("p"))
+        met = label.join(pivots, "key").where("component <> chief").select("node", "size", F.explode("p").alias("a")).distinct()
+        met = met.join(sizes, "a").where(fits("size", "other")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        more = _compared(met.distinct().join(done, ["a", "b"], "left_anti"), texts, width)
+        done = done.union(more)
+        if more.where(linked).isEmpty():
+            break
+        links = links.union(more.where(linked))
+        found = components(links)
+
+    # What is in different components of one bucket now is compared pair by pair, unless sizes or distances rule it out.
+    label = labelled()
+    mixed = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     far = first.select("a", F.col("b").alias("node"), (1 - F.col("n_both") / F.col("n_all")).alias("far"))
     rest = stored(label.where("node <> a").join(mixed.select("key"), "key").join(far, ["a", "node"]), "rest")
     x, y = rest.alias("x"), rest.alias("y")
@@ -147,11 +180,12 @@ def near_duplicates(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") < F.col("y.component"))
+        & fits("x.size", "y.size")
         & (F.abs(F.col("x.far") - F.col("y.far")) <= reach),
     ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    second = _compared(met.distinct(), texts, width)
+    second = _compared(met.distinct().join(done, ["a", "b"], "left_anti"), texts, width)
     if not second.where(linked).isEmpty():
-        found = components(first.where(linked).union(second.where(linked)))
+        found = components(links.union(second.where(linked)))
 
     named = nodes.select("k1", "k2", "node").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
