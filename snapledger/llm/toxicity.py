@@ -71,7 +71,7 @@ def fit(y: np.ndarray, lists: list[np.ndarray], prior: float, rounds: int = ROUN
     """(weight per hashed feature, bias) from confirmed (y = 1) and unlabelled (y = 0) texts."""
     size = 1 << BITS
     n = np.array([len(x) for x in lists])
-    row, col = np.repeat(np.arange(len(y)), n), np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)
+    row, col = np.repeat(np.arange(len(y), dtype=np.int32), n), np.concatenate([*lists, np.zeros(0, np.int32)])
     n_p, n_u = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     in_p = np.bincount(col, y[row], size)
     in_u = np.bincount(col, 1 - y[row], size)
