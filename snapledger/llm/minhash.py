@@ -10,15 +10,16 @@ Documents of equal sets are one node. In a bucket, every node is compared with t
 linked nodes fall into components. Where a bucket still holds several, its other members meet a few of the
 largest one's, which merges nearly all of a group of copies; what stays apart is compared pair by
 pair, unless something rules a link out: the distances to the smallest one (the Jaccard distance is a metric), or
-the set sizes less the shingles that no other document in question has, which are in no intersection. So a group of
-copies costs about one comparison a copy and band, and no link is lost by that. Every link is confirmed on the full
-sets.
+their bitmaps: each shingle flips one of ``BITS`` bits, so two sets differ in at least as many shingles as their bitmaps
+in bits. So a group of copies costs about one comparison a copy and band, and no link is lost by that. Every link is
+confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -32,6 +33,7 @@ from .textops import NOT_SPACE, chunks, constants, hashes, mix, runs, words
 
 PERMUTATIONS = 64
 BANDS = 32
+BITS = 1024
 PIVOTS = 4  # members of a bucket's largest component that its other members are compared with in a round
 ROUNDS = 2
 SIMILARITY = 0.8
@@ -110,49 +112,25 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([a, b, pa.array(both), pa.array(total)], names=["a", "b", "n_both", "n_all"])
 
 
-def _rare(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Shingles with their documents, packed by bucket of the shingle; two occurrences a batch tell that it is no rare one."""
+def bitmaps(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per set, BITS bits: whether an odd number of its shingles falls on each."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place, count = np.unique(row * BITS + (mix(s) % np.uint64(BITS)).astype(np.int64), return_counts=True)
+    place = place[count % 2 == 1]
+    out = np.zeros((len(at) - 1) * (BITS // 64), np.uint64)
+    np.bitwise_or.at(out, place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+    return out.reshape(len(at) - 1, BITS // 64)
+
+
+def _map(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sets, docs, done = batch.column(0).to_numpy(zero_copy_only=False), [], [], 0
+        done = 0
         for s, at in shingle_sets(batch.column(1), width):
             n = np.diff(at)
-            sets.append(s)
-            docs.append(np.repeat(ids[done : done + len(n)], n))
+            places = np.arange(0, (len(n) + 1) * (BITS // 64), BITS // 64, dtype=np.int32)
+            bits = pa.ListArray.from_arrays(places, pa.array(bitmaps(s, at).astype(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(n)), pa.array(n.astype(np.int64)), bits], names=["node", "size", "bits"])
             done += len(n)
-        s, doc = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([*docs, np.zeros(0, np.int64)])
-        order = np.argsort(s, kind="stable")
-        s, doc = s[order], doc[order]
-        few = np.ones(len(s), bool)
-        few[2:] = s[2:] != s[:-2]
-        s, doc = s[few], doc[few]
-        bucket = (s % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(at))
-        pieces = [order[at[b] : at[b + 1]] for b in some]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([s[p].tobytes() for p in pieces], pa.binary()), pa.array([doc[p].tobytes() for p in pieces], pa.binary())],
-            names=["bucket", "shingles", "docs"],
-        )
-
-
-def _single(table: pa.Table) -> pa.Table:
-    """Of one bucket: how many of a document's shingles occur nowhere else."""
-    s = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")])
-    doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
-    _, first, count = np.unique(s, return_index=True, return_counts=True)
-    node, n = np.unique(doc[first[count == 1]], return_counts=True)
-    return pa.table({"node": node, "n": n.astype(np.int64)})
-
-
-def _alone(nodes: DataFrame, signed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Stored (node, alone): the shingles that a node shares with none of ``nodes``; 0 where several texts have its id."""
-    buckets = 2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = texts.join(nodes, texts.doc == nodes.node, "left_semi").select("doc", "text")
-    packed = own.mapInArrow(partial(_rare, width=width, buckets=buckets), "bucket int, shingles binary, docs binary")
-    counts = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_single, "node bigint, n bigint")
-    once = signed.join(nodes, signed.doc == nodes.node, "left_semi").groupBy(F.col("doc").alias("node")).count().where("count = 1")
-    return stored(counts.groupBy("node").agg(F.sum("n").alias("alone")).join(once.select("node"), "node"), "alone")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -177,19 +155,21 @@ def near_duplicates(
     some = signed.where("n_shingles > 0 and doc is not null")
     nodes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc").alias("node"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
-    banded = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     centers = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
     shared = stored(banded.join(centers.select("key", "a"), "key").distinct(), "buckets")
     # Only documents that share a bucket are read again.
     percent = round(100 * similarity)
 
-    def fits(x: str, y: str, x_alone: str, y_alone: str) -> Column:
-        """Whether sets can be similar: what only one has is not shared, whatever else is."""
-        most = F.least(F.col(x) - F.col(x_alone), F.col(y) - F.col(y_alone))
-        return 100 * most >= percent * (F.col(x) + F.col(y) - most)
+    def fits(x: str, y: str) -> Column:
+        """Whether sets can be similar by what their bitmaps differ in at least."""
+        differ = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size"))
+        words = [F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64)]
+        bits = reduce(operator.add, words)
+        return (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size")) >= (100 + percent) * F.greatest(differ, bits)
 
-    stars = shared.where("node <> a").select("a", F.col("node").alias("b"), "size").distinct()
-    first = _compared(stars.select("a", "b").distinct(), texts, width)
+    stars = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = _compared(stars, texts, width)
     linked = F.col("n_both") * 100 >= percent * F.col("n_all")
     done, links = first, first.where(linked)
     found = components(links)
@@ -197,26 +177,28 @@ def near_duplicates(
     def labelled() -> DataFrame:
         """Members of the buckets that still hold several components."""
         own = F.coalesce("component", "node").alias("component")
-        label = stored(shared.join(found, "node", "left").select("key", "a", "node", "size", own), "labelled")
+        label = stored(shared.join(found, "node", "left").select("key", "a", "node", own), "labelled")
         several = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         return label.join(several.select("key"), "key")
 
     label = labelled()
-    solo = _alone(label.select("node").distinct(), signed, texts, width)
-    alone = F.coalesce("alone", F.lit(0))
-    sizes = nodes.join(solo, "node", "left").select(F.col("node").alias("a"), F.col("n_shingles").alias("other"), alone.alias("other_alone"))
+    members = label.select(F.col("node").alias("doc")).distinct()
+    maps = texts.join(members, "doc", "left_semi").select("doc", "text").mapInArrow(partial(_map, width=width), "node bigint, size bigint, bits array<bigint>")
+    maps = stored(maps, "bitmaps")
 
     # Buckets that still hold several components: some members of the largest one are compared with all others.
     for turn in range(ROUNDS):
-        label = stored((label if turn == 0 else labelled()).join(solo, "node", "left").withColumn("alone", alone), "open")
+        label = label if turn == 0 else labelled()
         picks = [F.max_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
         each = label.groupBy("key", "component").agg(F.count("*").alias("n"), *picks)
         top = each.groupBy("key").agg(
             F.count("*").alias("parts"), F.max(F.struct("n", "component", *(f"p{i}" for i in range(PIVOTS)))).alias("top")
         ).where("parts > 1")
         pivots = top.select("key", F.col("top.component").alias("chief"), F.array_distinct(F.array(*(f"top.p{i}" for i in range(PIVOTS)))).alias("p"))
-        met = label.join(pivots, "key").where("component <> chief").select("node", "size", "alone", F.explode("p").alias("a")).distinct()
-        met = met.join(sizes, "a").where(fits("size", "other", "alone", "other_alone")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        met = label.join(pivots, "key").where("component <> chief").select("node", F.explode("p").alias("a"))
+        met = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        x, y = maps.alias("x"), maps.alias("y")
+        met = met.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & fits("x", "y")).select("a", "b")
         more = _compared(met.distinct().join(done, ["a", "b"], "left_anti"), texts, width)
         done = done.union(more)
         if more.where(linked).isEmpty():
@@ -224,17 +206,17 @@ def near_duplicates(
         links = links.union(more.where(linked))
         found = components(links)
 
-    # What is in different components of one bucket now is compared pair by pair, unless sizes or distances rule it out.
-    label = labelled().join(solo, "node", "left").withColumn("alone", alone)
+    # What is in different components of one bucket now is compared pair by pair, unless bitmaps or distances rule it out.
+    label = labelled()
     far = first.select("a", F.col("b").alias("node"), (1 - F.col("n_both") / F.col("n_all")).alias("far"))
-    rest = stored(label.where("node <> a").join(far, ["a", "node"]), "rest")
+    rest = stored(label.where("node <> a").join(far, ["a", "node"]).join(maps, "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     reach = 1 - similarity + 1e-9
     met = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") < F.col("y.component"))
-        & fits("x.size", "y.size", "x.alone", "y.alone")
+        & fits("x", "y")
         & (F.abs(F.col("x.far") - F.col("y.far")) <= reach),
     ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     second = _compared(met.distinct().join(done, ["a", "b"], "left_anti"), texts, width)

@@ -136,6 +136,17 @@ def test_chains_and_large_groups(spark):
         assert got[i].component == c
 
 
+def test_bitmaps_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in (0, 1, 50, 900, 2500)]
+    at = np.cumsum([0, *map(len, sets)])
+    bits = minhash.bitmaps(np.concatenate(sets), at)
+    for x, a in zip(sets, bits, strict=True):
+        for y, b in zip(sets, bits, strict=True):
+            differ = sum(int(v).bit_count() for v in a ^ b)
+            assert differ <= len(np.setxor1d(x, y)) and (len(x) > 1 or len(y) > 1 or differ == len(np.setxor1d(x, y)))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
