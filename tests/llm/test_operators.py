@@ -92,6 +92,67 @@ def test_contained_detections_are_suppressed(spark):
     assert len(licenses.RULES) >= 200
 
 
+LICENCE_SPELLINGS = [
+    ("This is licensed under the GNU General Public License.", "gpl"),
+    ("It is licensed under the GNU General Public Licence.", "gpl"),
+    ("Distributed under the GNU General Public License v3.0 or later", "gpl-3"),
+    ("See the GNU General Public License v2 for details", "gpl-2"),
+    ("under version 2 of the GNU General Public License", "gpl-2"),
+    ("GNU General Public License as published by the Free Software Foundation; either version 3 of it", "gpl-3"),
+    ("released under GPLv3", "gpl-3"),
+    ("the GNU GPL v2 applies", "gpl"),
+    ("available under the GNU Lesser General Public Licence v2.1", "lgpl"),
+    ("GNU Affero General Public License v3.0", "agpl-3"),
+    ("GNU Affero General Public License", "agpl-3"),
+    ("licensed under the Apache License v2.0", "apache-2"),
+    ("Apache Licence 2.0", "apache-2"),
+    ("Apache License, Version 1.1", "apache-1.1"),
+    ("see the Apache License", "apache"),
+    ("released under the Mozilla Public License v2.0", "mpl-2"),
+    ("governed by the Mozilla Public License v1.1", "mpl-1.1"),
+    ("Mozilla Public Licence", "mpl"),
+    ("under the Eclipse Public License v2.0", "epl-2"),
+    ("Eclipse Public License - v 1.0", "epl-1"),
+    ("the Eclipse Public Licence", "epl"),
+    ("European Union Public Licence", "eupl"),
+    ("European Union Public License v. 1.2", "eupl"),
+    ("Common Development and Distribution License 1.0", "cddl"),
+    ("GNU Free Documentation Licence, version 1.3", "fdl"),
+    ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa"),
+    ("https://creativecommons.org/licenses/by-nc/4.0/", "cc-by-nc"),
+    ("released under a BSD 3-Clause License", "bsd-3"),
+    ("a two clause BSD licence", "bsd-2"),
+    ("Artistic License 2.0", "artistic-2"),
+    ("Boost Software License 1.0", "boost-1"),
+    ("Open Database Licence v1.0", "odbl"),
+    ("SIL Open Font License, Version 1.1", "ofl-1.1"),
+    ("Microsoft Public Licence", "ms-pl"),
+    ("Business Source License 1.1", "busl-1.1"),
+    ("Neither the name of X nor the names of its contributors may be used to endorse or promote products", "bsd-3"),
+    ("The Software shall be used for Good, not Evil.", "json"),
+    ("The origin of this software must not be misrepresented", "zlib"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl"),
+    ("the mozilla in the common garden has a general public", ""),
+    ("an apache pilot read version 2 of the clause in public", ""),
+]
+
+
+def test_names_in_their_usual_spellings(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENCE_SPELLINGS)], "doc_id long, text string")
+    got = by_id(licenses.digest(licenses.scan(rows)))
+    assert [(t, got[i].labels) for i, (t, _) in enumerate(LICENCE_SPELLINGS)] == LICENCE_SPELLINGS
+    assert all((got[i].score > 0) == bool(label) for i, (_, label) in enumerate(LICENCE_SPELLINGS))
+    assert licenses.HAND_WRITTEN >= 200
+
+
+def test_every_named_licence_is_found_where_it_is_granted():
+    trade = re.compile(licenses.TRADE)
+    for key, gate, rules in licenses.GROUPS:
+        assert re.compile(gate) and all(key == rule[1] and re.compile(rule[4]) for rule in rules)
+    for label, key, name in licenses.NAMES + licenses.FALLBACKS:
+        assert trade.search(f" under the {name} "), label
+
+
 # --- 3 ---
 
 
