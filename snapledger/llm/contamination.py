@@ -1,9 +1,9 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index holds, per term and document, the term's positions in the corpus. A phrase is found by
-intersecting offset-adjusted lists, rarest terms first: the postings of a window's rarest term give
-candidate starts, those of its next rarest terms confirm them, and a last look at the text itself
-compares the whole window. Only terms some window is anchored on are indexed by the query,
+The index holds, per term and document, the term's positions in the corpus. Phrases and proximity matches are
+found by intersecting offset-adjusted lists, rarest terms first: the postings of a window's rarest term give
+candidate starts, those of its next rarest terms confirm them within the slop, and a last look at the text itself
+slides over the adjusted positions of all the window's terms. A phrase is a match of spread 0. Only terms some window is anchored on are indexed by the query,
 the terms rarest in the corpus, so that frequent words never leave their scan.
 """
 
@@ -23,8 +23,10 @@ from .textops import ALNUM, chunks, hashes, words
 
 WINDOW = 10
 ANCHORS = 3
+SLOP = 2  # words by which each term of a proximity match may stand off its place
 MAX_TERMS = 2_000_000  # terms a task may hold (16 MB); beyond it they are joined instead
 _POSTINGS = "term bigint, doc bigint, positions array<int>"
+_NEAR = "array<struct<item:bigint,place:int,start:int,spread:int>>"
 _WINDOWS = "item bigint, place int, n int, terms array<bigint>"
 
 
@@ -96,24 +98,52 @@ def _post(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
             done += n
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare candidate windows with the text; (doc, n_hit, item ids' windows found)."""
+def _matches(slots: list[np.ndarray], slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, spread) of every match of a window; ``slots`` holds the sorted adjusted positions per word of it.
+
+    A match is an interval of adjusted positions that holds one of every slot, no wider than 2 * ``slop``, and holds no
+    smaller such interval. A start from which every word stands within ``slop`` of its place exists just if there is one.
+    """
+    ends = np.unique(np.concatenate(slots))
+    low = ends.copy()
+    for own in slots:  # the furthest start from which every slot is met up to each end
+        at = np.searchsorted(own, ends, "right") - 1
+        low = np.minimum(low, np.where(at >= 0, own[np.maximum(at, 0)], ends - 2 * slop - 1))
+    met = ends - low <= 2 * slop
+    low, ends = low[met], ends[met]
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    return low[new], (ends - low)[new]
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], slop: int) -> Iterator[pa.RecordBatch]:
+    """Look for candidate windows in the text; (doc, n_hit, windows found whole, proximity matches)."""
+    match = pa.struct([("window", pa.int64()), ("start", pa.int32()), ("spread", pa.int32())])
     for batch in batches:
-        done, found, hit = 0, [], []
+        done, found, hit, near = 0, [], [], []
         for h, first in _hashed(batch.column(1)):
             for a, b in zip(first[:-1], first[1:], strict=True):
-                own, mark, seen = h[a:b], np.zeros(b - a + 1, np.int64), set()
+                own, mark, seen, matches = h[a:b], np.zeros(b - a + 1, np.int64), set(), []
+                order = np.argsort(own, kind="stable")
+                ordered = own[order]
                 for c in batch.column(2)[done].as_py():
-                    n, s = len(c["terms"]), c["start"]
-                    if 0 <= s and s + n <= len(own) and np.array_equal(own[s : s + n], c["terms"]):
-                        mark[s] += 1
-                        mark[s + n] -= 1
-                        seen.add(c["window"])
+                    terms = np.array(c["terms"], np.int64)
+                    lo, hi = np.searchsorted(ordered, terms, "left"), np.searchsorted(ordered, terms, "right")
+                    if (lo == hi).any():
+                        continue
+                    for s, spread in zip(*_matches([order[x:y] - k for k, (x, y) in enumerate(zip(lo, hi, strict=True))], slop), strict=True):
+                        matches.append({"window": c["window"], "start": int(s), "spread": int(spread)})
+                        if not spread:
+                            mark[s] += 1
+                            mark[s + len(terms)] -= 1
+                            seen.add(c["window"])
                 hit.append(int((np.cumsum(mark[:-1]) > 0).sum()))
                 found.append(sorted(seen))
+                near.append(matches)
                 done += 1
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "n_hit", "windows"]
+            [batch.column(0), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(near, pa.list_(match))],
+            names=["doc", "n_hit", "windows", "near"],
         )
 
 
@@ -143,9 +173,13 @@ def _held(terms: DataFrame):
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", width: int = WINDOW
+    docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", width: int = WINDOW, slop: int = SLOP
 ) -> DataFrame:
-    """(doc, n_words, n_hit, items array<bigint>) per document.
+    """(doc, n_words, n_hit, items array<bigint>, near array<struct<item, place, start, spread>>) per document.
+
+    ``near`` has every proximity match of every window, phrases (of spread 0) included: the item and the window's place
+    in it, the least of the words' positions less their offsets, and how far these differ, up to twice ``slop``. A word that
+    a window repeats may be met by one occurrence within reach of both places. ``n_hit`` and ``items`` are of phrases alone.
 
     Words are runs of ASCII letters (A-Z lowered), digits and non-ASCII characters. Null and empty texts have no
     words; an empty benchmark hits nothing. Ids are expected once: rows of a repeated id are each matched
@@ -177,40 +211,52 @@ def contaminated(
 
     first = anchors.where("rank = 1").join(postings, "term").where("doc is not null")
     starts = first.select("window", "doc", F.explode("positions").alias("position"), "offset")
-    starts = starts.select("window", "doc", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
+    starts = starts.select("window", "doc", (F.col("position") - F.col("offset")).alias("start")).where(F.col("start") >= -2 * slop)
     for rank in range(2, ANCHORS + 1):
         # Windows with fewer distinct terms have no anchor of this rank and pass.
         own = anchors.where(F.col("rank") == rank).select("window", "term", "offset")
         needed = starts.join(own, "window", "left")
         starts = needed.join(postings, ["term", "doc"], "left").where(
-            F.col("term").isNull() | F.array_contains("positions", F.col("start") + F.col("offset"))
+            F.col("term").isNull() | F.exists("positions", lambda p: F.abs(p - F.col("offset") - F.col("start")) <= 2 * slop)
         ).select("window", "doc", "start")
-    candidates = starts.join(unique, "window").groupBy("doc").agg(F.collect_set(F.struct("window", "start", "terms")).alias("found"))
+    candidates = starts.select("window", "doc").distinct().join(unique, "window")
+    candidates = candidates.groupBy("doc").agg(F.collect_list(F.struct("window", "terms")).alias("found"))
     checked = texts.join(candidates, "doc").select("doc", "text", "found")
-    hits = stored(checked.mapInArrow(_confirm, "doc bigint, n_hit bigint, windows array<bigint>").where("n_hit > 0"), "hits")
+    schema = "doc bigint, n_hit bigint, windows array<bigint>, near array<struct<window:bigint,start:int,spread:int>>"
+    hits = stored(checked.mapInArrow(partial(_confirm, slop=slop), schema).where(F.size("near") > 0), "hits")
+    near = hits.select("doc", F.explode("near").alias("m")).select("doc", "m.window", "m.start", "m.spread")
+    near = near.join(cut.select("window", "item", "place"), "window").distinct()
+    near = near.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("item", "place", "start", "spread"))).alias("near"))
     named = hits.select("doc", F.explode("windows").alias("window")).join(cut.select("window", "item"), "window")
     named = named.groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
     return (
         counted.where("what = 0").select(F.col("key").alias("doc"), F.col("n").alias("n_words"))
-        .join(hits.groupBy("doc").agg(F.max("n_hit").alias("n_hit")).join(named, "doc"), "doc", "left")
+        .join(hits.groupBy("doc").agg(F.max("n_hit").alias("n_hit")).join(named, "doc", "left").join(near, "doc", "left"), "doc", "left")
         .select("doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-                F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+                F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+                F.coalesce("near", F.array().cast(_NEAR)).alias("near"))
     )
 
 
+def _slid(batches: Iterator[pa.RecordBatch], slop: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for window, doc, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            start, spread = _matches([np.sort(np.array(x, np.int64)) for x in slots], slop)
+            out += [(window, doc, int(a), int(b)) for a, b in zip(start, spread, strict=True)]
+        types = {"window": pa.int64(), "doc": pa.int64(), "start": pa.int32(), "spread": pa.int32()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types.values())], names=list(types))
+
+
 def proximity(postings: DataFrame, cut: DataFrame, slop: int) -> DataFrame:
-    """(window, doc, start) where every distinct term of a window stands within ``slop`` of its place.
+    """(window, doc, start, spread) of every match in which each word of a window stands within ``slop`` of its place.
 
-    ``postings`` of all the windows' terms, ``cut`` from ``windows``. Places are counted in cells of
-    ``slop + 1`` starts, each term in its own cell and the next, so a match is found in one cell at least.
+    ``postings`` of all the windows' terms, ``cut`` from ``windows``. The query finds the same over its smaller index.
     """
-    unique = cut.dropDuplicates(["window"]).select("window", F.posexplode("terms").alias("offset", "term"))
-    need = unique.groupBy("window").agg(F.countDistinct("term").alias("need"))
-    at = unique.join(postings, "term").select("window", "doc", "term", "offset", F.explode("positions").alias("position"))
-    cell = F.floor((F.col("position") - F.col("offset")) / (slop + 1))
-    cells = at.select("window", "doc", "term", F.explode(F.array(cell, cell - 1)).alias("cell"))
-    met = cells.groupBy("window", "doc", "cell").agg(F.countDistinct("term").alias("met")).join(need, "window").where("met = need")
-    return met.groupBy("window", "doc").agg((F.min("cell") * (slop + 1)).alias("start"))
+    unique = cut.dropDuplicates(["window"]).select("window", F.size("terms").alias("need"), F.posexplode("terms").alias("offset", "term"))
+    at = unique.join(postings, "term").select("window", "doc", "need", F.transform("positions", lambda p: p - F.col("offset")).alias("own"))
+    met = at.groupBy("window", "doc").agg(F.first("need").alias("need"), F.collect_list("own").alias("slots")).where(F.size("slots") == F.col("need"))
+    return met.select("window", "doc", "slots").mapInArrow(partial(_slid, slop=slop), "window bigint, doc bigint, start int, spread int")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -218,6 +264,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("doc").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join(F.transform("near", lambda m: F.concat_ws(":", *(m[k].cast("string") for k in ("item", "place", "start", "spread")))), ",").alias("near"),
     )
 
 

@@ -289,6 +289,41 @@ def test_proximity(spark, docs):
     assert near(0) == set() and near(2) == {13}
 
 
+def near_centres(words, terms, slop):
+    reach = range(-2 * slop - len(terms), len(words) + 2 * slop)
+    fits = lambda s: all(t in words[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, t in enumerate(terms))
+    return {s for s in reach if fits(s)}
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2, 4])
+def test_every_proximity_match_at_any_shift(spark, slop):
+    rng = np.random.default_rng(slop)
+    passages = ["a x x b x x c", "b a c", "a b c", "c x a b", "a x b x x x x c", "d d a d", "d a d", "a b c x x a x b x c"]
+    rows = [" ".join(["y"] * k + [p] + ["y"] * 4 + [p]) for p in passages for k in range(7)]
+    rows += [" ".join(rng.choice(list("abcdxy"), 30)) for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    items = {1: "a b c", 2: "d a d", 3: "c b a d b", 4: "a"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = {(i, j): near_centres(r.split(), items[j].split(), slop) for i, r in enumerate(rows) for j in items}
+    want = {k: v for k, v in want.items() if v}
+    cut = contamination.windows(bench)
+    item = {r.window: r.item for r in cut.collect()}
+    alone, query = collections.defaultdict(set), collections.defaultdict(set)
+    for r in contamination.proximity(contamination.index(table), cut, slop).collect():
+        alone[r.doc, item[r.window]] |= set(range(r.start + r.spread - slop, r.start + slop + 1))
+    for r in contamination.contaminated(table, bench, slop=slop).collect():
+        for m in r.near:
+            query[r.doc, m.item] |= set(range(m.start + m.spread - slop, m.start + slop + 1))
+    assert alone == want and query == want
+
+
+def test_the_query_returns_proximity_matches(spark):
+    table = spark.createDataFrame([(1, "x alpha beta x gamma x"), (2, "alpha beta gamma"), (3, "alpha beta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
+    got = by_id(contamination.digest(contamination.contaminated(table, bench)))
+    assert [(got[i].contaminated, got[i].near) for i in (1, 2, 3)] == [(False, "7:0:1:1"), (True, "7:0:0:0"), (False, "")]
+
+
 # --- 6 ---
 
 
