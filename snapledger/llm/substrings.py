@@ -7,11 +7,15 @@ equal names. Windows whose name occurs once in the corpus are unique and stay wh
 multikey sort on their first 8 bytes (shallow), and then by a blind trie per group of equal prefixes (deep): the
 group's earliest suffix is the trie's path, every other hangs off it where their common prefix ends, and the
 branches are groups of their own. Suffixes that follow the path to its end repeat it.
+
+Names in more than ``CROWD`` places are counted first, combined map-side, and never dealt out by name. Of their windows only a
+128-bit digest and the place are kept: the earliest place per digest is found map-side, and every later one repeats it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import MAX_HOT_KEYS, broadcast_hot
 from ..sources.store import stored
 from .textops import chunks, constants, mix
 
 LENGTH = 100
 GRAM = 24
-CROWD = 20_000  # occurrences of a name over which its windows are dealt out one by one, by their content
+CROWD = 20_000  # occurrences of a name over which its windows are matched by digest
 _C = constants(3, 21)
 
 
@@ -80,8 +85,32 @@ def ties(h: np.ndarray, name: np.ndarray) -> np.ndarray:
     return naming[1:][h[naming[1:]] == h[naming[:-1]]]
 
 
-def _names(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Names of every run with their documents, packed by bucket of the name."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, n): how often each name occurs, per batch."""
+    for batch in batches:
+        names = [np.zeros(0, np.uint64)]
+        for _lo, _hi, data, offsets in chunks(batch.column(0)):
+            name, _, _, h, of = runs(data, offsets)
+            names += [name, h[ties(h, of)]]
+        name, n = np.unique(np.concatenate(names), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(n)], names=["name", "n"])
+
+
+def _crowded(batches: Iterator[pa.RecordBatch], crowd) -> Iterator[pa.RecordBatch]:
+    """(doc, name, crowded) of the crowded names each document has."""
+    for batch in batches:
+        ids, docs, names = batch.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for lo, _hi, data, offsets in chunks(batch.column(1)):
+            name, first, _, _, _ = runs(data, offsets)
+            held = np.isin(name, crowd.value)
+            names.append(name[held])
+            docs.append(ids[lo + np.searchsorted(offsets, first[held], "right") - 1].astype(np.int64))
+        name, doc = np.concatenate(names).astype(np.int64), np.concatenate(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.array(np.ones(len(doc), bool))], names=["doc", "name", "crowded"])
+
+
+def _names(batches: Iterator[pa.RecordBatch], buckets: int, crowd) -> Iterator[pa.RecordBatch]:
+    """Names of every run with their documents, packed by bucket of the name; without the crowded names."""
     for batch in batches:
         ids, names, docs = batch.column(0).to_numpy(zero_copy_only=False), [], []
         for lo, _hi, data, offsets in chunks(batch.column(1)):
@@ -90,6 +119,8 @@ def _names(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             names += [name, h[again]]
             docs.append(ids[lo + np.searchsorted(offsets, np.concatenate([first, again]), "right") - 1])
         name, doc = np.concatenate(names), np.concatenate(docs).astype(np.int64)
+        alone = ~np.isin(name, crowd.value)
+        name, doc = name[alone], doc[alone]
         bucket = (name % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         at = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -114,7 +145,7 @@ def _common(table: pa.Table) -> pa.Table:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the runs whose names are common: (key, doc, place, windows, bytes)."""
+    """Bytes of the runs whose names are common and not crowded: (key, doc, place, windows, bytes)."""
     for batch in batches:
         done, out = 0, []
         ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
@@ -122,24 +153,54 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, first, last, _, _ = runs(data, offsets)
             raw, at = data.tobytes(), np.searchsorted(first, offsets)
             for i in range(hi - done):
-                wanted = {x["name"]: x["crowded"] for x in lists[done + i].as_py()}
+                wanted = {x["name"] for x in lists[done + i].as_py() if not x["crowded"]}
                 for k in range(at[i], at[i + 1]):
                     key = int(name[k].astype(np.int64))
-                    if key not in wanted:
-                        continue
-                    place = int(first[k] - offsets[i])
-                    if not wanted[key]:
-                        out.append((key, int(ids[done + i]), place, int(last[k] - first[k] + 1), raw[first[k] : last[k] + LENGTH]))
-                        continue
-                    for p in range(first[k], last[k] + 1):
-                        window = raw[p : p + LENGTH]
-                        own = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                        out.append((own, int(ids[done + i]), int(p - offsets[i]), 1, window))
+                    if key in wanted:
+                        out.append((key, int(ids[done + i]), int(first[k] - offsets[i]), int(last[k] - first[k] + 1), raw[first[k] : last[k] + LENGTH]))
             done = hi
         types = {"key": pa.int64(), "doc": pa.int64(), "place": pa.int32(), "n": pa.int32(), "bytes": pa.binary()}
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types.values())], names=list(types))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(high, low, doc, place) of every window of a crowded name; high and low are halves of its digest."""
+    for batch in batches:
+        done, out = 0, []
+        ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        for _lo, hi, data, offsets in chunks(batch.column(1)):
+            name, first, last, _, _ = runs(data, offsets)
+            raw, at = data.tobytes(), np.searchsorted(first, offsets)
+            for i in range(hi - done):
+                wanted = {x["name"] for x in lists[done + i].as_py() if x["crowded"]}
+                for k in range(at[i], at[i + 1]):
+                    if int(name[k].astype(np.int64)) in wanted:
+                        for p in range(first[k], last[k] + 1):
+                            own = hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest()
+                            out.append((*struct.unpack("<qq", own), int(ids[done + i]), int(p - offsets[i])))
+            done = hi
+        types = {"high": pa.int64(), "low": pa.int64(), "doc": pa.int64(), "place": pa.int32()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types.values())], names=list(types))
+
+
+def _later(windows: DataFrame) -> DataFrame:
+    """(doc, first, last) of the windows that stand earlier too.
+
+    The earliest place per digest is found map-side. Digests that hold over 1 / MAX_HOT_KEYS of the windows are
+    broadcast, so that their windows never meet in a task; the others are joined.
+    """
+    digest = ["high", "low"]
+    least = windows.groupBy(*digest).agg(F.min(F.struct("doc", "place")).alias("least"), F.count("*").alias("n"))
+    least = stored(least.where("n > 1"), "earliest")
+    limit = windows.count() / MAX_HOT_KEYS
+    hot = least.where(F.col("n") > limit).select(*digest, "least")
+    cold = least.where(F.col("n") <= limit).select(*digest, "least")
+    rest = windows.join(broadcast_hot(hot.select(*digest)), digest, "left_anti")
+    both = windows.join(broadcast_hot(hot), digest).unionByName(rest.join(cold, digest))
+    later = both.where(F.struct("doc", "place") > F.col("least"))
+    return later.select("doc", F.col("place").alias("first"), F.col("place").alias("last"))
+
+
 def repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Which suffixes repeat, over LENGTH bytes, an earlier one of their group.
 
@@ -253,13 +314,20 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", text
     long = sizes.where((F.col("n_bytes") >= LENGTH) & F.col("doc").isNotNull())
     firsts = long.groupBy("sha").agg(F.min("doc").alias("first"))
     own = rows.where("doc is not null")
-    packed = own.mapInArrow(partial(_names, buckets=buckets), "bucket int, names binary, docs binary")
+    counts = own.select("text").mapInArrow(_counts, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    counts = stored(counts.where(F.col("n") > CROWD), "crowded")
+    crowd = spark.sparkContext.broadcast(counts.select("name").toArrow().column("name").to_numpy().astype(np.int64).view(np.uint64))
+    packed = own.mapInArrow(partial(_names, buckets=buckets, crowd=crowd), "bucket int, names binary, docs binary")
     common = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_common, "doc bigint, name bigint, crowded boolean")
+    if len(crowd.value):
+        common = common.unionByName(own.mapInArrow(partial(_crowded, crowd=crowd), "doc bigint, name bigint, crowded boolean"))
     lists = common.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi").groupBy("doc")
     lists = stored(lists.agg(F.collect_set(F.struct("name", "crowded")).alias("names")), "names")
     found = own.join(lists, "doc").select("doc", "text", "names")
     contexts = found.mapInArrow(_contexts, "key bigint, doc bigint, place int, n int, bytes binary")
     ranges = contexts.repartition(2 * buckets, "key").mapInArrow(_sorted, "doc bigint, first int, last int")
+    crowds = found.where(F.exists("names", lambda x: x["crowded"]))
+    ranges = ranges.unionByName(_later(stored(crowds.mapInArrow(_windows, "high bigint, low bigint, doc bigint, place int"), "windows")))
     ranges = stored(ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
     schema = "doc bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     cut = own.join(ranges, "doc").select("doc", "text", "ranges").mapInArrow(partial(_cut, texts=texts), schema)

@@ -409,6 +409,23 @@ def test_crowded_names_give_the_same(docs, monkeypatch):
     assert sorted(map(tuple, substrings.remove_repeats(docs.where("doc_id is not null")).collect())) == want
 
 
+def test_no_task_holds_all_of_a_crowded_name(docs, monkeypatch):
+    some = docs.where("doc_id is not null")
+    want = sorted(map(tuple, substrings.remove_repeats(some).collect()))
+    bucket = substrings._common
+
+    def bounded(table):
+        out = bucket(table)
+        name = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")])
+        assert np.unique(name, return_counts=True)[1].max(initial=0) <= 3
+        return out
+
+    monkeypatch.setattr(substrings, "_common", bounded)
+    monkeypatch.setattr(substrings, "CROWD", 3)
+    monkeypatch.setattr(substrings, "MAX_HOT_KEYS", 200)
+    assert sorted(map(tuple, substrings.remove_repeats(some).collect())) == want
+
+
 # --- 9 ---
 
 
