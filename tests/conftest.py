@@ -8,10 +8,14 @@ ROOT = pathlib.Path(__file__).resolve().parent.parent
 if str(ROOT) not in sys.path:
     sys.path.insert(0, str(ROOT))
 
-TESTDATA = "/root/testdata"
 SNAPSHOT = "relative_path string, hash string, file_size_bytes long"
 
 
+@pytest.fixture(scope="session")
+def testdata():
+    return "/root/testdata"
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

@@ -2,7 +2,6 @@
 
 import pytest
 import snapledger as sl
-from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 N = 256
@@ -33,9 +32,9 @@ CASES = {
 
 
 @pytest.fixture(scope="module", params=[("sf0.001", 0), ("sf0.01", 1)], ids=["sf0.001", "sf0.01"])
-def measured(spark, request):
+def measured(spark, request, testdata):
     sf, column = request.param
-    docs = spark.read.parquet(f"{TESTDATA}/{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{testdata}/{sf}/documents.parquet")
     key = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
     snap = sl.stored(sl.snapshot(docs, key, "text"))
     partial = sl.stored(sl.snapshot(docs, key, "text", sl.PARTIAL, N))
@@ -52,8 +51,8 @@ def measured(spark, request):
             sl.stored(state(F.col("doc_id") % 13 != 0, F.col("text"), mode)),
         )
     )
-    pages = sl.snapshot(spark.read.parquet(f"{TESTDATA}/{sf}/pages.parquet"), "url", "html")
-    turns = spark.read.parquet(f"{TESTDATA}/{sf}/conversations.parquet")
+    pages = sl.snapshot(spark.read.parquet(f"{testdata}/{sf}/pages.parquet"), "url", "html")
+    turns = spark.read.parquet(f"{testdata}/{sf}/conversations.parquet")
     summary = sl.duplicate_summary(snap).first()
     read = sl.scan_counters(snap, sl.PARTIAL, N).first()
     assert summary["duplicate_rows"] == sl.duplicates(snap).count()

@@ -3,7 +3,6 @@
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from conftest import TESTDATA
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -14,10 +13,10 @@ OWN = [query.__name__ for query in entry.QUERIES]
 
 
 @pytest.fixture(scope="module")
-def tables():
+def tables(testdata):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{TESTDATA}/sf0.001/{t}.parquet')")
+        con.execute(f"create view {t} as select * from read_parquet('{testdata}/sf0.001/{t}.parquet')")
     return con
 
 
@@ -26,8 +25,8 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", OWN)
-def test_query_equals_sql(spark, tables, name):
-    got = entry.queries()[name](spark, f"{TESTDATA}/sf0.001")
+def test_query_equals_sql(spark, tables, testdata, name):
+    got = entry.queries()[name](spark, f"{testdata}/sf0.001")
     want = tables.execute(entry.oracle_sql()[name])
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
