@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.ship import ship
-from . import contamination, licenses, minhash, quality, secrets, segment, substrings, tokens, toxicity, warc
+from . import contamination, licenses, lines, minhash, quality, secrets, segment, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,3 +80,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return segment.digest(segment.segmentations(docs, _vocabulary("piece_bpe_32k.model"), k=2, check=True))
+
+
+@_query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+ORACLE_SQL["op13_line_dedup"] = lines.SQL
