@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.ship import ship
-from . import contamination, licenses, lines, minhash, quality, secrets, segment, substrings, tokens, toxicity, warc
+from . import contamination, licenses, lines, minhash, periods, prefixes, quality, secrets, segment, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,9 +82,23 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.digest(segment.segmentations(docs, _vocabulary("piece_bpe_32k.model"), k=2, check=True))
 
 
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return prefixes.trie(prefixes.rebuilt(prefixes.sequences(turns)))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", periods.planted(docs.doc_id, docs.text).alias("text"))
+    return periods.digest(periods.find_runs(docs)).withColumnRenamed("doc", "doc_id")
+
+
 @_query
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+ORACLE_SQL["op11_prefix_trie"] = prefixes.SQL
 ORACLE_SQL["op13_line_dedup"] = lines.SQL
