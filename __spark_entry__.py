@@ -284,6 +284,99 @@ def repeated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.repeated_keys(_merged(spark, sf_dir))
 
 
+# --- moves, shared content, space ------------------------------------------------------
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.moves(*(sl.stored(s, compact=True) for s in _both(spark, sf_dir)))
+
+
+def _order_states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Orders whose content is their status, so a handful of hashes hold all; then without the small ones, and the urgent moved."""
+    orders, status = _table(spark, sf_dir, "orders"), F.col("o_orderstatus").alias("content")
+    place = F.when(F.col("o_orderpriority").startswith("1"), "urgent/").otherwise("")
+    states = [
+        orders.select(_path("orders/", _text("o_orderkey")).alias("path"), status),
+        orders.where("o_totalprice > 100000").select(_path("orders/", place, _text("o_orderkey")).alias("path"), status),
+    ]
+    return [sl.stored(_snap(rows), compact=True) for rows in states]
+
+
+def moves_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves among rows of which a handful of hashes hold all."""
+    return sl.moves(*_order_states(spark, sf_dir))
+
+
+def moves_across_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long documents go from the first volume to the second, where pages are."""
+    long, short = F.col("n_chars") >= LONG, F.col("n_chars") < LONG
+    table = _table(spark, sf_dir, "documents")
+    some = {k: table.where(c).select(_doc_path().alias("path"), F.col("text").alias("content")) for k, c in (("long", long), ("short", short))}
+    pages = _pages(spark, sf_dir)
+    runs = [
+        ("disk1", RUNS[0], _documents(spark, sf_dir)),
+        ("disk2", RUNS[0], pages),
+        ("disk1", RUNS[1], some["short"]),
+        ("disk2", RUNS[1], pages.unionByName(some["long"])),
+    ]
+    return sl.Volumes(_stored_runs(spark, [(v, r, _snap(rows)) for v, r, rows in runs])).moves()
+
+
+def shared_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.shared_between(*_both(spark, sf_dir))
+
+
+def shared_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between rows of which a handful of hashes hold all: a few rows per path, not one per pair."""
+    return sl.shared_between(*_order_states(spark, sf_dir))
+
+
+def shared_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.shared_classes(*_order_states(spark, sf_dir))
+
+
+def space_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.space_lost(_snap(_documents(spark, sf_dir)))
+
+
+def space_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.space_by_directory(_merged(spark, sf_dir))
+
+
+def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.growth(*_both(spark, sf_dir))
+
+
+def growth_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.growth_by_directory(*_both(spark, sf_dir, sl.SIZE_ONLY))
+
+
+def modified_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a history whose customers' first run was stored without times."""
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    folder, dated = new_folder(spark, "history"), F.col("o_orderdate").cast("timestamp")
+    path = _path("orders/", _text("o_orderkey"))
+    content = _path(F.col("o_orderstatus"), "|", F.col("o_orderpriority"))
+    edited = F.when(F.col("o_orderpriority").startswith("1"), F.concat(content, F.lit("!"))).otherwise(content)
+    touched = F.when(F.col("o_totalprice") > 100_000, dated + F.expr("interval 1 day")).otherwise(dated)
+    named = customers.select(_path("customers/", _text("c_custkey")).alias("path"), F.col("c_name").alias("content"), F.col("c_mktsegment").alias("segment"))
+    shouted = F.when(F.col("segment") == "BUILDING", F.upper("content")).otherwise(F.concat("content", F.lit("?")))
+    noon = F.lit("2021-03-28 12:00:00").cast("timestamp")
+
+    def add(volume: str, run: str, rows: DataFrame, mtime: Column | None) -> None:
+        # A snapshot has three columns; times are joined on by whoever has them.
+        kept = rows.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256)).withColumn("file_size_bytes", F.octet_length("content").cast("long"))
+        kept = kept.withColumnRenamed("path", sl.PATH)
+        kept = kept if mtime is None else kept.withColumn(sl.MTIME, mtime)
+        sl.add_run(kept, folder, volume, run)
+
+    add("orders", RUNS[0], orders.select(path.alias("path"), content.alias("content"), dated.alias("at")), F.col("at"))
+    add("orders", RUNS[1], orders.select(path.alias("path"), edited.alias("content"), touched.alias("at")), F.col("at"))
+    add("customers", RUNS[0], named, None)
+    add("customers", RUNS[1], named.withColumn("content", shouted), noon)
+    return sl.Volumes(sl.read_history(spark, folder)).modified_by_time()
+
+
 # --- text files, history, counters ---------------------------------------------------
 
 
@@ -320,7 +413,10 @@ def _runs(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> sl.History:
-    runs = _runs(spark, sf_dir)
+    return _stored_runs(spark, _runs(spark, sf_dir))
+
+
+def _stored_runs(spark: SparkSession, runs: list[tuple[str, str, DataFrame]]) -> sl.History:
     folder = new_folder(spark, "history")
     rows = [snap.withColumns({"volume": F.lit(v), "run_id": F.lit(r)}) for v, r, snap in runs]
     pairs = spark.createDataFrame([(v, r) for v, r, _ in runs], "volume string, run_id string")
@@ -459,6 +555,17 @@ QUERIES = (
     concat,
     path_collisions,
     repeated_paths,
+    moves,
+    moves_hot,
+    moves_across_volumes,
+    shared_between,
+    shared_hot,
+    shared_classes,
+    space_lost,
+    space_by_directory,
+    growth,
+    growth_by_directory,
+    modified_by_time,
     tsv_roundtrip,
     tsv_concat,
     history_latest_runs,
@@ -563,6 +670,68 @@ def _own_sql() -> dict[str, str]:
         "select * from o", "select * from n", same, "coalesce(o.relative_path, n.relative_path) as relative_path"
     )
 
+    def moved_sql(o: str, n: str, more: str = "") -> str:
+        """Rows gone and come, numbered within their hash; ``more`` is the volume, with a comma."""
+        nth = f"row_number() over (partition by hash order by {more}relative_path) as nth"
+        where = [c for c in (more.strip(", "), "relative_path") if c]
+        columns = "".join(f", g.{c} as from_{c}" for c in where) + "".join(f", c.{c} as to_{c}" for c in where)
+        on = "o.volume = n.volume and o.relative_path = n.relative_path" if more else "o.relative_path = n.relative_path"
+        return (
+            f"with o as ({o}), n as ({n}), g as (select o.*, {nth} from o anti join n on {on}), "
+            f"c as (select n.*, {nth} from n anti join o on {on}) "
+            "select case when c.nth is null then 'removed' when g.nth is null then 'added' else 'moved' end as change, "
+            f"coalesce(c.hash, g.hash) as hash, coalesce(c.file_size_bytes, g.file_size_bytes) as file_size_bytes{columns} "
+            "from g full join c on g.hash = c.hash and g.nth = c.nth"
+        )
+
+    orders = "select concat('orders/', cast(o_orderkey as varchar)) as path, o_orderstatus as content from orders"
+    sorted_orders = (
+        "select concat('orders/', case when starts_with(o_orderpriority, '1') then 'urgent/' else '' end, "
+        "cast(o_orderkey as varchar)) as path, o_orderstatus as content from orders where o_totalprice > 100000"
+    )
+    disks = [
+        f"select *, 'disk1' as volume from ({snap(rows)}) union all select *, 'disk2' as volume from ({snap(more)})"
+        for rows, more in (
+            (documents, pages),
+            (
+                f"select {doc_path} as path, text as content from documents where n_chars < {LONG}",
+                f"{pages} union all select {doc_path} as path, text as content from documents where n_chars >= {LONG}",
+            ),
+        )
+    ]
+
+    def classes(o: str, n: str) -> str:
+        return (
+            f"with b as (select *, 1 as o, 0 as n from ({o}) union all select *, 0, 1 from ({n})), "
+            "p as (select hash, relative_path, sum(o) as n_old, sum(n) as n_new, max(file_size_bytes) filter (o = 1) as size_old, "
+            "max(file_size_bytes) filter (n = 1) as size_new from b group by hash, relative_path), "
+            "t as (select hash, min(relative_path) as class_path, cast(sum(n_old) as bigint) as rows_old, "
+            "cast(sum(n_new) as bigint) as rows_new, cast(sum(n_old) * sum(n_new) - sum(n_old * n_new) as bigint) as n_links "
+            "from p group by hash)"
+        )
+
+    def shared_sql(o: str, n: str) -> str:
+        parts = (
+            f"select '{a}' as side, relative_path, hash, size_{a} as file_size_bytes, class_path, cast(n_{a} as bigint) as copies, "
+            f"cast(rows_{b} - n_{b} as bigint) as n_links from p join t using (hash) where n_{a} > 0 and rows_{b} > n_{b}"
+            for a, b in (("old", "new"), ("new", "old"))
+        )
+        return f"{classes(o, n)} {' union all '.join(parts)}"
+
+    def summed(rows: str, sums: str) -> str:
+        """Sums over a directory and all above it."""
+        return (
+            f"with a as (select *, string_split(regexp_extract(relative_path, '^(.*)/[^/]*$', 1), '/') as parts from ({rows})), "
+            "e as (select * exclude (parts), unnest(list_concat(['.'], list_transform(range(1, len(parts) + 1), "
+            f"lambda i: array_to_string(parts[1:i], '/')))) as directory from a) select directory, {sums} from e group by directory"
+        )
+
+    merged = f"select *, min(relative_path) over (partition by hash) as original from ({snap(old)} union all {snap(new)})"
+    sizes = (
+        "select relative_path, 1 as files_before, 0 as files_after, file_size_bytes as bytes_before, 0 as bytes_after "
+        f"from ({snap(old, unhashed)}) union all select relative_path, 0, 1, 0, file_size_bytes from ({snap(new, unhashed)})"
+    )
+
     runs = [
         ("documents", RUNS[0], documents),
         ("documents", RUNS[1], f"select {doc_path} as path, {edited} as content from documents"),
@@ -697,6 +866,41 @@ def _own_sql() -> dict[str, str]:
             f"select relative_path, count(*) as n_rows from ({snap(old)} union all {snap(new)}) "
             "group by relative_path having count(*) > 1"
         ),
+        "moves": moved_sql(snap(old), snap(new)),
+        "moves_hot": moved_sql(snap(orders), snap(sorted_orders)),
+        "moves_across_volumes": moved_sql(*disks, "volume, "),
+        "shared_between": shared_sql(snap(old), snap(new)),
+        "shared_hot": shared_sql(snap(orders), snap(sorted_orders)),
+        "shared_classes": (
+            f"{classes(snap(orders), snap(sorted_orders))} "
+            "select * from t where rows_old > 0 and rows_new > 0 and n_links > 0"
+        ),
+        "space_lost": (
+            "select hash, count(*) as copies, min(file_size_bytes) as file_size_bytes, "
+            "cast(sum(file_size_bytes) - min(file_size_bytes) as bigint) as bytes_lost "
+            f"from ({snap(documents)}) group by hash having count(*) > 1"
+        ),
+        "space_by_directory": summed(
+            merged,
+            "count(*) as files, cast(sum(file_size_bytes) as bigint) as bytes, count(*) filter (relative_path <> original) as copies, "
+            "cast(coalesce(sum(file_size_bytes) filter (relative_path <> original), 0) as bigint) as bytes_lost",
+        ),
+        "growth": (
+            f"{sides} select coalesce(o.relative_path, n.relative_path) as relative_path, o.file_size_bytes as bytes_before, "
+            "n.file_size_bytes as bytes_after, coalesce(n.file_size_bytes, 0) - coalesce(o.file_size_bytes, 0) as bytes_grown "
+            "from o full join n on o.relative_path = n.relative_path where o.hash is distinct from n.hash"
+        ),
+        "growth_by_directory": summed(
+            sizes,
+            ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in ("files_before", "files_after", "bytes_before", "bytes_after"))
+            + ", cast(sum(bytes_after) - sum(bytes_before) as bigint) as bytes_grown",
+        ),
+        "modified_by_time": (
+            "select 'orders' as volume, concat('orders/', cast(o_orderkey as varchar)) as relative_path, o_totalprice > 100000 as time_changed "
+            "from orders where starts_with(o_orderpriority, '1') union all "
+            "select 'customers', concat('customers/', cast(c_custkey as varchar)), cast(null as boolean) from customer "
+            "where case when c_mktsegment = 'BUILDING' then upper(c_name) else concat(c_name, '?') end <> c_name"
+        ),
         "tsv_roundtrip": snap(documents),
         "tsv_concat": f"{snap(old)} union all {snap(new)}",
         "history_latest_runs": f"{history} select volume, run_id, baseline_run_id from latest",

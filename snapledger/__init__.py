@@ -1,7 +1,7 @@
 """Content snapshots of tables and file trees, and what changed between them, on Spark."""
 
-from .functions.fingerprint import FULL, HASH, MODES, PARTIAL, PATH, PREFIX_BYTES, SIZE, SIZE_ONLY, tagged
-from .operators.diff import added, diff_flags, modified, removed, reports_from_flags
+from .functions.fingerprint import FULL, HASH, HASHED_AT, MODES, MTIME, PARTIAL, PATH, PREFIX_BYTES, SIZE, SIZE_ONLY, tagged
+from .operators.diff import added, diff_flags, modified, modified_by_time, removed, reports_from_flags
 from .operators.duplicates import (
     duplicate_summary,
     duplicates,
@@ -12,7 +12,10 @@ from .operators.duplicates import (
 from .operators.exclude import exclude
 from .operators.groups import flatten_groups, group_paths, nested_groups
 from .operators.metrics import bytes_avoided, observe_counters, scan_counters, throughput
+from .operators.moves import match_moves, moves
+from .operators.shared import shared_between, shared_classes
 from .operators.snapshot import concat, fingerprint_levels, snapshot
+from .operators.space import growth, growth_by_directory, space_by_directory, space_lost
 from .plans.analysis import reports, run, run_files
 from .plans.staged import duplicate_files
 from .plans.volumes import Volumes, run_volumes, scan_volumes
@@ -24,6 +27,7 @@ from .sources.history import (
     latest_runs,
     ranked_runs,
     read_history,
+    replaced_attempts,
 )
 from .sources.store import read_snapshot, stored, write_bucketed, write_snapshot
 from .sources.tree import scan_tree, scan_trees

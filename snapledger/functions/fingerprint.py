@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 PATH = "relative_path"
 HASH = "hash"
 SIZE = "file_size_bytes"
+MTIME = "mtime"
+HASHED_AT = "hashed_at"
 FULL = "full-hash"
 PARTIAL = "partial-hash"
 SIZE_ONLY = "file-size"

@@ -18,6 +18,13 @@ def dirname(path: Column | str) -> Column:
     return F.when(path.contains("/"), path.substr(F.lit(1), cut)).otherwise(F.lit("."))
 
 
+def ancestors(directory: Column | str) -> Column:
+    """A directory and all above it, up to ``.``, as an array."""
+    parts = F.split(as_column(directory), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return F.when(as_column(directory) == ".", F.array(F.lit("."))).otherwise(F.concat(F.array(F.lit(".")), above))
+
+
 def relative_to(path: Column | str, base: str) -> Column:
     """Strip ``base`` from paths below it; other paths are left alone."""
     path, prefix = as_column(path), base.rstrip("/") + "/"

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fingerprint import HASH, PATH, SIZE, require_same_tag
+from ..functions.fingerprint import HASH, MTIME, PATH, SIZE, require_same_tag
 from .skew import N_ROWS, key_counts
 
 # The path as a pair of never-null join keys.
@@ -124,20 +124,66 @@ def modified(
 ) -> DataFrame:
     """Paths on both sides whose ``value`` differs; two nulls differ.
 
-    ``value`` is the hash, or ``file_size_bytes`` for size-only snapshots.
+    ``value`` is the hash, or ``file_size_bytes`` for size-only snapshots. No join: see ``_changed``.
+    """
+    return _changed(old, new, value, within, null_keys, validate).select(*within, PATH)
+
+
+def modified_by_time(
+    old: DataFrame,
+    new: DataFrame,
+    value: str = HASH,
+    within: Sequence[str] = (),
+    null_keys: bool = True,
+    validate: bool = True,
+) -> DataFrame:
+    """Modified paths and ``time_changed``: whether the modification time differs too.
+
+    Content that changed under an unchanged time is worth a look. Null where either side does not know the time, as in
+    runs stored before times were.
+    """
+    sides = (df if MTIME in df.columns else df.withColumn(MTIME, F.lit(None).cast("timestamp")) for df in (old, new))
+    changed = _changed(*sides, value, within, null_keys, validate, [MTIME])
+    return changed.select(*within, PATH, (F.col(f"old_{MTIME}") != F.col(f"new_{MTIME}")).alias("time_changed"))
+
+
+def _changed(
+    old: DataFrame,
+    new: DataFrame,
+    value: str,
+    within: Sequence[str],
+    null_keys: bool,
+    validate: bool,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """Keys of modified paths, with ``old_`` and ``new_`` columns of ``extra``.
+
+    Both sides in one aggregate by path, which finds repeated paths too: a single shuffle, combined map-side, in place of one
+    per side, a check and a join. As nothing is dropped before the check, an empty side does not hide repeated paths of the other.
     """
     require_same_tag(old, new)
-    kept = _columns([value]) | {HERE: F.lit(True)}
-    left = _one_per_path(old, "old", kept, within, null_keys, validate)
-    right = _one_per_path(new, "new", kept, within, null_keys, validate)
-    both = left.join(right, _same_path(within, null_keys), "full_outer")
-    here = [F.col(f"{side}_{HERE}").isNotNull() for side in ("old", "new")]
-    # As an inner join, an empty side would drop the other side and its check along with it. A draw in the
-    # condition keeps the optimizer from finding that the outer join's extra rows are not wanted.
-    wanted = F.forall(F.array(*here, _differs(value), F.rand(0) >= 0), lambda x: x)
-    return both.where(wanted).select(
-        *(F.col(f"old_{c}").alias(c) for c in within), _path_of("old", null_keys).alias(PATH)
+    keys = {c: F.col(c) for c in within} | {KEY: F.col(PATH)}
+    if null_keys:
+        keys |= {KEY: F.coalesce(PATH, F.lit("")), KEY_IS_NULL: F.col(PATH).isNull()}
+    values = list(dict.fromkeys([value, *extra]))
+    sides = [
+        side.select(*(c.alias(k) for k, c in keys.items()), F.lit(was).alias(HERE), *(F.col(v).alias(f"its_{v}") for v in values))
+        for side, was in ((old, True), (new, False))
+    ]
+    here = {"old": F.col(HERE), "new": ~F.col(HERE)}
+    grouped = sides[0].unionAll(sides[1]).groupBy(*keys).agg(
+        *(F.count_if(flag).alias(f"n_{side}") for side, flag in here.items()),
+        # With one row per path and side, the maximum of a value is the value.
+        *(F.max(F.when(flag, F.col(f"its_{v}"))).alias(f"{side}_{v}") for side, flag in here.items() for v in values),
     )
+    wanted = (F.col("n_old") > 0) & (F.col("n_new") > 0) & _differs(value)
+    if validate:
+        repeated = F.greatest("n_old", "n_new") > 1
+        message = F.concat(F.lit("a path occurs more than once in one snapshot: "), F.col(KEY))
+        # One condition, so that the check cannot be moved behind the comparison.
+        wanted = F.when(repeated, F.raise_error(message).cast("boolean")).otherwise(wanted)
+    path = F.when(~F.col(KEY_IS_NULL), F.col(KEY)) if null_keys else F.col(KEY)
+    return grouped.where(wanted).withColumn(PATH, path)
 
 
 def diff_flags(

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import FULL
-from ..operators.diff import diff_flags, reports_from_flags
+from ..operators.diff import diff_flags, modified_by_time, reports_from_flags
 from ..operators.duplicates import duplicate_summary, duplicates_by_mode
+from ..operators.moves import moves
 from ..sources.history import (
     BASELINE,
     RUN,
@@ -45,7 +46,7 @@ class Volumes:
 
     def current(self) -> DataFrame:
         """Rows of every volume's latest run, baseline or not."""
-        return rows_of_runs(self.history, self.runs)
+        return rows_of_runs(self.history, self.runs).drop(RUN)
 
     def changes(self, details: bool = False) -> DataFrame:
         """Changed paths of every volume that has a baseline, flagged."""
@@ -54,6 +55,16 @@ class Volumes:
             baseline, current, compared_column(self.mode), within=[VOLUME], changed_only=True, details=details
         )
 
+    def modified_by_time(self) -> DataFrame:
+        """Modified paths of every volume that has a baseline, and whether their modification time differs too."""
+        current, baseline = current_and_baseline(self.history, self.runs)
+        return modified_by_time(baseline, current, compared_column(self.mode), within=[VOLUME])
+
+    def moves(self) -> DataFrame:
+        """Removed and added files of all volumes that have a baseline, with those told apart that moved, also between volumes."""
+        current, baseline = current_and_baseline(self.history, self.runs)
+        return moves(baseline, current, within=[VOLUME])
+
     def duplicates(self) -> DataFrame:
         """Duplicates inside the latest run of each volume."""
         return duplicates_by_mode(self.current(), self.mode, [VOLUME])
@@ -103,5 +114,5 @@ def scan_volumes(
     ``options`` are those of ``scan_trees``. ``run_volumes`` then compares.
     """
     scan = scan_trees(spark, roots, mode, **options)
-    add_runs(scan.by_volume.withColumn(RUN, F.lit(run_id)), history_path, pairs(spark, list(roots), run_id))
+    add_runs(scan.timed.withColumn(RUN, F.lit(run_id)), history_path, pairs(spark, list(roots), run_id))
     return scan

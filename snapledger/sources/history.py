@@ -1,12 +1,19 @@
-"""Snapshot history: a table partitioned by volume and run, and a register of the runs.
+"""Snapshot history: stored rows of every run, and a register of the runs.
 
-The register is written last, and knows runs that found no file at all: a
-volume that was emptied is compared like any other.
+A call of ``add_runs`` is an attempt with a folder of its own, ``rows/<attempt>/run_key=...``, that nothing else ever writes to. The
+register, one small file per attempt, is written last and by one task, so it appears at once or not at all. Readers know
+runs by the register alone, the latest attempt of each. An attempt that failed before it registered is never seen, repeating a run
+replaces it the moment the register says so, and nothing that a reader may hold is deleted.
+
+The register also says how many rows a run has, so a volume that was emptied is compared like any other, and a comparison names
+the folders of its runs by itself, however many others are stored.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,58 +21,80 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fingerprint import HASH, PATH, SIZE, tag_of
+from ..functions.fingerprint import HASH, HASHED_AT, MTIME, PATH, SIZE, tag_of
 from .tsv import READ_DIALECT, hash_column
 
 VOLUME, RUN, BASELINE = "volume", "run_id", "baseline_run_id"
 TAG, BASELINE_TAG = "hash_tag", "baseline_hash_tag"
+ATTEMPT, RUN_KEY, N_FILES = "attempt", "run_key", "n_files"
 
 # Fixed value: how dated snapshot files are named, as run, volume, suffix. A run begins with its date; the
 # volume is all that follows, dashes included.
 SERIES_NAME = r"/(\d{4}-\d{2}-\d{2}[^-/]*)-([^/]+)-hashes\.tsv(?:\.gz|\.bz2)?(?:/[^/]*)?$"
 
 _RUN_FIELDS = [T.StructField(VOLUME, T.StringType()), T.StructField(RUN, T.StringType())]
-RUNS = T.StructType([T.StructField(TAG, T.StringType()), *_RUN_FIELDS])
+RUNS = T.StructType(
+    [
+        *_RUN_FIELDS,
+        T.StructField(TAG, T.StringType()),
+        T.StructField(ATTEMPT, T.StringType()),
+        T.StructField(N_FILES, T.LongType()),
+    ]
+)
+# Runs stored without times have them as null.
 ROWS = T.StructType(
     [
         T.StructField(PATH, T.StringType()),
         T.StructField(HASH, T.StringType()),
         T.StructField(SIZE, T.LongType()),
+        T.StructField(MTIME, T.TimestampType()),
+        T.StructField(HASHED_AT, T.TimestampType()),
         *_RUN_FIELDS,
     ]
 )
 
 
 class History(NamedTuple):
-    rows: DataFrame
+    """A history's folder, and its register: one row per run, that of the latest attempt."""
+
+    spark: SparkSession
+    path: str
     runs: DataFrame
 
+    @property
+    def rows(self) -> DataFrame:
+        """Rows of all runs."""
+        return rows_of_runs(self, self.runs).select(*ROWS.names)
 
-def _replace_partitions(df: DataFrame, path: str) -> None:
-    """Write only the partitions present in ``df``, so repeating a failed run leaves no row twice."""
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(VOLUME, RUN)
-        .parquet(path)
-    )
+
+def _run_key() -> Column:
+    """A folder name for a run, whatever its volume and run are called. A digest, so no two runs share one."""
+    return F.sha2(F.to_json(F.struct(VOLUME, RUN)), 256)
 
 
 def add_runs(rows: DataFrame, path: str, runs: DataFrame | None = None) -> None:
-    """Store snapshot rows that carry ``volume`` and ``run_id``.
+    """Store snapshot rows that carry ``volume`` and ``run_id``, and possibly times.
 
     ``runs`` lists their ``(volume, run_id)`` pairs, and must do so where a run
-    may have no rows. Rebalancing by partition keeps files large and splits a
-    volume that holds most rows.
+    may have no rows. Rebalancing by run keeps files large and splits a volume that holds most rows.
     """
-    kept = rows.select(PATH, HASH, SIZE, VOLUME, RUN)
+    spark = rows.sparkSession
+    # The time puts attempts in order; the rest tells two of one moment apart.
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    folder = f"{path}/rows/{attempt}"
+    times = [F.col(c) if c in rows.columns else F.lit(None).cast("timestamp").alias(c) for c in (MTIME, HASHED_AT)]
+    kept = rows.select(PATH, HASH, SIZE, *times, VOLUME, RUN).withColumn(RUN_KEY, _run_key())
+    kept.hint("rebalance", F.col(RUN_KEY)).write.partitionBy(RUN_KEY).parquet(folder)
+    written = spark.read.schema(ROWS).parquet(folder).groupBy(VOLUME, RUN).agg(F.count(F.lit(1)).alias(N_FILES))
     if runs is not None:
-        # A run repeated without rows has no partition that the write below would replace.
-        _drop_rows(rows.sparkSession, path, runs.distinct())
-    _replace_partitions(kept.hint("rebalance", F.col(VOLUME), F.col(RUN)), f"{path}/rows")
-    runs = rows.select(VOLUME, RUN).distinct() if runs is None else runs
+        same = [F.col(f"listed.{c}").eqNullSafe(F.col(f"written.{c}")) for c in (VOLUME, RUN)]
+        listed = runs.select(VOLUME, RUN).distinct().alias("listed")
+        written = listed.join(written.alias("written"), same[0] & same[1], "left").select("listed.*", N_FILES)
     tag = json.dumps(tag_of(rows), sort_keys=True)
-    _replace_partitions(runs.select(F.lit(tag).alias(TAG), VOLUME, RUN), f"{path}/runs")
+    register = written.select(
+        VOLUME, RUN, F.lit(tag).alias(TAG), F.lit(attempt).alias(ATTEMPT), F.coalesce(N_FILES, F.lit(0)).cast("long").alias(N_FILES)
+    )
+    register.repartition(1).write.mode("append").parquet(f"{path}/runs")
 
 
 def pairs(spark: SparkSession, volumes: list[str], run_id: str) -> DataFrame:
@@ -80,8 +109,15 @@ def add_run(snapshot: DataFrame, path: str, volume: str, run_id: str) -> None:
 
 def read_history(spark: SparkSession, path: str) -> History:
     """The stored history. Volume and run stay text, whatever they look like."""
-    rows, runs = (spark.read.schema(t).parquet(f"{path}/{n}") for t, n in ((ROWS, "rows"), (RUNS, "runs")))
-    return History(rows, runs)
+    registered = spark.read.schema(RUNS).parquet(f"{path}/runs")
+    latest = registered.groupBy(VOLUME, RUN).agg(F.max_by(F.struct(TAG, ATTEMPT, N_FILES), ATTEMPT).alias("last"))
+    return History(spark, path, latest.select(VOLUME, RUN, *(F.col(f"last.{c}").alias(c) for c in (TAG, ATTEMPT, N_FILES))))
+
+
+def replaced_attempts(history: History) -> DataFrame:
+    """Registered attempts of runs that a later attempt replaced: (volume, run_id, attempt). No reader starts on them any more."""
+    registered = history.spark.read.schema(RUNS).parquet(f"{history.path}/runs").select(VOLUME, RUN, ATTEMPT)
+    return registered.exceptAll(history.runs.select(VOLUME, RUN, ATTEMPT))
 
 
 def _named(path: Column) -> list[Column]:
@@ -91,14 +127,6 @@ def _named(path: Column) -> list[Column]:
     return [F.when(path.rlike(SERIES_NAME), F.regexp_extract(path, SERIES_NAME, i)).otherwise(bad).alias(c) for i, c in fields]
 
 
-def _drop_rows(spark: SparkSession, path: str, runs: DataFrame) -> None:
-    """Remove the stored rows of the given runs, one partition folder each. The list is that of one call of ``add_runs``."""
-    jvm, escape = spark._jvm, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for r in runs.toLocalIterator():
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/rows/{VOLUME}={escape(r[VOLUME])}/{RUN}={escape(r[RUN])}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def import_series(spark: SparkSession, folder: str, path: str, mode: str) -> None:
     """Add a folder of dated text snapshots, ``<run>-<volume>-hashes.tsv[.gz]``, to the history.
 
@@ -163,14 +191,18 @@ def require_comparable(ranked: DataFrame) -> None:
 
 
 def rows_of_runs(history: History, runs: DataFrame) -> DataFrame:
-    """History rows of the given ``(volume, run_id)`` pairs, without their run.
+    """History rows of the given ``(volume, run_id)`` pairs.
 
-    The pairs are broadcast: there is at most one per volume, and the driver
-    lists the partition folders of all of them whenever it plans a read. A join on
-    partition columns prunes them, so only the files of these runs are opened,
-    and no row shuffles by its volume.
+    Their folders are taken from the register, so that planning lists these and no others: the driver holds one name a run, and a
+    comparison has two runs a volume at most. Rows of different volumes are in different folders, none shuffles by its volume.
     """
-    return history.rows.join(F.broadcast(runs.select(VOLUME, RUN)), [VOLUME, RUN], "left_semi").drop(RUN)
+    wanted = runs.select(VOLUME, RUN).alias("wanted")
+    same = [F.col(f"wanted.{c}").eqNullSafe(F.col(f"known.{c}")) for c in (VOLUME, RUN)]
+    known = history.runs.where(F.col(N_FILES) > 0).withColumn(RUN_KEY, _run_key()).alias("known")
+    folders = known.join(wanted, same[0] & same[1], "left_semi").select(ATTEMPT, RUN_KEY).collect()
+    if not folders:
+        return history.spark.createDataFrame([], ROWS)
+    return history.spark.read.schema(ROWS).parquet(*(f"{history.path}/rows/{r[ATTEMPT]}/{RUN_KEY}={r[RUN_KEY]}" for r in folders))
 
 
 def current_and_baseline(history: History, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,4 +212,4 @@ def current_and_baseline(history: History, runs: DataFrame) -> tuple[DataFrame,
     """
     paired = runs.where(F.col(BASELINE).isNotNull())
     earlier = paired.select(VOLUME, F.col(BASELINE).alias(RUN))
-    return rows_of_runs(history, paired), rows_of_runs(history, earlier)
+    return rows_of_runs(history, paired).drop(RUN), rows_of_runs(history, earlier).drop(RUN)

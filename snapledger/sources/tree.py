@@ -15,18 +15,21 @@ import hashlib
 import math
 import os
 import posixpath
+import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
-
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import (
     FULL,
     HASH,
+    HASHED_AT,
+    MTIME,
     NOT_COMPUTED,
     PARTIAL,
     PATH,
@@ -39,19 +42,25 @@ from ..functions.fingerprint import (
     hash_tag,
 )
 from ..operators.exclude import path_rules, suffix_rules
+from ..operators.metrics import throughput
 from .history import VOLUME
 from .store import new_folder, stored
 
 FILE, DIRECTORY, LINK, UNREADABLE, VANISHED, OTHER = "file", "directory", "link", "unreadable", "vanished", "other"
-NOT_FOUND = "not found"
+NOT_FOUND, CHANGED = "not found", "changed while read"
 
 READ_BLOCK = 1 << 20
 ROWS_PER_BATCH = 4096
 DIRECTORIES_PER_TASK = 64
 BYTES_PER_TASK = 1 << 30
+OPEN_COST = 1 << 16  # what opening a file counts for, in bytes, when files are dealt to tasks
+READS = 3  # how often a file is read, if it changes meanwhile, before it is set aside
 
 LISTING = f"{VOLUME} string, root string, location string, {PATH} string, kind string, {SIZE} long"
-HASHED = f"{VOLUME} string, {PATH} string, {HASH} string, {SIZE} long, bytes_read long, error string"
+HASHED = (
+    f"{VOLUME} string, {PATH} string, {HASH} string, {SIZE} long, bytes_read long, error string, "
+    f"{MTIME} timestamp, {HASHED_AT} timestamp"
+)
 
 
 @dataclass
@@ -63,13 +72,22 @@ class TreeScan:
     mode: str
     prefix_bytes: int
     algo: str
+    seconds: float = 0.0  # how long listing and hashing took
 
     @property
     def by_volume(self) -> DataFrame:
         """Snapshot rows with the volume they belong to."""
+        return self.timed.drop(MTIME, HASHED_AT)
+
+    @property
+    def timed(self) -> DataFrame:
+        """The same with each file's modification time, as it was when read, and the time of its hashing.
+
+        Both are null in a size-only scan, which opens no file.
+        """
         tag = hash_tag(self.mode, self.prefix_bytes, self.algo)
         hashed = F.col(HASH).alias(HASH, metadata=tag)
-        return self.files.where("error is null").select(PATH, hashed, SIZE, VOLUME)
+        return self.files.where("error is null").select(PATH, hashed, SIZE, VOLUME, MTIME, HASHED_AT)
 
     @property
     def snapshot(self) -> DataFrame:
@@ -78,9 +96,19 @@ class TreeScan:
     @property
     def vanished(self) -> DataFrame:
         """Files that were listed, or nearly, but gone before they could be read."""
-        unread = self.files.where("error is not null").select(VOLUME, PATH)
+        unread = self.files.where(F.col("error") == NOT_FOUND).select(VOLUME, PATH)
         return self.listing.where(F.col("kind") == VANISHED).select(VOLUME, PATH).unionByName(unread)
 
+    @property
+    def unsettled(self) -> DataFrame:
+        """Files that changed each time they were read. They have no hash and are in no snapshot."""
+        return self.files.where(F.col("error") == CHANGED).select(VOLUME, PATH)
+
+    @property
+    def throughput(self) -> DataFrame:
+        """Rates per volume, from the bytes truly read and the time that the scan of all volumes took."""
+        return throughput(self.counters, self.seconds)
+
     @property
     def skipped(self) -> DataFrame:
         """Links, unreadable directories and special files."""
@@ -125,10 +153,11 @@ def scan_trees(
     to what ``bases`` gives for the volume.
     """
     check_mode(mode)
+    began = time.monotonic()
     listing = list_trees(spark, roots, bases, exclude_suffixes, exclude_paths, boundary)
     files = listing.where(F.col("kind") == FILE)
     hashed = stored(hash_files(files, mode, prefix_bytes, algo), "tree-files")
-    return TreeScan(listing, hashed, mode, prefix_bytes, algo)
+    return TreeScan(listing, hashed, mode, prefix_bytes, algo, time.monotonic() - began)
 
 
 def scan_tree(spark: SparkSession, root: str, mode: str = FULL, base: str | None = None, **options) -> TreeScan:
@@ -278,7 +307,8 @@ def _listing_task(list_one: Callable) -> Callable:
 
 
 def _arrow(columns: dict[str, str]) -> pa.Schema:
-    return pa.schema([(name, pa.string() if kind == "s" else pa.int64()) for name, kind in columns.items()])
+    types = {"s": pa.string(), "l": pa.int64(), "t": pa.timestamp("us", tz="UTC")}
+    return pa.schema([(name, types[kind]) for name, kind in columns.items()])
 
 
 def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -308,32 +338,45 @@ def _to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def hash_files(files: DataFrame, mode: str = FULL, prefix_bytes: int = PREFIX_BYTES, algo: str = SHA256) -> DataFrame:
     """Fingerprint listed files. ``files`` must be a stored listing: it is read twice.
 
-    A size-only snapshot opens no file. Otherwise files are spread by a hash of
-    their path over enough tasks that each expects about ``BYTES_PER_TASK``;
-    one file is always one task's work, as its digest is sequential. Content is
-    read in blocks of ``READ_BLOCK``, never whole.
+    A size-only snapshot opens no file. Otherwise files are dealt to tasks of equal bytes, see ``dealt``. Content is
+    read in blocks of ``READ_BLOCK``, never whole. Size, time and digest belong together: a file that
+    changes while it is read is read again, up to ``READS`` times, and then set aside with an error.
     """
     check_mode(mode)
     if mode == SIZE_ONLY:
-        unread, no_error = F.lit(0).cast("long"), F.lit(None).cast("string")
+        unread, no_error, no_time = F.lit(0).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("timestamp")
         return files.select(
-            VOLUME, PATH, F.lit(NOT_COMPUTED).alias(HASH), SIZE, unread.alias("bytes_read"), no_error.alias("error")
-        )
+            VOLUME, PATH, F.lit(NOT_COMPUTED).alias(HASH), SIZE, unread.alias("bytes_read"), no_error.alias("error"),
+            no_time.alias(MTIME), no_time.alias(HASHED_AT),
+        )
     hasher(algo)
     limit = prefix_bytes if mode == PARTIAL else None
-    return (
-        files.select(VOLUME, "root", "location", PATH, SIZE)
-        .repartition(_hash_tasks(files, mode, prefix_bytes), "location")
-        .mapInArrow(_hashing_task(limit, algo), HASHED)
-    )
+    rows = files.select(VOLUME, "root", "location", PATH, SIZE)
+    work = dealt(rows, bytes_to_read(SIZE, mode, prefix_bytes) + OPEN_COST)
+    return work.mapInArrow(_hashing_task(limit, algo), HASHED)
 
 
-def _hash_tasks(files: DataFrame, mode: str, prefix_bytes: int) -> int:
-    work = files.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(bytes_to_read(SIZE, mode, prefix_bytes)), F.lit(0)).alias("b")
-    ).first()
-    spread = 4 * files.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(work["n"], max(spread, math.ceil(work["b"] / BYTES_PER_TASK))))
+def dealt(files: DataFrame, weight: Column, bytes_per_task: int = BYTES_PER_TASK) -> DataFrame:
+    """The files in tasks of equal weight: none has more than its share and one file.
+
+    A running sum over all files is cut into equal parts. It is made of a running sum inside each of some buckets, by a hash of the
+    location, and of the sums of the buckets before, a table of one row per bucket. One file is always one task's work, as its
+    digest is sequential.
+    """
+    spark = files.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weighed = files.withColumns({"weight": weight, "bucket": F.pmod(F.xxhash64("location"), F.lit(buckets))})
+    sums = weighed.groupBy("bucket").agg(F.sum("weight").alias("sum"), F.count(F.lit(1)).alias("n"))
+    total = sums.agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("w"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    spread = 4 * spark.sparkContext.defaultParallelism
+    tasks = max(1, min(total["n"], max(spread, math.ceil(total["w"] / bytes_per_task))))
+    share = max(1, math.ceil(total["w"] / tasks))
+    earlier = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("start"))
+    before = W.partitionBy("bucket").orderBy("location", PATH).rowsBetween(W.unboundedPreceding, -1)
+    placed = weighed.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0))).join(F.broadcast(starts), "bucket")
+    task = F.floor((F.col("start") + F.col("before")) / share).cast("int")
+    return placed.select(*files.columns, task.alias("task")).repartitionById(tasks, "task").drop("task")
 
 
 def hasher(algo: str):
@@ -370,20 +413,45 @@ def _open(location: str):
     return open(location, "rb", buffering=0)
 
 
+def _state(stream, location: str) -> tuple[int, int]:
+    """Size and modification time, in nanoseconds, of a file as it is now."""
+    if _is_remote(location):
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(location)
+        info = files.get_file_info(path)
+        return info.size, info.mtime_ns or 0
+    stat = os.fstat(stream.fileno())
+    return stat.st_size, stat.st_mtime_ns
+
+
+def read_settled(location: str, limit: int | None, algo: str) -> tuple[str | None, int, int, int]:
+    """(digest, bytes read in all, size, modification time) of one state of a file; no digest if it changes each time."""
+    seen = 0
+    for _ in range(READS):
+        with _open(location) as stream:
+            before = _state(stream, location)
+            value, n = digest(stream, limit, algo)
+            seen += n
+            if before == _state(stream, location) and n == (before[0] if limit is None else min(limit, before[0])):
+                return value, seen, *before
+    return None, seen, *before
+
+
 def _hashing_task(limit: int | None, algo: str) -> Callable:
-    schema = _arrow({VOLUME: "s", PATH: "s", HASH: "s", SIZE: "l", "bytes_read": "l", "error": "s"})
+    schema = _arrow({VOLUME: "s", PATH: "s", HASH: "s", SIZE: "l", "bytes_read": "l", "error": "s", MTIME: "t", HASHED_AT: "t"})
 
     def one(volume: str, root: str, location: str, path: str, size: int) -> tuple:
         try:
-            with _open(location) as stream:
-                value, seen = digest(stream, limit, algo)
+            value, seen, size, changed = read_settled(location, limit, algo)
         except FileNotFoundError:
             # A file deleted since the listing is set aside. If the whole tree
             # is gone, its mount is missing here and the task must fail.
             if not _is_remote(root) and not os.path.isdir(root):
                 raise OSError(errno.ENOTCONN, "the scanned tree is not visible on this executor", root) from None
-            return volume, path, None, size, 0, NOT_FOUND
-        return volume, path, value, size, seen, None
+            return volume, path, None, size, 0, NOT_FOUND, None, None
+        error = CHANGED if value is None else None
+        return volume, path, value, size, seen, error, changed // 1000, time.time_ns() // 1000
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched((one(*row) for batch in batches for row in _rows_of(batch)), schema)

@@ -137,10 +137,19 @@ def test_one_shuffle_per_side(spark, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     ids = spark.range(100).select(F.col("id").cast("string").alias("k"), F.col("id").cast("string").alias("v"))
     old, new = (sl.stored(sl.snapshot(ids, "k", "v")) for _ in range(2))
-    for compare in (sl.removed, sl.modified, sl.diff_flags):
+    for compare in (sl.removed, sl.diff_flags):
         assert plan(compare(old, new)).count("Exchange hashpartitioning") == 2, compare
 
 
+def test_modified_is_one_aggregate(spark):
+    ids = spark.range(100).select(F.col("id").cast("string").alias("k"), F.col("id").cast("string").alias("v"))
+    old, new = (sl.stored(sl.snapshot(ids, "k", "v")) for _ in range(2))
+    for compare in (sl.modified, sl.modified_by_time):
+        text = plan(compare(old, new))
+        assert text.count("Exchange") == 1 and "Join" not in text and "rand(" not in text
+        assert text.count("partial_max") >= 2  # combined before the shuffle
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, conf, tmp_path, rows):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     ids = spark.range(100).select(F.col("id").cast("string").alias("k"), F.col("id").cast("string").alias("v"))

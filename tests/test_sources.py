@@ -3,6 +3,7 @@ import os
 
 import pytest
 import snapledger as sl
+from snapledger.sources import history as sources
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from snapledger.sources import store
@@ -159,11 +160,15 @@ def test_names_that_look_like_numbers_stay_text(spark, frame, rows, tmp_path):
     assert rows(sl.read_history(spark, str(tmp_path / "h")).rows, "volume", "run_id") == [("007", "20210321")]
 
 
-def test_only_compared_runs_are_read(spark, history):
+def test_only_compared_runs_are_listed(spark, history, frame):
+    """Of 10,000 registered runs whose folders do not exist, none is looked for but those compared."""
+    old = spark.createDataFrame([("d1", f"2020-{i:05d}", "{}", f"{i:020d}-x", 1) for i in range(10_000)], sources.RUNS)
+    old.write.mode("append").parquet(f"{history}/runs")
     changes = sl.Volumes(sl.read_history(spark, history)).changes()
-    changes.collect()
-    plan = changes._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan and "SortMergeJoin [volume" not in plan
+    assert changes.count() == 4
+    compared = {f.split("/rows/")[1].split("/")[0] for f in changes.inputFiles()}
+    assert len(compared) == 2
+    assert "SortMergeJoin [volume" not in changes._jdf.queryExecution().executedPlan().toString()
 
 
 def test_import_of_dated_text_snapshots(spark, rows, tmp_path):
@@ -255,3 +260,49 @@ def test_run_from_text_files(spark, frame, rows, tmp_path, caplog):
     assert rows(sl.read_tsv(spark, single["added"], sl.FULL), sl.PATH) == [("b",)]
     with pytest.raises(PySparkException):
         sl.run_files(spark, inputs, str(tmp_path / "clash"), baseline=inputs[0])
+
+
+def test_a_failure_before_the_register_changes_nothing(spark, history, frame, rows, monkeypatch):
+    """A rerun that dies between its rows and the register: readers still see the old run, and a later rerun replaces it."""
+    before = rows(sl.read_history(spark, history).rows)
+
+    def dies(rows):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sources, "tag_of", dies)
+        with pytest.raises(RuntimeError):
+            sl.add_run(frame(("other", "7", 7)), history, "d1", RUNS[2])
+    assert len(os.listdir(f"{history}/rows")) == 5  # four runs, and the rows that no one registered
+    assert rows(sl.read_history(spark, history).rows) == before
+    sl.add_run(frame(("other", "7", 7)), history, "d1", RUNS[2])
+    again = sl.read_history(spark, history)
+    assert rows(again.rows.where(f"run_id = '{RUNS[2]}' and volume = 'd1'"), sl.PATH) == [("other",)]
+    assert rows(sl.replaced_attempts(again), "volume", "run_id") == [("d1", RUNS[2])]
+
+
+def test_a_reader_keeps_its_rows_while_a_run_is_repeated(spark, history, frame, rows):
+    held = sl.read_history(spark, history).rows
+    sl.add_run(frame(), history, "d1", RUNS[2])
+    assert held.where("volume = 'd1'").count() == 6
+    assert sl.read_history(spark, history).rows.where("volume = 'd1'").count() == 3
+
+
+def test_names_of_any_kind(spark, frame, rows, tmp_path):
+    path, names = str(tmp_path / "h"), ["a/b", "ü =%", "", "x" * 300, 'q"']
+    for name in names:
+        sl.add_run(frame((name, "1", 1)), path, name, "r/1")
+    got = sl.read_history(spark, path)
+    assert rows(got.rows, "volume", sl.PATH) == sorted((n, n) for n in names)
+    assert sl.Volumes(got).summary().count() == len(names)
+
+
+def test_times_in_a_history_of_both_kinds(spark, frame, rows, tmp_path):
+    path, day = str(tmp_path / "h"), F.lit("2021-03-20").cast("timestamp")
+    for volume, timed in (("old", False), ("new", True)):
+        first = frame(("a", "1", 1), ("b", "1", 1))
+        sl.add_run(first.withColumn(sl.MTIME, day) if timed else first, path, volume, "1")
+        sl.add_run(frame(("a", "2", 1), ("b", "1", 1)).withColumn(sl.MTIME, day), path, volume, "2")
+    history = sl.read_history(spark, path)
+    assert rows(sl.Volumes(history).modified_by_time()) == [("new", "a", False), ("old", "a", None)]
+    assert history.rows.where("mtime is null").count() == 2

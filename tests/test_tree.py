@@ -7,6 +7,7 @@ import types
 import pytest
 import snapledger as sl
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 from snapledger.sources import tree
 
 
@@ -187,3 +188,69 @@ def test_other_hash_algorithms(monkeypatch):
         tree.hasher("blake3")
     with pytest.raises(ValueError, match="unknown hash algorithm"):
         tree.hasher("md5")
+
+
+def test_tasks_of_equal_bytes(spark):
+    """With one file a thousand times the rest, no task has more than its share and one file."""
+    sizes = [1000] * 499 + [1_000_000]
+    listing = spark.createDataFrame([("d", "/r", f"/r/{i}", str(i), "file", s) for i, s in enumerate(sizes)], tree.LISTING)
+    files = sl.stored(listing)
+    work = tree.dealt(files, F.col(sl.SIZE), bytes_per_task=50_000)
+    tasks = work.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(sl.SIZE).alias("b"), F.max(sl.SIZE).alias("largest"), F.count("*").alias("n")).collect()
+    share = -(-sum(sizes) // work.rdd.getNumPartitions())
+    assert sum(t.n for t in tasks) == 500 and len(tasks) > 5
+    assert all(t.b <= share + t.largest for t in tasks)
+    small = [t for t in tasks if t.largest == 1000]
+    assert max(t.n for t in small) <= share / 1000 + 1  # not all small files in one task
+    assert tree.dealt(files.limit(0), F.col(sl.SIZE)).count() == 0
+
+
+def test_a_file_that_changes_is_read_again(tmp_path, monkeypatch):
+    path = tmp_path / "grows"
+    path.write_bytes(b"before")
+    digest, grown = tree.digest, []
+
+    def growing(stream, limit, algo):
+        out = digest(stream, limit, algo)
+        if len(grown) < rounds:
+            grown.append(1)
+            with open(path, "ab") as f:
+                f.write(b"!")
+        return out
+
+    monkeypatch.setattr(tree, "digest", growing)
+    rounds = 1
+    value, seen, size, _ = tree.read_settled(str(path), None, "sha256")
+    assert (value, size, seen) == (sha(b"before!"), 7, 6 + 7)
+    rounds = 10**9
+    assert tree.read_settled(str(path), None, "sha256")[0] is None
+    one = next(tree._hashing_task(None, "sha256")(iter([_row_of(str(tmp_path), str(path))]))).to_pylist()[0]
+    assert (one["hash"], one["error"]) == (None, tree.CHANGED)
+
+
+def _row_of(root, path):
+    import pyarrow as pa
+
+    columns = {"volume": ["d"], "root": [root], "location": [path], "relative_path": ["grows"], "file_size_bytes": [1]}
+    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+
+def test_unsettled_files_are_in_no_snapshot(spark, rows):
+    files = [("d", "a", "1", 1, 1, None), ("d", "b", None, 5, 15, tree.CHANGED), ("d", "c", None, 1, 0, tree.NOT_FOUND)]
+    short = ", ".join(tree.HASHED.split(", ")[:6])
+    hashed = spark.createDataFrame(files, short).withColumns({c: F.lit(None).cast("timestamp") for c in (sl.MTIME, sl.HASHED_AT)})
+    scan = tree.TreeScan(spark.createDataFrame([], tree.LISTING), hashed, sl.FULL, 10, "sha256")
+    assert rows(scan.snapshot) == [("a", "1", 1)]
+    assert rows(scan.vanished) == [("d", "c")] and rows(scan.unsettled) == [("d", "b")]
+
+
+def test_times_and_measured_rates(spark, root, rows):
+    top, files = root
+    os.utime(top + "/a/one.txt", (1_600_000_000, 1_600_000_000))
+    scan = sl.scan_tree(spark, top)
+    times = {r.relative_path: r for r in scan.timed.collect()}
+    assert times["a/one.txt"].mtime.timestamp() == 1_600_000_000
+    assert all(r.hashed_at > r.mtime for r in times.values())
+    rate = scan.throughput.first()
+    assert scan.seconds > 0 and rate.mb_per_second == pytest.approx(sum(map(len, files.values())) / 1e6 / scan.seconds)
+    assert sl.scan_tree(spark, top, sl.SIZE_ONLY).timed.where("mtime is not null").count() == 0
