@@ -13,6 +13,7 @@ Queries that read a snapshot more than once store it first, as a user would.
 from __future__ import annotations
 
 import importlib.util
+import os
 import pathlib
 import sys
 from collections.abc import Callable, Iterator
@@ -30,6 +31,7 @@ from snapledger.functions.paths import basename, dirname  # noqa: E402
 from snapledger.operators import diff  # noqa: E402
 from snapledger.sources.ship import ship  # noqa: E402
 from snapledger.sources.store import new_folder  # noqa: E402
+from snapledger.sources.tree import hash_files, list_trees  # noqa: E402
 
 # Prefix length of the partial mode here: shorter than most texts, so that the
 # prefix matters. It is a parameter of the operator, not a cut of its input.
@@ -149,6 +151,14 @@ def exclude_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snap(sl.exclude(_new(spark, sf_dir), suffixes=["*.fr", ".html"], key="path"))
 
 
+def exclude_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from tables: a folder per supplier, and a last letter per word of the parts' names."""
+    folders = _table(spark, sf_dir, "supplier").select(F.lit("path").alias("kind"), _path("./src", _text("s_suppkey"), "/").alias("rule"))
+    words = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    suffixes = words.select(F.lit("suffix").alias("kind"), _path("*", F.substring("word", 1, 1)).alias("rule"))
+    return _snap(sl.exclude_listed(_new(spark, sf_dir), folders.unionByName(suffixes), boundary=True, key="path"))
+
+
 # --- duplicates and groups ------------------------------------------------------
 
 
@@ -386,6 +396,28 @@ def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sl.read_tsv(spark, folder, sl.FULL)
 
 
+def tsv_bz2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through another codec, chosen by the suffix of the path."""
+    folder = new_folder(spark, "tsv") + ".tsv.bz2"
+    sl.write_tsv(_snap(_documents(spark, sf_dir)), folder, sl.FULL)
+    return sl.read_tsv(spark, folder, sl.FULL)
+
+
+def tsv_empty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in the file of a report without rows: its header."""
+    documents = _stored_documents(spark, sf_dir)
+    written = sl.run(documents, new_folder(spark, "run"), documents, wanted=["removed"], suffix=".tsv")
+    return spark.read.text(written["removed"])
+
+
+def run_single_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over one stored text snapshot: the duplicates, each with the names of all files written; the input is not written again."""
+    stored = new_folder(spark, "tsv") + ".tsv"
+    sl.write_tsv(_snap(_documents(spark, sf_dir)), stored, sl.FULL)
+    written = sl.run_files(spark, [stored], new_folder(spark, "run"), wanted=["duplicates"])
+    return sl.read_tsv(spark, written["duplicates"], sl.FULL).withColumn("written", F.lit(",".join(sorted(written))))
+
+
 def tsv_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stored inputs, of different column order, read and concatenated."""
     folders = [new_folder(spark, "tsv") + ".tsv" for _ in range(2)]
@@ -515,6 +547,58 @@ def tree_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.counters.drop("volume")
 
 
+def _change_tree(rows: DataFrame, root: str, change: Callable[[str], None]) -> None:
+    """Do something to the file of every row, from Spark tasks. The tree is on a mount that all executors see."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                change(f"{root}/{path}")
+        yield pa.RecordBatch.from_pydict({"done": pa.array([True])})
+
+    rows.select("path").mapInArrow(task, "done boolean").write.format("noop").mode("overwrite").save()
+
+
+def _mounted(root: str) -> str:
+    """A tree's root as a plain path, for what only a file system does."""
+    return root.removeprefix("file://").removeprefix("file:")
+
+
+def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with a link beside every French document: what the scan leaves out, and why."""
+    ship(spark)
+    rows = _documents(spark, sf_dir)
+    root = _mounted(_as_tree(rows, "tree"))
+    _change_tree(rows.where(F.col("path").endswith(".fr")), root, lambda path: os.symlink(path, path + ".link"))
+    return sl.scan_tree(spark, root).skipped.drop("volume")
+
+
+def tree_vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French documents are deleted between the listing and the hashing: the others' hashes, and the name of every file that is gone."""
+    ship(spark)
+    rows = _documents(spark, sf_dir)
+    root = _mounted(_as_tree(rows, "tree"))
+    files = list_trees(spark, {root: root}).where("kind = 'file'")
+    _change_tree(rows.where(F.col("path").endswith(".fr")), root, os.remove)
+    return sl.stored(hash_files(files)).select(sl.PATH, sl.HASH, "error")
+
+
+def tree_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured rates of a scan. They differ from run to run, so the query tells what has to hold between them."""
+    ship(spark)
+    scan = sl.scan_tree(spark, _as_tree(_documents(spark, sf_dir), "tree"))
+    rate = scan.throughput
+    seconds = F.when(F.col("elapsed_unit") == "minutes", F.col("elapsed") * 60).otherwise(F.col("elapsed"))
+    per_second = F.when(F.col("file_rate_unit") == "minute", F.col("file_rate") / 60).otherwise(F.col("file_rate"))
+    return rate.select(
+        "files",
+        "bytes_read",
+        (seconds > 0).alias("took_time"),
+        (F.abs(F.col("mb_per_second") * seconds * 1_000_000 / F.col("bytes_read") - 1) < 1e-6).alias("bytes_agree"),
+        (F.abs(per_second * seconds / F.col("files") - 1) < 1e-6).alias("files_agree"),
+    )
+
+
 def tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return sl.duplicate_files(spark, _as_tree(_documents(spark, sf_dir), "tree"), prefix_bytes=PREFIX)
@@ -533,6 +617,7 @@ QUERIES = (
     exclude_path,
     exclude_path_boundary,
     exclude_ext,
+    exclude_listed,
     duplicates_full,
     duplicates_partial,
     duplicates_partial_with_size,
@@ -567,6 +652,9 @@ QUERIES = (
     growth_by_directory,
     modified_by_time,
     tsv_roundtrip,
+    tsv_bz2,
+    tsv_empty_report,
+    run_single_input,
     tsv_concat,
     history_latest_runs,
     history_latest_diff,
@@ -579,6 +667,9 @@ QUERIES = (
     tree_snapshot,
     tree_partial_excluded,
     tree_counters,
+    tree_links,
+    tree_vanished,
+    tree_throughput,
     tree_duplicates,
 )
 
@@ -802,6 +893,11 @@ def _own_sql() -> dict[str, str]:
         "exclude_ext": snap(
             f"select * from ({new}) where not ends_with({name}, '.fr') and not ends_with({name}, '.html')"
         ),
+        "exclude_listed": snap(
+            f"select * from ({new}) p where not exists (select 1 from supplier where {directory} = concat('src', cast(s_suppkey as varchar)) "
+            f"or starts_with({directory}, concat('src', cast(s_suppkey as varchar), '/'))) and not exists (select 1 from "
+            "(select unnest(string_split(p_name, ' ')) as word from part) where ends_with(p.path, substr(word, 1, 1)))"
+        ),
         "duplicates_full": sharing(snap(documents), "hash", report),
         "duplicates_partial": sharing(snap(documents, partial), "hash", report),
         "duplicates_partial_with_size": sharing(snap(documents, partial), "hash, file_size_bytes", report),
@@ -902,6 +998,12 @@ def _own_sql() -> dict[str, str]:
             "where case when c_mktsegment = 'BUILDING' then upper(c_name) else concat(c_name, '?') end <> c_name"
         ),
         "tsv_roundtrip": snap(documents),
+        "tsv_bz2": snap(documents),
+        "tsv_empty_report": (
+            "select concat('\"relative_path\"', chr(9), '\"full_hash\"', chr(9), '\"file_size_bytes\"') as value "
+            f"from ({snap(documents)} where false union all select '', '', 0)"
+        ),
+        "run_single_input": "select *, 'duplicates' as written from (" + sharing(snap(documents), "hash", report) + ")",
         "tsv_concat": f"{snap(old)} union all {snap(new)}",
         "history_latest_runs": f"{history} select volume, run_id, baseline_run_id from latest",
         "history_latest_diff": f"{history} {changes}",
@@ -937,5 +1039,14 @@ def _own_sql() -> dict[str, str]:
         "tree_counters": (
             f"select count(*) as files, {counters}, count(distinct {directory}) + 1 as directories from ({documents})"
         ),
+        "tree_links": f"select concat(path, '.link') as relative_path, 'link' as kind from ({documents}) where ends_with(path, '.fr')",
+        "tree_vanished": (
+            "select relative_path, case when not gone then hash end as hash, case when gone then 'not found' end as error "
+            f"from (select *, ends_with(relative_path, '.fr') as gone from ({snap(documents)}))"
+        ),
+        "tree_throughput": (
+            f"select count(*) as files, cast({total} as bigint) as bytes_read, true as took_time, true as bytes_agree, "
+            f"true as files_agree from ({documents})"
+        ),
         "tree_duplicates": sharing(snap(documents), "hash", report),
     }

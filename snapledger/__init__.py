@@ -13,6 +13,7 @@ from .operators.exclude import exclude
 from .operators.groups import flatten_groups, group_paths, nested_groups
 from .operators.metrics import bytes_avoided, observe_counters, scan_counters, throughput
 from .operators.moves import match_moves, moves
+from .operators.rules import exclude_listed
 from .operators.shared import shared_between, shared_classes
 from .operators.snapshot import concat, fingerprint_levels, snapshot
 from .operators.space import growth, growth_by_directory, space_by_directory, space_lost
