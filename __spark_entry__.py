@@ -391,6 +391,7 @@ def modified_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     folder = new_folder(spark, "tsv") + ".tsv.gz"
     sl.write_tsv(_snap(_documents(spark, sf_dir)), folder, sl.FULL)
     return sl.read_tsv(spark, folder, sl.FULL)
@@ -398,11 +399,21 @@ def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tsv_bz2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through another codec, chosen by the suffix of the path."""
+    ship(spark)
     folder = new_folder(spark, "tsv") + ".tsv.bz2"
     sl.write_tsv(_snap(_documents(spark, sf_dir)), folder, sl.FULL)
     return sl.read_tsv(spark, folder, sl.FULL)
 
 
+def tsv_bare_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text quoted and numbers bare, in paths that hold a line break each."""
+    ship(spark)
+    folder = new_folder(spark, "tsv") + ".tsv"
+    broken = _documents(spark, sf_dir).withColumn("path", F.replace("path", F.lit("/"), F.lit('/\n"')))
+    sl.write_tsv(_snap(broken), folder, sl.FULL, quote_numbers=False)
+    return sl.read_tsv(spark, folder, sl.FULL)
+
+
 def tsv_empty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands in the file of a report without rows: its header."""
     documents = _stored_documents(spark, sf_dir)
@@ -412,6 +423,7 @@ def tsv_empty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_single_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run over one stored text snapshot: the duplicates, each with the names of all files written; the input is not written again."""
+    ship(spark)
     stored = new_folder(spark, "tsv") + ".tsv"
     sl.write_tsv(_snap(_documents(spark, sf_dir)), stored, sl.FULL)
     written = sl.run_files(spark, [stored], new_folder(spark, "run"), wanted=["duplicates"])
@@ -420,6 +432,7 @@ def run_single_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tsv_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stored inputs, of different column order, read and concatenated."""
+    ship(spark)
     folders = [new_folder(spark, "tsv") + ".tsv" for _ in range(2)]
     old, new = _both(spark, sf_dir)
     sl.write_tsv(old, folders[0], sl.FULL)
@@ -653,6 +666,7 @@ QUERIES = (
     modified_by_time,
     tsv_roundtrip,
     tsv_bz2,
+    tsv_bare_numbers,
     tsv_empty_report,
     run_single_input,
     tsv_concat,
@@ -999,6 +1013,7 @@ def _own_sql() -> dict[str, str]:
         ),
         "tsv_roundtrip": snap(documents),
         "tsv_bz2": snap(documents),
+        "tsv_bare_numbers": snap(f"select replace(path, '/', concat('/', chr(10), '\"')) as path, content from ({documents})"),
         "tsv_empty_report": (
             "select concat('\"relative_path\"', chr(9), '\"full_hash\"', chr(9), '\"file_size_bytes\"') as value "
             f"from ({snap(documents)} where false union all select '', '', 0)"

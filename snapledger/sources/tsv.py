@@ -1,8 +1,8 @@
 """Snapshots and reports as tab-separated text, for interchange.
 
-Dialect: header row, tab between fields, every field in double quotes, a
-backslash before quotes and backslashes. Text read as several lines per record
-cannot be split, nor can gzip: keep large snapshots in Parquet.
+Dialect: header row, tab between fields, fields in double quotes, a backslash
+before quotes and backslashes; numbers quoted or, if so wanted, bare. Plain files are read in
+parallel, see ``records``; gzip cannot be split, so keep large snapshots in Parquet.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.fingerprint import HASH, PATH, SIZE, SIZE_ONLY, check_mode, tagged
 from ..operators.snapshot import concat
+from .records import read_records, write_records
 
 log = logging.getLogger(__name__)
 
@@ -38,11 +39,12 @@ def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumnRenamed(old, new)
 
 
-def write_tsv(df: DataFrame, path: str, mode: str, ordered: bool = False) -> None:
+def write_tsv(df: DataFrame, path: str, mode: str, ordered: bool = False, quote_numbers: bool = True) -> None:
     """Write a folder of part files; an empty report still has its header.
 
     The suffix of ``path`` chooses the compression. ``ordered`` sorts the rows,
-    so that duplicates of one another are adjacent.
+    so that duplicates of one another are adjacent. ``quote_numbers=False`` quotes text only, which Spark's own
+    writer cannot; its part files are named ``.txt``. Both kinds are read alike.
     """
     if path.rstrip("/").endswith(UNWRITABLE):
         raise ValueError(f"no codec for the suffix of {path!r}; .gz and .bz2 are written, or nothing")
@@ -51,6 +53,9 @@ def write_tsv(df: DataFrame, path: str, mode: str, ordered: bool = False) -> Non
     if HASH in df.columns:
         df = rename_column(df, HASH, hash_column(mode))
     codec = next((codec for suffix, codec in CODECS.items() if path.endswith(suffix)), "none")
+    if not quote_numbers:
+        write_records(df, path, codec)
+        return
     df.write.options(
         **DIALECT,
         quoteAll=True,
@@ -71,8 +76,8 @@ def read_tsv(
     """Read snapshots and concatenate them; types are stated, never inferred.
 
     Each file may order its columns in its own way. A file without the hash
-    column of ``mode`` is refused. ``multiline=False`` lets large plain files
-    split, for paths without line breaks. ``tag`` states how the hashes were
+    column of ``mode`` is refused. ``multiline=False`` leaves them to Spark's own reader
+    of lines, for paths without line breaks. ``tag`` states how the hashes were
     made (``prefix_bytes``, ``algo``), which text cannot carry.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -84,10 +89,11 @@ def _read_one(spark: SparkSession, path: str, mode: str, multiline: bool) -> Dat
     names = spark.read.options(**DIALECT, multiLine=multiline).csv(path).columns
     if hash_column(mode) not in names:
         raise ValueError(f"no column {hash_column(mode)!r} in {path}; was it written in another mode?")
-    schema = T.StructType(
-        [T.StructField(n, T.LongType() if n == SIZE else T.StringType()) for n in names]
-    )
-    rows = spark.read.schema(schema).options(**READ_DIALECT, multiLine=multiline).csv(path)
+    if multiline:
+        rows = read_records(spark, path, names)
+    else:
+        schema = T.StructType([T.StructField(n, T.LongType() if n == SIZE else T.StringType()) for n in names])
+        rows = spark.read.schema(schema).options(**READ_DIALECT).csv(path)
     return rename_column(rows, hash_column(mode), HASH).select(
         *(c for c in (PATH, HASH, SIZE) if c in [HASH, *names])
     )
