@@ -29,6 +29,7 @@ FEATURES = 20_000
 MIN_GAIN = 5.0  # standard errors by which a feature's share in the two samples must differ
 ROUNDS = 300
 FOLDS = 5
+TEXTS = 1000  # texts counted at once while fitting
 
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -67,23 +68,34 @@ def _score(batches: Iterator[pa.RecordBatch], weights, bias: float, name: str =
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores)], names=[*kept, name])
 
 
+def _parts(y: np.ndarray, lists: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, mark, feature) of some texts at a time, so that all of them together are never spread out."""
+    for lo in range(0, len(lists), TEXTS):
+        part = lists[lo : lo + TEXTS]
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        yield row, y[lo : lo + TEXTS][row], np.concatenate(part)
+
+
 def fit(y: np.ndarray, lists: list[np.ndarray], prior: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """(weight per hashed feature, bias) from confirmed (y = 1) and unlabelled (y = 0) texts."""
     size = 1 << BITS
-    n = np.array([len(x) for x in lists])
-    row, col = np.repeat(np.arange(len(y), dtype=np.int32), n), np.concatenate([*lists, np.zeros(0, np.int32)])
     n_p, n_u = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    in_p = np.bincount(col, y[row], size)
-    in_u = np.bincount(col, 1 - y[row], size)
-    p, u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
-    gain = (p - u) / np.sqrt(u * (1 - u) / n_p + p * (1 - p) / n_p)
-    gain[in_p + in_u < MIN_PRESENT] = 0
-    chosen = np.argsort(-np.abs(gain), kind="stable")[:FEATURES]
-    chosen = chosen[np.abs(gain[chosen]) >= MIN_GAIN]
-    place = np.full(size, -1)
+    held_p, held_u = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for _, own, col in _parts(y, lists):
+        held_p += np.bincount(col[own == 1], minlength=size)
+        held_u += np.bincount(col[own != 1], minlength=size)
+    some = np.flatnonzero(held_p + held_u >= MIN_PRESENT)
+    p, u = (held_p[some] + 0.5) / (n_p + 1), (held_u[some] + 0.5) / (n_u + 1)
+    gain = np.abs((p - u) / np.sqrt(u * (1 - u) / n_p + p * (1 - p) / n_p))
+    chosen = np.argsort(-gain, kind="stable")[:FEATURES]
+    chosen = some[chosen[gain[chosen] >= MIN_GAIN]]
+    place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    seen = place[col] >= 0
-    row, col = row[seen], place[col[seen]]
+    kept: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for first, (row, _, col) in zip(range(0, len(lists), TEXTS), _parts(y, lists), strict=True):
+        seen = place[col] >= 0
+        kept.append((first + row[seen], place[col[seen]]))
+    row, col = (np.concatenate(x) for x in zip(*kept, strict=True))
     positive = y == 1
     # Starting weights and Adam; the step goes up the clean risk's slope while that is negative.
     theta, bias = np.zeros(len(chosen)), np.log(prior / (1 - prior))
