@@ -12,16 +12,17 @@ and checksum, which are the checkpoints of a parallel or partial read.
 from __future__ import annotations
 
 import json
+import math
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ BLOCK = 1 << 18
 FILE_TOKENS = 1 << 22
 END = 0
 _LOW = np.uint64(1 << 31)
-_FILES = "part int, seq int, path string, first_in_part bigint, n_tokens bigint, n_docs bigint"
-CACHE = 300_000  # distinct words whose ids a task keeps
+_RANGES = "part int, path string, first_in_part bigint, first_doc bigint, n_docs bigint, first_token bigint, n_tokens bigint"
+CACHE = 150_000  # distinct words whose ids a task keeps, of those met lately, and as many of those met before
+RANGE_TOKENS = 1 << 20  # tokens that are read back in one go
+CHUNK = 1 << 22  # bytes of text whose words are looked up at once
 
 
 # --- coder -----------------------------------------------------------------------------------
@@ -114,23 +117,26 @@ def pack(ids: list, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
 class TokenFile:
     """A packed file; ``tokens(first, last)`` decodes only the blocks that it needs."""
 
-    def __init__(self, data: bytes):
-        size, crc = struct.unpack_from("<QI", data, 8)
-        head = data[20 : 20 + size]
-        if data[:8] != MAGIC or zlib.crc32(head) != crc:
+    def __init__(self, data: bytes | pa.NativeFile):
+        source = pa.BufferReader(data) if isinstance(data, bytes) else data
+        begin = source.read_at(20, 0)
+        size, crc = struct.unpack_from("<QI", begin, 8) if len(begin) == 20 else (0, 0)
+        head = source.read_at(size, 20)
+        if begin[:8] != MAGIC or zlib.crc32(head) != crc:
             raise ValueError("not a token file, or a broken one")
         self._index = json.loads(zlib.decompress(head))
         at, tables = 20 + size, []
-        if zlib.crc32(data[at : at + sum(self._index["tables"])]) != self._index["tables_crc"]:
+        raw = source.read_at(sum(self._index["tables"]), at)
+        if zlib.crc32(raw) != self._index["tables_crc"]:
             raise ValueError("broken tables")
         for n in self._index["tables"]:
-            tables.append(np.frombuffer(zlib.decompress(data[at : at + n]), "<i8"))
-            at += n
+            tables.append(np.frombuffer(zlib.decompress(raw[:n]), "<i8"))
+            at, raw = at + n, raw[n:]
         self._symbols, self._freq, ids, self.lengths = tables
         nulls = set(self._index["nulls"])
         self.ids = [None if k in nulls else int(i) for k, i in enumerate(ids)]
         self._slots = np.repeat(np.arange(len(self._freq)), self._freq)
-        self._data, self._at = data, at
+        self._source, self._at = source, at
         self.n = self._index["n"]
 
     def tokens(self, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -139,7 +145,7 @@ class TokenFile:
         for k, (size, crc) in enumerate(self._index["blocks"]):
             lo, hi = k * block, min(self.n, (k + 1) * block)
             if lo < last and hi > first:
-                data = self._data[at : at + size]
+                data = self._source.read_at(size, at)
                 if zlib.crc32(data) != crc:
                     raise ValueError(f"block {k} is broken")
                 part = self._symbols[decode_block(data, hi - lo, self._freq, self._slots)]
@@ -157,31 +163,77 @@ _tokenizers: dict = {}
 class _Cached:
     """A byte-level BPE tokenizer that remembers the ids of words.
 
-    Its pre-tokenizer always cuts before a space that follows no white space. Texts with only such spaces are
-    cut there, and every distinct part is encoded once; other texts are encoded as they are.
+    Its pre-tokenizer always cuts before a space that follows no white space, and no other piece of a word begins with a space.
+    Texts with only such spaces are cut there, and every distinct word is encoded once: the new ones joined by spaces in long strings, whose ids
+    are cut again at the pieces that begin with a space. Other texts are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list:
-        return [tuple(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(_BLANKS.search(t)) for t in texts]
-        parts = [[t] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        if len(self._known) > CACHE:
-            self._known = {}
-        known = self._known
-        new = list(set(chain.from_iterable(p[1:] for p in parts)).difference(known))
-        known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        heads = self._encode([p[0] for p in parts])
-        return [
-            np.fromiter(chain(head, chain.from_iterable(map(known.__getitem__, p[1:])), (END,)), np.uint32)
-            for head, p in zip(heads, parts, strict=True)
-        ]
+        self._tokenizer = Tokenizer.from_file(path)
+        pieces = self._tokenizer.get_vocab(with_added_tokens=True)
+        # Byte-level vocabularies spell a space with this letter.
+        self._spaced = np.zeros(max(pieces.values()) + 1, bool)
+        self._spaced[[i for piece, i in pieces.items() if piece.startswith("\u0120")]] = True
+        self._lately: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, each after a space."""
+        # One that ends in white space would change what the pre-tokenizer does with the next.
+        alone = [w for w in words if not w or w[-1].isspace()]
+        self._lately.update(zip(alone, (x.tobytes() for x in self._encode([" " + w for w in alone])), strict=True))
+        rest = [w for w in words if w and not w[-1].isspace()]
+        for lo in range(0, len(rest), 1000):
+            part = rest[lo : lo + 1000]
+            ids = self._encode([" " + " ".join(part)])[0]
+            begin = np.flatnonzero(self._spaced[ids])
+            if len(begin) != len(part) or len(begin) and begin[0]:
+                raise ValueError("the tokenizer does not cut at spaces")
+            raw, ends = ids.tobytes(), np.append(begin[1:], len(ids)).tolist()
+            self._lately.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), ends, strict=True)), strict=True))
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        if len(self._lately) > CACHE:
+            self._before, self._lately = self._lately, {}
+        lately, before = self._lately, self._before
+        missing = [w for w in words if w not in lately]
+        lately.update((w, before[w]) for w in missing if w in before)
+        self._learn([w for w in missing if w not in before])
+        return [lately[w] for w in words]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with an end; how many each has)."""
+        whole = np.array([bool(_BLANKS.search(t)) for t in texts], bool)
+        heads = self._encode([t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole.tolist(), strict=True)])
+        # The words of the others' tails, as numbers into the distinct ones, without an object per word.
+        tails = pa.array([None if w or " " not in t else t.split(" ", 1)[1] for t, w in zip(texts, whole.tolist(), strict=True)], pa.large_string())
+        split = pc.split_pattern(tails, " ")
+        coded = pc.dictionary_encode(split.flatten())
+        own = self._ids_of(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(own), np.uint32)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        begin = np.cumsum(size) - size
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # Pieces of the result in order: per text its head, its words, and the end.
+        head = np.array([len(h) for h in heads], np.int64)
+        pool = np.concatenate([pool, *heads, np.array([END], np.uint32)])
+        parts = np.cumsum(words + 2)
+        at, n = np.empty(int(parts[-1]) if len(parts) else 0, np.int64), np.empty(int(parts[-1]) if len(parts) else 0, np.int64)
+        first = parts - words - 2
+        inner = np.ones(len(at), bool)
+        inner[first] = inner[parts - 1] = False
+        at[inner], n[inner] = begin[word], size[word]
+        at[first], n[first] = int(size.sum()) + np.cumsum(head) - head, head
+        at[parts - 1], n[parts - 1] = len(pool) - 1, 1
+        ends = np.cumsum(n)
+        tokens = pool[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - at, n)]
+        return tokens, np.add.reduceat(n, first) if len(first) else first
 
 
 def tokenizer(path: str) -> _Cached:
@@ -206,44 +258,64 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str) -> I
     encode, part = tokenizer(vocabulary), TaskContext.get().partitionId()
     files, top = _filesystem(folder)
     files.create_dir(top, recursive=True)
-    ids, held, size, seq, done = [], [], 0, 0, 0
+    ids, held, lengths, size, done = [], [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        tokens = np.concatenate(held)
-        lengths = np.array([len(t) for t in held])
-        name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tok"
+        """Write a file, and tell its ranges of documents."""
+        n = np.concatenate(lengths)
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
         with files.open_output_stream(f"{top}/{name}") as out:
-            out.write(pack(ids, lengths, tokens))
-        row = (part, seq, f"{folder}/{name}", done, len(tokens), len(ids))
-        types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        names = ["part", "seq", "path", "first_in_part", "n_tokens", "n_docs"]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+            out.write(pack(ids, n, np.concatenate(held)))
+        before = np.cumsum(n) - n
+        first = np.unique(np.searchsorted(before, np.arange(0, int(n.sum()), RANGE_TOKENS)))
+        first = np.unique(np.append(0, first[first < len(n)]))
+        last = np.append(first[1:], len(n))
+        tokens = before[first]
+        rows = {
+            "part": pa.array([part] * len(first), pa.int32()), "path": pa.array([f"{folder}/{name}"] * len(first)),
+            "first_in_part": pa.array(done + tokens), "first_doc": pa.array(first), "n_docs": pa.array(last - first),
+            "first_token": pa.array(tokens), "n_tokens": pa.array(np.append(tokens[1:], n.sum()) - tokens),
+        }
+        return pa.RecordBatch.from_pydict(rows)
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            piece = batch.slice(lo, 500)
-            for i, t in zip(piece.column(0).to_pylist(), encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
-                ids.append(i)
-                held.append(t)
-                size += len(t)
-                if size >= FILE_TOKENS:
-                    yield flush()
-                    done, seq, ids, held, size = done + size, seq + 1, [], [], 0
+        for lo, hi in _pieces(batch.column(1)):
+            piece = batch.slice(lo, hi - lo)
+            tokens, n = encode([x or "" for x in piece.column(1).to_pylist()])
+            ids += piece.column(0).to_pylist()
+            held.append(tokens)
+            lengths.append(n)
+            size += len(tokens)
+            if size >= FILE_TOKENS:
+                yield flush()
+                done, ids, held, lengths, size = done + size, [], [], [], 0
     if ids:
         yield flush()
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about CHUNK bytes at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             files, path = _filesystem(row["path"])
-            with files.open_input_stream(path) as f:
-                file = TokenFile(f.read())
-            tokens = file.tokens().astype("<u4")
-            at = np.concatenate([[0], np.cumsum(file.lengths)])
+            with files.open_input_file(path) as f:
+                file = TokenFile(f)
+                tokens = file.tokens(row["first_token"], row["first_token"] + row["n_tokens"]).astype("<u4")
+            some = slice(row["first_doc"], row["first_doc"] + row["n_docs"])
+            lengths = file.lengths[some]
+            at = np.concatenate([[0], np.cumsum(lengths)])
             crc = [zlib.crc32(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(file.ids, pa.int64()), pa.array(at[:-1] + row["first"]), pa.array(file.lengths), pa.array(crc, pa.int64())],
+                [pa.array(file.ids[some], pa.int64()), pa.array(at[:-1] + row["first"]), pa.array(lengths), pa.array(crc, pa.int64())],
                 names=["doc", "start", "n_tokens", "ids_crc32"],
             )
 
@@ -251,26 +323,29 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write token files in ascending order of ``id`` (null first) and return their stored register.
 
-    (path, first, n_tokens, n_docs) per file, ``first`` being the number of tokens in all files before. A null or
-    empty text is one end token; rows of equal ids stand in the order of their texts; an empty table
-    writes nothing. Documents are dealt out by ranges of ids; files of a lost attempt are in no register. Only a
-    total per task goes to the driver.
+    (path, first_doc, n_docs, first_token, n_tokens, first) per range of documents, about RANGE_TOKENS each, ``first`` being the number of
+    tokens in all documents before. A null or empty text is one end token; rows of equal ids stand in the order of a hash of their
+    texts; an empty table writes nothing. Documents are dealt out by ranges of ids and that hash, of which a sample goes to the driver,
+    and of texts none; files of a lost attempt are in no register. Of the files only a total per task goes to the driver.
     """
-    rows = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc"), F.col("text")).sortWithinPartitions("doc", "text")
+    rows = docs.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    dealt = rows.repartitionByRange(F.col("doc"), F.col("tie")).sortWithinPartitions("doc", "tie", "text").select("doc", "text")
     spark = docs.sparkSession
-    files = stored(dealt.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary), _FILES), "token-files")
+    files = stored(dealt.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary), _RANGES), "token-files")
     totals, before, offsets = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect(), 0, []
     for r in totals:
         offsets.append((r["part"], before))
         before += r["n"]
     offset = spark.createDataFrame(offsets, "part int, before bigint")
-    return files.join(F.broadcast(offset), "part").select("path", (F.col("before") + F.col("first_in_part")).alias("first"), "n_tokens", "n_docs")
+    place = (F.col("before") + F.col("first_in_part")).alias("first")
+    return files.join(F.broadcast(offset), "part").select("path", "first_doc", "n_docs", "first_token", "n_tokens", place)
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """(doc, start, n_tokens, ids_crc32) of every document, from the files; a file is one task's work."""
-    spread = files.select("path", "first").repartition(F.col("path"))
+    """(doc, start, n_tokens, ids_crc32) of every document: ranges of documents are read in parallel, of each file the blocks they need."""
+    shuffles = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(shuffles, math.ceil(files.count() / 64))
+    spread = files.repartition(tasks, "path", "first_doc")
     return spread.mapInArrow(_read, "doc bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
