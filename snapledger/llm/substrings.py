@@ -3,13 +3,18 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a document of smaller id, or
 earlier in its own. Suffixes are sorted where they can be equal only: each ``LENGTH``-byte window is named by the
 smallest hash among its ``GRAM``-byte strings, which depends on nothing but its content, so equal windows have
-equal names. Windows whose name occurs once in the corpus are unique and stay where they are. The others' bytes are dealt out by name and sorted there, suffixes cut at ``LENGTH`` bytes: by
+equal names. Windows whose name occurs once in the corpus are unique and stay where they are. Of the others the
+runs of windows of one name, with their bytes, are contexts. Equal contexts collapse map-side: of those that a batch of documents holds the
+earliest stays, and any other is repeated throughout, told by one range. So a passage of a third of all
+documents is a few contexts a batch, not some of every document's.
+
+Contexts are dealt out by name and sorted there, suffixes cut at ``LENGTH`` bytes: by
 multikey sort on their first 8 bytes (shallow), and then by a blind trie per group of equal prefixes (deep): the
 group's earliest suffix is the trie's path, every other hangs off it where their common prefix ends, and the
 branches are groups of their own. Suffixes that follow the path to its end repeat it.
 
-Names in more than ``CROWD`` places are counted first, combined map-side, and never dealt out by name. Of their windows only a
-128-bit digest and the place are kept: the earliest place per digest is found map-side, and every later one repeats it.
+A name that has more than ``CROWD`` contexts even so, of different surroundings, would load one task. Its contexts are cut into single
+windows, which collapse again, by digest: the earliest place of each is found map-side, and every later one repeats it.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.skew import MAX_HOT_KEYS, broadcast_hot
@@ -30,7 +36,7 @@ from .textops import chunks, constants, mix
 
 LENGTH = 100
 GRAM = 24
-CROWD = 20_000  # occurrences of a name over which its windows are matched by digest
+CROWD = 20_000  # contexts of a name, after equal ones of a batch collapsed, that one task sorts
 _C = constants(3, 21)
 
 
@@ -85,100 +91,86 @@ def ties(h: np.ndarray, name: np.ndarray) -> np.ndarray:
     return naming[1:][h[naming[1:]] == h[naming[:-1]]]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, n): how often each name occurs, per batch."""
-    for batch in batches:
-        names = [np.zeros(0, np.uint64)]
-        for _lo, _hi, data, offsets in chunks(batch.column(0)):
-            name, _, _, h, of = runs(data, offsets)
-            names += [name, h[ties(h, of)]]
-        name, n = np.unique(np.concatenate(names), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(n)], names=["name", "n"])
-
-
-def _crowded(batches: Iterator[pa.RecordBatch], crowd) -> Iterator[pa.RecordBatch]:
-    """(doc, name, crowded) of the crowded names each document has."""
-    for batch in batches:
-        ids, docs, names = batch.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for lo, _hi, data, offsets in chunks(batch.column(1)):
-            name, first, _, _, _ = runs(data, offsets)
-            held = np.isin(name, crowd.value)
-            names.append(name[held])
-            docs.append(ids[lo + np.searchsorted(offsets, first[held], "right") - 1].astype(np.int64))
-        name, doc = np.concatenate(names).astype(np.int64), np.concatenate(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.array(np.ones(len(doc), bool))], names=["doc", "name", "crowded"])
-
+def _names(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Names of runs with their documents: (bucket, names, docs, many).
 
-def _names(batches: Iterator[pa.RecordBatch], buckets: int, crowd) -> Iterator[pa.RecordBatch]:
-    """Names of every run with their documents, packed by bucket of the name; without the crowded names."""
+    A name that several runs of a batch have goes to its bucket once, marked as of many, and with all its documents to
+    bucket -1, of names already known to be common. So no bucket gets more than one entry per name and batch.
+    """
     for batch in batches:
-        ids, names, docs = batch.column(0).to_numpy(zero_copy_only=False), [], []
+        ids, names, docs = batch.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for lo, _hi, data, offsets in chunks(batch.column(1)):
             name, first, _, h, of = runs(data, offsets)
             again = ties(h, of)
             names += [name, h[again]]
             docs.append(ids[lo + np.searchsorted(offsets, np.concatenate([first, again]), "right") - 1])
         name, doc = np.concatenate(names), np.concatenate(docs).astype(np.int64)
-        alone = ~np.isin(name, crowd.value)
-        name, doc = name[alone], doc[alone]
-        bucket = (name % np.uint64(buckets)).astype(np.int64)
+        own, first, of, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        here = np.flatnonzero(count[of] > 1)
+        bucket = (own % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         at = np.searchsorted(bucket[order], np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(at))
         pieces = [order[at[b] : at[b + 1]] for b in some]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([name[p].tobytes() for p in pieces], pa.binary()), pa.array([doc[p].tobytes() for p in pieces], pa.binary())],
-            names=["bucket", "names", "docs"],
-        )
+        rows = [(int(b), own[p].tobytes(), doc[first[p]].tobytes(), (count[p] > 1).tobytes()) for b, p in zip(some, pieces, strict=True)]
+        if len(here):
+            rows.append((-1, name[here].tobytes(), doc[here].tobytes(), b""))
+        types = {"bucket": pa.int32(), "names": pa.binary(), "docs": pa.binary(), "many": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
 
 
 def _common(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc, name, crowded) of the names that occur more than once."""
-    name = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")])
-    doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
-    order = np.argsort(name)
-    name, doc = name[order], doc[order]
-    at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-    count = np.repeat(np.diff(np.append(at, len(name))), np.diff(np.append(at, len(name))))
-    more = count > 1
-    return pa.table({"doc": doc[more], "name": name[more].astype(np.int64), "crowded": count[more] > CROWD})
+    """Of one bucket: (doc, name) of the names that occur more than once, but those that a batch told by itself."""
+    name, doc, many = (
+        np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("names", np.uint64), ("docs", np.int64), ("many", bool))
+    )
+    _, of, count = np.unique(name, return_inverse=True, return_counts=True)
+    common = (count > 1)[of] & ~many
+    return pa.table({"doc": doc[common], "name": name[common].astype(np.int64)})
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for names, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(np.frombuffer(names, np.int64))], names=["doc", "name"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the runs whose names are common and not crowded: (key, doc, place, windows, bytes)."""
+    """Contexts of common names: (key, doc, place, windows, bytes), and those that an earlier one of the batch equals, without bytes."""
     for batch in batches:
-        done, out = 0, []
+        done, out, seen = 0, [], {}
         ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
         for _lo, hi, data, offsets in chunks(batch.column(1)):
             name, first, last, _, _ = runs(data, offsets)
             raw, at = data.tobytes(), np.searchsorted(first, offsets)
+            name = name.astype(np.int64)
             for i in range(hi - done):
-                wanted = {x["name"] for x in lists[done + i].as_py() if not x["crowded"]}
-                for k in range(at[i], at[i + 1]):
-                    key = int(name[k].astype(np.int64))
-                    if key in wanted:
-                        out.append((key, int(ids[done + i]), int(first[k] - offsets[i]), int(last[k] - first[k] + 1), raw[first[k] : last[k] + LENGTH]))
+                wanted = np.sort(lists[done + i].values.to_numpy(zero_copy_only=False))
+                own = name[at[i] : at[i + 1]]
+                where = np.searchsorted(wanted, own)
+                hits = at[i] + np.flatnonzero(wanted[np.minimum(where, len(wanted) - 1)] == own)
+                doc, begin = int(ids[done + i]), int(offsets[i])
+                for k, a, b in zip(name[hits].tolist(), first[hits].tolist(), last[hits].tolist(), strict=True):
+                    text, row = raw[a : b + LENGTH], (doc, a - begin, b - a + 1)
+                    before = seen.get((k, text))
+                    if before is None or row < before:
+                        seen[k, text], row = row, before
+                    if row is not None:
+                        out.append((k, *row, None))
             done = hi
+        out += [(k, *row, text) for (k, text), row in seen.items()]
         types = {"key": pa.int64(), "doc": pa.int64(), "place": pa.int32(), "n": pa.int32(), "bytes": pa.binary()}
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types.values())], names=list(types))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(high, low, doc, place) of every window of a crowded name; high and low are halves of its digest."""
+    """(high, low, doc, place) of every window of contexts; high and low are halves of its digest."""
     for batch in batches:
-        done, out = 0, []
-        ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-        for _lo, hi, data, offsets in chunks(batch.column(1)):
-            name, first, last, _, _ = runs(data, offsets)
-            raw, at = data.tobytes(), np.searchsorted(first, offsets)
-            for i in range(hi - done):
-                wanted = {x["name"] for x in lists[done + i].as_py() if x["crowded"]}
-                for k in range(at[i], at[i + 1]):
-                    if int(name[k].astype(np.int64)) in wanted:
-                        for p in range(first[k], last[k] + 1):
-                            own = hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest()
-                            out.append((*struct.unpack("<qq", own), int(ids[done + i]), int(p - offsets[i])))
-            done = hi
+        out = []
+        for doc, place, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc", "place", "n", "bytes")), strict=True):
+            for p in range(n):
+                own = hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest()
+                out.append((*struct.unpack("<qq", own), doc, place + p))
         types = {"high": pa.int64(), "low": pa.int64(), "doc": pa.int64(), "place": pa.int32()}
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types.values())], names=list(types))
 
@@ -282,7 +274,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -294,50 +286,86 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
             gone = np.cumsum(mark[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             spans = int((gone & ~np.append(False, gone[:-1])).sum())
-            out.append((doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            out.append((doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = ["doc", "n_removed", "n_spans", "kept_sha256", "kept"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
-    """(doc, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per document.
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", texts: bool = False, crowd: int = CROWD) -> DataFrame:
+    """(doc, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of ``docs``.
 
     A null text is empty; texts under LENGTH bytes lose nothing; equal texts are found first by digest, and only the
-    one of the smallest id is searched. Ids are expected once; rows of a null id are passed through whole. An empty
-    table gives no rows. ``kept`` (with ``texts``) are the remaining bytes, null where none were removed.
+    one of the smallest id is searched. Rows of equal id and text are one document, and each gets its result; different texts under one
+    id are documents of their own, in the order of their digests. Rows of a null id are passed through whole. An empty
+    table gives no rows. ``kept`` (with ``texts``) are the remaining bytes, null where none were removed. ``crowd`` bounds the
+    contexts that one task sorts for a name.
     """
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sizes = stored(rows.select("doc", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "sizes")
+    if sizes.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty():
+        out = _of_distinct(rows, sizes, crowd)
+    else:
+        out = _of_repeated(rows, sizes, crowd)
+    return out if texts else out.drop("kept")
+
+
+def _of_repeated(rows: DataFrame, sizes: DataFrame, crowd: int) -> DataFrame:
+    """The same where ids repeat: distinct pairs of id and text are numbered in order, and the numbers take the ids' place."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = sizes.where("doc is not null").select("doc", "sha", "n_bytes").distinct()
+    ordered = pairs.repartitionByRange(tasks, "doc", "sha").sortWithinPartitions("doc", "sha")
+    ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    in_range, first = F.shiftright("at", 33).alias("range"), W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ordered.groupBy(in_range).agg(F.min("at").alias("start"), F.count("*").alias("n"))  # a row per range
+    ranges = ranges.select("range", "start", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("before"))
+    number = (F.col("at") - F.col("start") + F.col("before")).alias("number")
+    numbered = stored(ordered.withColumn("range", in_range).join(F.broadcast(ranges), "range").select("doc", "sha", "n_bytes", number), "numbered")
+    own = rows.withColumn("sha", F.sha2("text", 256)).join(numbered, ["doc", "sha"]).select(F.col("number").alias("doc"), "text")
+    found = _of_distinct(own.dropDuplicates(["doc"]), numbered.select(F.col("number").alias("doc"), "n_bytes", "sha"), crowd)
+    found = found.withColumnRenamed("doc", "number").drop("n_bytes")
+    both = sizes.join(numbered.drop("n_bytes"), ["doc", "sha"], "left").join(found, "number", "left")
+    none = F.lit(0).cast("bigint")
+    return both.select(
+        "doc", "n_bytes", *(F.coalesce(c, none).alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept"
+    )
+
+
+def _of_distinct(rows: DataFrame, sizes: DataFrame, crowd: int) -> DataFrame:
+    """The same for ids that occur once, or are null."""
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = sizes.where((F.col("n_bytes") >= LENGTH) & F.col("doc").isNotNull())
     firsts = long.groupBy("sha").agg(F.min("doc").alias("first"))
     own = rows.where("doc is not null")
-    counts = own.select("text").mapInArrow(_counts, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
-    counts = stored(counts.where(F.col("n") > CROWD), "crowded")
-    crowd = spark.sparkContext.broadcast(counts.select("name").toArrow().column("name").to_numpy().astype(np.int64).view(np.uint64))
-    packed = own.mapInArrow(partial(_names, buckets=buckets, crowd=crowd), "bucket int, names binary, docs binary")
-    common = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_common, "doc bigint, name bigint, crowded boolean")
-    if len(crowd.value):
-        common = common.unionByName(own.mapInArrow(partial(_crowded, crowd=crowd), "doc bigint, name bigint, crowded boolean"))
-    lists = common.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi").groupBy("doc")
-    lists = stored(lists.agg(F.collect_set(F.struct("name", "crowded")).alias("names")), "names")
+    packed = stored(own.mapInArrow(partial(_names, buckets=buckets), "bucket int, names binary, docs binary, many binary"), "packed-names")
+    alone = packed.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_common, "doc bigint, name bigint")
+    known = packed.where("bucket < 0").select("names", "docs").mapInArrow(_known, "doc bigint, name bigint")
+    lists = alone.unionByName(known).join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi").groupBy("doc")
+    lists = stored(lists.agg(F.collect_set("name").alias("names")), "names")
     found = own.join(lists, "doc").select("doc", "text", "names")
-    contexts = found.mapInArrow(_contexts, "key bigint, doc bigint, place int, n int, bytes binary")
-    ranges = contexts.repartition(2 * buckets, "key").mapInArrow(_sorted, "doc bigint, first int, last int")
-    crowds = found.where(F.exists("names", lambda x: x["crowded"]))
-    ranges = ranges.unionByName(_later(stored(crowds.mapInArrow(_windows, "high bigint, low bigint, doc bigint, place int"), "windows")))
+    contexts = stored(found.mapInArrow(_contexts, "key bigint, doc bigint, place int, n int, bytes binary"), "contexts")
+    ranges = _ranges(contexts, 2 * buckets, crowd)
     ranges = stored(ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
     schema = "doc bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    cut = own.join(ranges, "doc").select("doc", "text", "ranges").mapInArrow(partial(_cut, texts=texts), schema)
+    cut = own.join(ranges, "doc").select("doc", "text", "ranges").mapInArrow(_cut, schema)
     copy = (F.col("first") < F.col("doc")) & (F.col("n_bytes") >= LENGTH)
     out = sizes.join(firsts, "sha", "left").join(cut, "doc", "left")
-    out = out.select(
+    return out.select(
         "doc", "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(copy, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("kept")).alias("kept"),
     )
-    return out if texts else out.drop("kept")
+
+
+def _ranges(contexts: DataFrame, tasks: int, crowd: int) -> DataFrame:
+    """(doc, first, last) of windows that stand earlier too."""
+    known = contexts.where("bytes is null").select("doc", F.col("place").alias("first"), (F.col("place") + F.col("n") - 1).alias("last"))
+    whole = contexts.where("bytes is not null")
+    crowded = stored(whole.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
+    if crowded.isEmpty():
+        return known.unionByName(whole.repartition(tasks, "key").mapInArrow(_sorted, "doc bigint, first int, last int"))
+    rest = whole.join(crowded, "key", "left_anti").repartition(tasks, "key").mapInArrow(_sorted, "doc bigint, first int, last int")
+    windows = whole.join(crowded, "key", "left_semi").mapInArrow(_windows, "high bigint, low bigint, doc bigint, place int")
+    return known.unionByName(rest).unionByName(_later(stored(windows, "windows")))
