@@ -7,10 +7,12 @@ the symbols look drawn at random from that alphabet: Pearson's chi-squared for u
 (moments exact for short strings), the number of runs across the alphabet's halves,
 and lag-one serial correlation. Their p-values are combined by Cauchy's rule.
 
-Random strings have uniform p-values; ordinary ones pile up near zero. From counts over the
-whole corpus, per encoding and length class, the share of ordinary strings among those above a
-threshold is estimated, and the smallest threshold is taken that keeps the estimate
-under ``fdr``: short strings, where the tests have less power, get a stricter one.
+Random strings have uniform p-values; ordinary ones pile up near zero. How many ordinary ones still pass a
+threshold is measured on a null: words drawn, capitalised, numbered and joined at random, of the same encoding
+and length class. A class is a mixture of the two; its random strings are those over a half beyond what the null explains. The null's share of
+the rest, held against all that pass a threshold, estimates the false discoveries, and the smallest threshold is taken that keeps
+them under ``fdr``. Short strings, where the tests have less power, get a stricter one, and a class in which no threshold will do,
+as it has ordinary strings only or too short ones, flags nothing. Strings under 20 characters are not tested.
 """
 
 from __future__ import annotations
@@ -32,8 +34,18 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABET = {"hex": 16, "base32": 32, "base64": 64}
 FDR = 0.05
 LEVEL = 0.01
-LAMBDA = 0.5
+HIGHEST = 0.9
 BINS = 100
+NULL = 5000  # strings of the null per class
+NULL_LENGTH = 1024  # their greatest length; longer strings fail the tests the more clearly
+# Fixed words of the null.
+WORDS = (
+    "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were her all she there "
+    "would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these "
+    "two may then do first any my now such like our over man me even most made after also did many before must through back years where much your "
+    "way well down should because each just those people how too little state good very make world still own see men work long get here between "
+    "both life being under never day same another know while last might us great old year off come since against go came right used take three"
+).split()
 
 SPAN = "struct<kind:int,start:int,stop:int>"
 CANDIDATES = "array<struct<start:int,stop:int,enc:string,n:int,p:double>>"
@@ -197,34 +209,76 @@ def _length_class(n: Column) -> Column:
     return F.floor(F.log2(n)).cast("int")
 
 
+def _binned(enc: Column, length: Column, p: Column) -> list[Column]:
+    return [
+        enc.alias("enc"), length.alias("class"),
+        F.greatest(F.lit(0), F.least(F.floor(p * BINS), F.lit(BINS - 1))).cast("int").alias("bin"),
+    ]
+
+
+def _ordinary(enc: Column, n: Column, seed: Column) -> Column:
+    """A string of words of about n characters, such as names in code and identifiers are, in the alphabet of an encoding."""
+    words = F.array(*[F.lit(w) for w in WORDS])
+
+    def word(i: Column) -> Column:
+        w, style = F.get(words, F.pmod(F.xxhash64(seed, i), F.lit(len(WORDS))).cast("int")), F.pmod(F.xxhash64(i, seed), F.lit(5))
+        return (
+            F.when(style == 0, F.initcap(w)).when(style == 1, F.concat(w, F.lit("_"))).when(style == 2, F.concat(w, F.lit("-")))
+            .when(style == 3, F.concat(w, F.pmod(F.xxhash64(i, seed, i), F.lit(100)).cast("string"))).otherwise(w)
+        )
+
+    joined = F.array_join(F.transform(F.sequence(F.lit(1), n), word), "")
+    own = (
+        F.when(enc == "hex", F.regexp_replace(F.lower(joined), "[^0-9a-f]", ""))
+        .when(enc == "base32", F.regexp_replace(F.upper(joined), "[^A-Z2-7]", ""))
+        .otherwise(joined)
+    )
+    return F.substring(own, F.lit(1), n)
+
+
+def null_counts(classes: DataFrame) -> DataFrame:
+    """(enc, class, bin, null): the p-values of NULL ordinary strings for each class, of the class's least length."""
+    n = F.greatest(F.lit(20), F.least(F.lit(NULL_LENGTH), F.pow(F.lit(2.0), F.col("class")))).cast("int")
+    seeds = F.explode(F.sequence(F.lit(1), F.lit(NULL))).alias("seed")
+    drawn = classes.select("enc", "class", n.alias("n"), seeds).repartition("enc", "class", "seed")
+    token = _ordinary(F.col("enc"), F.col("n"), F.col("seed"))
+    spelt = drawn.select("enc", "class", token.alias("token"))
+    spelt = spelt.select("enc", "class", F.length("token").alias("n"), F.transform(F.split("token", ""), lambda ch: _symbol(ch, F.col("enc"))).alias("symbols"))
+    size = F.when(F.col("enc") == "hex", 16.0).when(F.col("enc") == "base32", 32.0).otherwise(64.0)
+    p = _p_value(F.col("symbols"), F.col("n").cast("double"), size)
+    return spelt.select(*_binned(F.col("enc"), F.col("class"), p)).groupBy("enc", "class", "bin").agg(F.count("*").alias("null"))
+
+
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
-    """One row per encoding and length class seen: the p-value that a random string must exceed.
+    """One row per encoding and length class in which a threshold will do: the p-value that a random string must exceed.
 
-    At most three encodings times 31 classes. In a class of m strings, the random ones number about
-    2 * (1 + those with p over a half), capped at m; of the strings over a threshold t, the
-    share that is not random is then estimated, and the smallest t on a grid of hundredths
-    is taken where that is at most ``fdr`` (at least ``LEVEL``, at most ``LAMBDA``).
+    At most three encodings times 31 classes. Of m strings, with T over a half and the null's share q there, about (T - m q) / (1/2 - q)
+    are random. The others, times the null's share over t, are false discoveries at t; the smallest t on a grid of hundredths is taken (at
+    least ``LEVEL``, at most ``HIGHEST``) at which they are at most ``fdr`` of the strings over t. A null's share is never
+    taken for less than 1 / (NULL + 1), so where fewer than about one string in 250 is random, none is flagged.
     """
-    tested = scanned.select(F.explode("_candidates").alias("c")).select(
-        F.col("c.enc").alias("enc"), _length_class(F.col("c.n")).alias("class"),
-        F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"),
-    )
-    counts = tested.groupBy("enc", "class", "bin").count()
-    classes = counts.groupBy("enc", "class").agg(
-        F.sum("count").alias("m"), F.sum(F.when(F.col("bin") >= int(LAMBDA * BINS), F.col("count")).otherwise(0)).alias("high")
-    )
-    grid = F.explode(F.sequence(F.lit(max(1, int(LEVEL * BINS))), F.lit(int(LAMBDA * BINS)))).alias("t")
+    tested = scanned.select(F.explode("_candidates").alias("c"))
+    counts = tested.select(*_binned(F.col("c.enc"), _length_class(F.col("c.n")), F.col("c.p"))).groupBy("enc", "class", "bin").count()
+    counts = stored(counts, "p-values")
+    classes = counts.groupBy("enc", "class").agg(F.sum("count").alias("m"))
+    both = counts.withColumn("null", F.lit(0)).unionByName(null_counts(classes.select("enc", "class")).withColumn("count", F.lit(0)))
+    grid = F.explode(F.sequence(F.lit(max(1, int(LEVEL * BINS))), F.lit(int(HIGHEST * BINS)))).alias("t")
+    half = F.col("bin") >= BINS // 2
     over = (
         classes.select("*", grid)
-        .join(counts, ["enc", "class"])
-        .groupBy("enc", "class", "m", "high", "t")
-        .agg(F.sum(F.when(F.col("bin") >= F.col("t"), F.col("count")).otherwise(0)).alias("over"))
-    )
-    random = F.least(F.col("m").cast("double"), (1 + F.col("high")) / (1 - LAMBDA))
-    wrong = 1 - random * (1 - F.col("t") / BINS) / F.greatest(F.col("over"), F.lit(1))
-    return over.groupBy("enc", "class").agg(
-        F.coalesce(F.min(F.when(wrong <= fdr, F.col("t") / BINS)), F.lit(LAMBDA)).alias("threshold")
+        .join(both, ["enc", "class"])
+        .groupBy("enc", "class", "m", "t")
+        .agg(
+            *(F.sum(F.when(F.col("bin") >= F.col("t"), F.col(c)).otherwise(0)).alias(f"{c}_over") for c in ("count", "null")),
+            *(F.sum(F.when(half, F.col(c)).otherwise(0)).alias(f"{c}_half") for c in ("count", "null")),
+        )
     )
+    q_half, q = ((1 + F.col(c)) / (NULL + 1) for c in ("null_half", "null_over"))
+    random = F.greatest(F.lit(0.0), (F.col("count_half") - F.col("m") * q_half) / F.greatest(F.lit(0.05), 0.5 - q_half))
+    ordinary = F.greatest(F.lit(1.0), F.col("m") - random)
+    wrong = ordinary * q / F.col("count_over")
+    will_do = F.when((F.col("count_over") > 0) & (wrong <= fdr), F.col("t") / BINS)
+    return over.groupBy("enc", "class").agg(F.min(will_do).alias("threshold")).where("threshold is not null")
 
 
 def _random(limits: list) -> Column:
@@ -233,7 +287,7 @@ def _random(limits: list) -> Column:
         return _none(f"array<{SPAN}>")
     table = F.create_map(*[F.lit(x) for r in limits for x in (f"{r['enc']}{r['class']}", float(r["threshold"]))])
     key = lambda c: F.concat(c["enc"], _length_class(c["n"]).cast("string"))
-    return _spans(F.filter("_candidates", lambda c: c["p"] > F.element_at(table, key(c))), 3)
+    return _spans(F.filter("_candidates", lambda c: F.coalesce(c["p"] > F.try_element_at(table, key(c)), F.lit(False))), 3)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", fdr: float = FDR, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
