@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fingerprint import SIZE
+from .ship import ship
 from .store import stored
 
 RECORD, FRAGMENT, SPLIT = 0, 1, 2
@@ -173,6 +174,7 @@ def read_records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     Files are read once, in as many tasks as they have splits (a compressed file has one), and the records stored.
     A record or header that does not fit fails the query.
     """
+    ship(spark)
     schema = _schema(names)[0]
     lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
@@ -227,5 +229,6 @@ def _with_header(batches: Iterator[pa.RecordBatch], header: str) -> Iterator[pa.
 
 def write_records(df: DataFrame, path: str, codec: str = "none") -> None:
     """A folder of part files, each with the header; there is one also without any row."""
+    ship(df.sparkSession)
     rows = df.select(_line(df).alias("value")).mapInArrow(partial(_with_header, header=header_of(df.columns)), "value string")
     rows.write.option("lineSep", "\n").option("compression", codec).text(path)
