@@ -1,7 +1,7 @@
 """Tab-separated snapshots as records that may hold line breaks, read in parallel from files of any size.
 
 Dialect: header row, tab between fields, text in double quotes with a backslash before quotes and backslashes, numbers bare,
-null empty. Spark's text source splits plain files at line ends, and a line end may lie inside a quoted path. Each split finds out by itself
+null empty; or numbers quoted too, and then null like empty text. Spark's text source splits plain files at line ends, and a line end may lie inside a quoted path. Each split finds out by itself
 which it is: read on, the lines make a whole record, or the end of one, and only one of the two fits the dialect. Its first lines, up to
 the first record's start, and its last ones, after the last record's end, are put together with those of the splits beside it.
 
@@ -28,7 +28,7 @@ from .store import stored
 
 RECORD, FRAGMENT, SPLIT = 0, 1, 2
 _TEXT = r'"([^"\\]*(?:\\.[^"\\]*)*)"|()'
-_NUMBER = r'"?(-?\d+)"?|()'
+_NUMBER = r'("?)(-?\d+)?"?'
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _PLAIN = {"sep": "\t", "header": True, "escape": "\\", "mode": "FAILFAST", "enforceSchema": False, "multiLine": True}
 
@@ -47,11 +47,15 @@ class Dialect:
         found = self.whole.fullmatch(record)
         if not found:
             raise ValueError(f"not a record of {self.names}: {record[:200]!r}")
+        # Where numbers are quoted, nulls are too, and cannot be told from empty text.
+        all_quoted = any(n == SIZE and found[2 * i + 1] for i, n in enumerate(self.names))
         out = []
         for i, n in enumerate(self.names):
             value = found[2 * i + 1]
-            if value is not None and n == SIZE:
-                value = int(value)
+            if n == SIZE:
+                value = int(found[2 * i + 2]) if found[2 * i + 2] else None
+            elif value == "" and all_quoted:
+                value = None
             elif value is not None and "\\" in value:
                 value = _ESCAPED.sub(r"\1", value)
             out.append(value)
