@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.fingerprint import PATH, as_column
 from ..functions.paths import dirname
 from ..sources.store import stored
+from .skew import key_counts, looked_up
 
 KIND, RULE = "kind", "rule"
 BY_PATH, BY_SUFFIX = "path", "suffix"
@@ -35,9 +36,8 @@ def _lengths(rules: DataFrame, kind: str) -> list[int]:
     return sorted(r[0] for r in rules.where(F.col(KIND) == kind).select(F.length(RULE)).distinct().collect())
 
 
-def _dropped_directories(rows: DataFrame, rules: DataFrame, key: Column, boundary: bool) -> DataFrame:
-    """The directories of ``rows`` that a rule drops."""
-    own = rows.select(dirname(key).alias("directory")).where("directory is not null").distinct()
+def _dropped_directories(own: DataFrame, rules: DataFrame, boundary: bool) -> DataFrame:
+    """The directories of ``own`` that a rule drops."""
     lengths = F.array(*(F.lit(n) for n in _lengths(rules, BY_PATH)))
     directory = F.col("directory")
 
@@ -55,17 +55,30 @@ def exclude_listed(rows: DataFrame, rules: DataFrame, boundary: bool = False, ke
     """Keep the rows that no rule of a table (kind, rule) drops; kinds are ``path`` and ``suffix``.
 
     Apply it before fingerprinting: excluded content is then never hashed. Rows without a key are kept. A top-level name is in directory
-    ``.``, which no rule matches; a suffix with ``/`` never matches. Null rules and an empty table drop nothing.
+    ``.``, which no rule matches; a suffix with ``/`` never matches. Null rules and an empty table drop nothing. Distinct
+    directories and names' ends are counted and stored first; content is read once, and shuffled only where very many of them are dropped.
     """
     key, columns = as_column(key), rows.columns
     rules = normalised(rules)
     if _lengths(rules, BY_PATH):
-        dropped = _dropped_directories(rows, rules, key, boundary)
         # A top-level name has no directory that a rule could drop.
         rows = rows.withColumn("_directory", F.when(key.contains("/"), dirname(key)))
-        rows = rows.join(dropped.withColumnRenamed("directory", "_directory"), "_directory", "left_anti")
-    for n in _lengths(rules, BY_SUFFIX):
-        ends = rules.where((F.col(KIND) == BY_SUFFIX) & (F.length(RULE) == n) & ~F.col(RULE).contains("/"))
-        ends = ends.select(F.col(RULE).alias("_end"))
-        rows = rows.withColumn("_end", F.when(F.length(key) >= n, F.right(key, F.lit(n)))).join(ends, "_end", "left_anti").drop("_end")
-    return rows.select(*columns)
+        own = stored(key_counts(rows, ["_directory"]), "directories")
+        dropped = _dropped_directories(own.select(F.col("_directory").alias("directory")), rules, boundary)
+        own = own.join(dropped.select(F.col("directory").alias("_directory"), F.lit(True).alias("_dropped")), "_directory", "left")
+        rows = looked_up(rows, ["_directory"], stored(own, "verdicts"), "_dropped", key).where("_dropped is null").select(*columns)
+    lengths = _lengths(rules, BY_SUFFIX)
+    if lengths:
+        ends = F.array(*(F.struct(F.lit(n).alias("n"), _end(key, n).alias("_end")) for n in lengths))
+        ends = key_counts(rows.select(F.explode(ends).alias("end")).select("end.*"), ["n", "_end"])
+        dropped = rules.where((F.col(KIND) == BY_SUFFIX) & ~F.col(RULE).contains("/")).select(F.col(RULE).alias("_end"), F.lit(True).alias("_dropped"))
+        ends = stored(ends.join(dropped, "_end", "left"), "ends")
+        # Lengths of ends that drop something, of the few that rules have.
+        for n in sorted(r[0] for r in ends.where("_dropped").select("n").distinct().collect()):
+            own = ends.where(F.col("n") == n).drop("n")
+            rows = looked_up(rows.withColumn("_end", _end(key, n)), ["_end"], own, "_dropped", key).where("_dropped is null").select(*columns)
+    return rows
+
+
+def _end(key: Column, n: int) -> Column:
+    return F.when(F.length(key) >= n, F.right(key, F.lit(n)))
