@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import HASH, NOT_COMPUTED, PATH, SIZE
-from .skew import N_ROWS, all_equal, key_counts
+from ..sources.store import stored
+from .skew import N_ROWS, key_counts, looked_up
 
 LIST_ROWS = 100_000
 LEVELS = (SIZE, "partial_hash", "fully_hashed", "full_hash")
@@ -19,24 +20,23 @@ def group_paths(snapshot: DataFrame, keys: Sequence[str] = (HASH,), list_rows: i
 
     Columns: the keys, ``part`` (0 unless split), ``n_rows`` (of the whole group, on every part), ``paths``. Parts are
     disjoint, together hold every row's path, also repeated ones, and are dealt out by a digest of the path,
-    about ``list_rows`` each whatever the size of the snapshot. Totals are counted map-side; only those of large
-    groups are joined to the rows, by broadcast or by shuffle as their number allows.
+    about ``list_rows`` each whatever the size of the snapshot. Totals are counted map-side; those of large
+    groups are stored and joined to the rows, by broadcast or by shuffle as their number allows; no task gets a hot group's rows.
     """
     keys = list(keys)
-    large = key_counts(snapshot, keys).where(F.col(N_ROWS) > list_rows)
-    large = large.select(
-        *(F.col(k).alias(f"large_{k}") for k in keys), F.col(N_ROWS).alias("total"), F.ceil(F.col(N_ROWS) / list_rows).alias("parts")
-    )
-    rows = snapshot.select(*keys, PATH)
+    parts = F.struct(F.col(N_ROWS).alias("total"), F.ceil(F.col(N_ROWS) / list_rows).alias("parts"))
+    large = stored(key_counts(snapshot, keys).where(F.col(N_ROWS) > list_rows).withColumn("_large", parts), "large-groups")
+    rows = looked_up(snapshot.select(*keys, PATH), keys, large, "_large", PATH)
     return (
-        rows.join(large, all_equal(rows, large, [(k, f"large_{k}") for k in keys]), "left")
-        .withColumn("part", F.coalesce(F.pmod(F.xxhash64(PATH), F.col("parts")), F.lit(0).cast("long")))
-        .groupBy(*keys, "part")
+        rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64(PATH), F.col("_large.parts")), F.lit(0).cast("long")))
+        # Groups of many parts are sorted on executors; by a hash first, as the keys of a few hot groups differ in their parts only.
+        .groupBy(F.xxhash64(*keys, "part").alias("_group"), *keys, "part")
         .agg(
-            F.coalesce(F.max("total"), F.count(F.lit(1))).alias(N_ROWS),
+            F.coalesce(F.max("_large.total"), F.count(F.lit(1))).alias(N_ROWS),
             # A null path is a path too, and lists drop nulls.
             F.sort_array(F.collect_list(F.struct(PATH))).alias("paths"),
         )
+        .drop("_group")
         .withColumn("paths", F.transform("paths", lambda x: x[PATH]))
     )
 
