@@ -524,9 +524,14 @@ def _as_tree(rows: DataFrame, label: str) -> str:
         from pyarrow import fs
 
         files, top = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        made: set[str] = set()
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                files.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                if (folder := f"{top}/{path}".rsplit("/", 1)[0]) not in made:
+                    files.create_dir(folder, recursive=True)
+                    if len(made) == 10_000:
+                        made.clear()
+                    made.add(folder)
                 with files.open_output_stream(f"{top}/{path}") as out:
                     out.write(content)
         yield pa.RecordBatch.from_pydict({"done": pa.array([True])})

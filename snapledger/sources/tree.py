@@ -189,9 +189,12 @@ def list_trees(
         [(volume, root, root) for volume, root in starts.items()], f"{VOLUME} string, root string, location string"
     )
     level, directories = 0, len(starts)
+    spread = 4 * spark.sparkContext.defaultParallelism
     while directories > 0:
-        tasks = math.ceil(directories / DIRECTORIES_PER_TASK)
-        entries = frontier.repartition(tasks, VOLUME, "location").mapInArrow(_listing_task(list_one), LISTING)
+        # Few directories can hold very many files: none shares a task while there are cores.
+        tasks = max(min(directories, spread), math.ceil(directories / DIRECTORIES_PER_TASK))
+        dealt_out = frontier.repartition(tasks, VOLUME, "location") if tasks > spread else _one_each(frontier, tasks)
+        entries = dealt_out.mapInArrow(_listing_task(list_one), LISTING)
         found = Observation()
         ahead = (F.col("kind") == DIRECTORY) & (F.col("location") != F.col("root"))
         entries.observe(found, F.count_if(ahead).alias("n")).write.parquet(f"{folder}/level={level}")
@@ -202,6 +205,12 @@ def list_trees(
     return spark.read.schema(LISTING).parquet(*(f"{folder}/level={n}" for n in range(level)))
 
 
+def _one_each(frontier: DataFrame, tasks: int) -> DataFrame:
+    """At most ``DIRECTORIES_PER_TASK`` directories a task, in turn: a level of few, so that one task can number it."""
+    number = F.row_number().over(W.orderBy(VOLUME, "location")) - 1
+    return frontier.withColumn("task", F.pmod(number, F.lit(tasks))).repartitionById(tasks, "task").drop("task")
+
+
 def _plain(path: str) -> str:
     path = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
     return path.rstrip("/") or "/"

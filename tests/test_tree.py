@@ -254,3 +254,21 @@ def test_times_and_measured_rates(spark, root, rows):
     rate = scan.throughput.first()
     assert scan.seconds > 0 and rate.mb_per_second == pytest.approx(sum(map(len, files.values())) / 1e6 / scan.seconds)
     assert sl.scan_tree(spark, top, sl.SIZE_ONLY).timed.where("mtime is not null").count() == 0
+
+
+def test_few_directories_are_listed_by_a_task_each(spark, tmp_path):
+    for i in range(7):
+        (tmp_path / f"d{i}").mkdir()
+        for k in range(3):
+            (tmp_path / f"d{i}" / f"f{k}").write_text("x")
+    found = tree.list_trees(spark, {"v": str(tmp_path)}).where("kind = 'file'")
+    parts = found.groupBy(F.input_file_name()).agg(F.countDistinct(F.substring_index("location", "/", -2).substr(1, 2)).alias("n")).collect()
+    assert found.count() == 21 and len(parts) == 7 and all(r["n"] == 1 for r in parts)
+
+
+def test_more_directories_than_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "DIRECTORIES_PER_TASK", 2)
+    for i in range(60):
+        (tmp_path / f"d{i}" / "sub").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "sub" / "f").write_text("x")
+    assert tree.list_trees(spark, {"v": str(tmp_path)}).where("kind = 'file'").count() == 60
