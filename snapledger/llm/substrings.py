@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -37,6 +38,8 @@ from .textops import chunks, constants, mix
 LENGTH = 100
 GRAM = 24
 CROWD = 20_000  # contexts of a name, after equal ones of a batch collapsed, that one task sorts
+HELD = 1 << 25  # bytes of a batch whose equal contexts collapse
+ROWS = 20_000  # contexts that leave at once
 _C = constants(3, 21)
 
 
@@ -136,9 +139,14 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of common names: (key, doc, place, windows, bytes), and those that an earlier one of the batch equals, without bytes."""
+    """Contexts of common names: (key, doc, place, windows, bytes), and those that an earlier one of the batch equals, without bytes.
+
+    The bytes tell the key, so they are told apart by their digest alone. Of each different context only the place in the text is held
+    until the batch ends, or ``HELD`` bytes of it; rows leave ``ROWS`` at a time.
+    """
     for batch in batches:
-        done, out, seen = 0, [], {}
+        done, seen, texts = 0, {}, []
+        rows: list[array] = [array("q") for _ in range(7)]  # key, doc, place, windows, text, begin, end
         ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
         for _lo, hi, data, offsets in chunks(batch.column(1)):
             name, first, last, _, _ = runs(data, offsets)
@@ -151,16 +159,29 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hits = at[i] + np.flatnonzero(wanted[np.minimum(where, len(wanted) - 1)] == own)
                 doc, begin = int(ids[done + i]), int(offsets[i])
                 for k, a, b in zip(name[hits].tolist(), first[hits].tolist(), last[hits].tolist(), strict=True):
-                    text, row = raw[a : b + LENGTH], (doc, a - begin, b - a + 1)
-                    before = seen.get((k, text))
-                    if before is None or row < before:
-                        seen[k, text], row = row, before
-                    if row is not None:
-                        out.append((k, *row, None))
+                    digest, new = hashlib.blake2b(raw[a : b + LENGTH], digest_size=16).digest(), len(rows[0])
+                    for column, value in zip(rows, (k, doc, a - begin, b - a + 1, len(texts), a, b + LENGTH), strict=True):
+                        column.append(value)
+                    other = seen.setdefault(digest, new)
+                    if other != new:
+                        if (doc, a - begin) < (rows[1][other], rows[2][other]):
+                            seen[digest], new = new, other
+                        rows[4][new] = -1  # the earliest keeps its bytes
             done = hi
-        out += [(k, *row, text) for (k, text), row in seen.items()]
-        types = {"key": pa.int64(), "doc": pa.int64(), "place": pa.int32(), "n": pa.int32(), "bytes": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types.values())], names=list(types))
+            texts.append(raw)
+            if sum(map(len, texts)) > HELD:
+                yield from _context_rows(rows, texts)
+                seen, texts, rows = {}, [], [array("q") for _ in rows]
+        yield from _context_rows(rows, texts)
+
+
+def _context_rows(rows: list[array], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    key, doc, place, n, text, begin, end = (np.frombuffer(x, np.int64) for x in rows)
+    for lo in range(0, len(key), ROWS):
+        some = slice(lo, lo + ROWS)
+        own = [texts[t][a:b] if t >= 0 else None for t, a, b in zip(text[some].tolist(), begin[some].tolist(), end[some].tolist(), strict=True)]
+        columns = [pa.array(key[some]), pa.array(doc[some]), pa.array(place[some].astype(np.int32)), pa.array(n[some].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.binary())], names=["key", "doc", "place", "n", "bytes"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
