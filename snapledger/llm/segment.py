@@ -132,11 +132,12 @@ class Vocabulary:
         self.within, self.step, self.last, self.id, self.logp = (a[: self._edges] for a in self._room)
         self.first = self._first[: self.states + 1]
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+    def edges(self, words: list[str], special: list[list[int]] | None = None) -> tuple[np.ndarray, ...]:
         """(source, characters, piece, log-probability) of all pieces in words, by source, the longest first; sources number the characters.
 
-        A character without a piece is one edge, spelt in bytes, and has a negative number for a piece.
+        A character without a piece is one edge, spelt in bytes, and has a negative number for a piece; ``special``, or that of the lattices, gets its bytes.
         """
+        special = self.special if special is None else special
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         size = np.fromiter(map(len, words), np.int64, len(words))
         left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))
@@ -159,8 +160,8 @@ class Vocabulary:
                 single[at[whole]] = True
         for i in np.flatnonzero(~single):
             raw = (SPACE if chr(codes[i]) == MARK else chr(codes[i])).encode()
-            self.special.append([self.bytes[b] for b in raw])
-            found.append((np.array([i]), np.array([1], np.int32), np.array([-len(self.special)], np.int32), np.array([self.byte_cost * len(raw)])))
+            special.append([self.bytes[b] for b in raw])
+            found.append((np.array([i]), np.array([1], np.int32), np.array([-len(special)], np.int32), np.array([self.byte_cost * len(raw)])))
         source, n, piece, cost = (np.concatenate(x) for x in zip(*reversed(found), strict=True))
         order = np.argsort(source, kind="stable")
         return source[order], n[order], piece[order], cost[order], left
@@ -212,7 +213,8 @@ class Vocabulary:
 
     def best(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """The likeliest pieces of each word, the longest first among equals, and the sums of their log-probabilities."""
-        source, n, piece, cost, left = self.edges(words)
+        special: list[list[int]] = []  # not that of the lattices kept, which number theirs
+        source, n, piece, cost, left = self.edges(words, special)
         reach, choice = np.zeros(len(left) + 1), np.zeros(len(left), np.int64)
         for e in _from_the_end(source, left):
             src = source[e]
@@ -232,17 +234,17 @@ class Vocabulary:
         word, ids = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         order = np.argsort(word, kind="stable")
         cuts = np.cumsum(np.bincount(word, minlength=len(words)))[:-1]
-        return [self._as_ids(x) for x in np.split(ids[order], cuts)], reach[begin]
+        return [self._as_ids(x, special) for x in np.split(ids[order], cuts)], reach[begin]
 
     def spelt(self, edges: np.ndarray) -> np.ndarray:
-        return self._as_ids(self.id[edges])
+        return self._as_ids(self.id[edges], self.special)
 
-    def _as_ids(self, ids: np.ndarray) -> np.ndarray:
+    def _as_ids(self, ids: np.ndarray, special: list[list[int]]) -> np.ndarray:
         """Pieces, with characters that have none spelt in bytes."""
         low = np.flatnonzero(ids < 0)
         if not len(low):
             return ids
-        parts = [self.special[-i - 1] for i in ids[low]]
+        parts = [special[-i - 1] for i in ids[low]]
         size = np.ones(len(ids), np.int64)
         size[low] = [len(x) for x in parts]
         out = np.repeat(ids, size)
@@ -465,7 +467,6 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 [piece.column(0), pa.array([len(x) for x in lists], pa.int32()), pa.array(total), pa.array(lists, pa.list_(pa.int32()))],
                 names=["doc", "n_pieces", "log_prob", "ids"],
             )
-            v.special.clear()
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from snapledger.llm import queries, segment
 
@@ -61,6 +62,18 @@ def test_encoding_comes_back(spark, docs, texts, nothing):
     assert all(len(r.ids) >= 1 for r in drawn) and all(likeliest[r.doc] <= 0 for r in drawn)
 
 
+def test_encoding_leaves_the_lattices_of_sampling_alone(v):
+    """Both spell characters without a piece in bytes; a worker process serves both."""
+    text, keys = "a 😀 b 🚀", np.array([5], np.uint64)
+    v.reset()
+    want = [x[3].tolist() for x in segment.sample(v, [text], keys, 2)[0]]
+    batch = pa.RecordBatch.from_pydict({"doc": [1], "text": ["🐍 other 💧"]})
+    (found,) = segment._encode(iter([batch]), MODEL)
+    assert v.decode(found.column("ids")[0].as_py()) == "🐍 other 💧"
+    again = segment.sample(segment.vocabulary(MODEL), [text], keys, 2)[0]
+    assert [x[3].tolist() for x in again] == want and all(v.decode(ids) == text for ids in want)
+
+
 def test_results_do_not_depend_on_neighbours(v):
     texts = ["one two three", "ein, zwei, drei ö\U0001f600", "x" * 300]
     keys = np.array([5, 6, 7], np.uint64)
