@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +41,10 @@ GRAM = 24
 CROWD = 20_000  # contexts of a name, after equal ones of a batch collapsed, that one task sorts
 HELD = 1 << 25  # bytes of a batch whose equal contexts collapse
 ROWS = 20_000  # contexts that leave at once
+PIECE = 1 << 19  # bytes of text whose windows are named at once, which takes about 60 times as many; a longer document is by itself
+SORTED = 1 << 19  # windows of whole names that are sorted at once; the windows of one name are sorted together
+NAMED = 1 << 23  # bytes of a batch whose names are told at once
+CUT = 1000  # documents that are cut at once
 _C = constants(3, 21)
 
 
@@ -97,29 +102,36 @@ def ties(h: np.ndarray, name: np.ndarray) -> np.ndarray:
 def _names(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Names of runs with their documents: (bucket, names, docs, many).
 
-    A name that several runs of a batch have goes to its bucket once, marked as of many, and with all its documents to
-    bucket -1, of names already known to be common. So no bucket gets more than one entry per name and batch.
+    A name that several runs of a batch, or of ``NAMED`` bytes of it, have goes to its bucket once, marked as of many, and with all its
+    documents to bucket -1, of names already known to be common. So no bucket gets more than one entry per name and NAMED bytes.
     """
     for batch in batches:
-        ids, names, docs = batch.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for lo, _hi, data, offsets in chunks(batch.column(1)):
+        ids, names, docs, size = batch.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for lo, _hi, data, offsets in chunks(batch.column(1), PIECE):
             name, first, _, h, of = runs(data, offsets)
             again = ties(h, of)
             names += [name, h[again]]
             docs.append(ids[lo + np.searchsorted(offsets, np.concatenate([first, again]), "right") - 1])
-        name, doc = np.concatenate(names), np.concatenate(docs).astype(np.int64)
-        own, first, of, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-        here = np.flatnonzero(count[of] > 1)
-        bucket = (own % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(at))
-        pieces = [order[at[b] : at[b + 1]] for b in some]
-        rows = [(int(b), own[p].tobytes(), doc[first[p]].tobytes(), (count[p] > 1).tobytes()) for b, p in zip(some, pieces, strict=True)]
-        if len(here):
-            rows.append((-1, name[here].tobytes(), doc[here].tobytes(), b""))
-        types = {"bucket": pa.int32(), "names": pa.binary(), "docs": pa.binary(), "many": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
+            size += len(data)
+            if size > NAMED:
+                yield _name_rows(np.concatenate(names), np.concatenate(docs).astype(np.int64), buckets)
+                names, docs, size = names[:1], docs[:1], 0
+        yield _name_rows(np.concatenate(names), np.concatenate(docs).astype(np.int64), buckets)
+
+
+def _name_rows(name: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
+    own, first, of, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    here = np.flatnonzero(count[of] > 1)
+    bucket = (own % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(at))
+    pieces = [order[at[b] : at[b + 1]] for b in some]
+    rows = [(int(b), own[p].tobytes(), doc[first[p]].tobytes(), (count[p] > 1).tobytes()) for b, p in zip(some, pieces, strict=True)]
+    if len(here):
+        rows.append((-1, name[here].tobytes(), doc[here].tobytes(), b""))
+    types = {"bucket": pa.int32(), "names": pa.binary(), "docs": pa.binary(), "many": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
 
 
 def _common(table: pa.Table) -> pa.Table:
@@ -141,16 +153,18 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of common names: (key, doc, place, windows, bytes), and those that an earlier one of the batch equals, without bytes.
 
-    The bytes tell the key, so they are told apart by their digest alone. Of each different context only the place in the text is held
-    until the batch ends, or ``HELD`` bytes of it; rows leave ``ROWS`` at a time.
+    The bytes tell the key, so they are told apart by their digest alone. Of each different context only the place in the batch's own text
+    is held until the batch ends, or ``HELD`` bytes of it; rows leave ``ROWS`` at a time.
     """
     for batch in batches:
-        done, seen, texts = 0, {}, []
-        rows: list[array] = [array("q") for _ in range(7)]  # key, doc, place, windows, text, begin, end
-        ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-        for _lo, hi, data, offsets in chunks(batch.column(1)):
+        done, seen, since = 0, {}, 0
+        rows: list[array] = [array("q") for _ in range(6)]  # key, doc, place, windows, begin (-1: without bytes), end
+        ids, lists, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+        raw = memoryview(text.buffers()[2] or b"")
+        base = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1 + text.offset)[text.offset :]
+        for lo, hi, data, offsets in chunks(text, PIECE):
             name, first, last, _, _ = runs(data, offsets)
-            raw, at = data.tobytes(), np.searchsorted(first, offsets)
+            at, ahead = np.searchsorted(first, offsets), int(base[lo])
             name = name.astype(np.int64)
             for i in range(hi - done):
                 wanted = np.sort(lists[done + i].values.to_numpy(zero_copy_only=False))
@@ -159,8 +173,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hits = at[i] + np.flatnonzero(wanted[np.minimum(where, len(wanted) - 1)] == own)
                 doc, begin = int(ids[done + i]), int(offsets[i])
                 for k, a, b in zip(name[hits].tolist(), first[hits].tolist(), last[hits].tolist(), strict=True):
-                    digest, new = hashlib.blake2b(raw[a : b + LENGTH], digest_size=16).digest(), len(rows[0])
-                    for column, value in zip(rows, (k, doc, a - begin, b - a + 1, len(texts), a, b + LENGTH), strict=True):
+                    digest, new = hashlib.blake2b(raw[ahead + a : ahead + b + LENGTH], digest_size=16).digest(), len(rows[0])
+                    for column, value in zip(rows, (k, doc, a - begin, b - a + 1, ahead + a, ahead + b + LENGTH), strict=True):
                         column.append(value)
                     other = seen.setdefault(digest, new)
                     if other != new:
@@ -168,18 +182,17 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             seen[digest], new = new, other
                         rows[4][new] = -1  # the earliest keeps its bytes
             done = hi
-            texts.append(raw)
-            if sum(map(len, texts)) > HELD:
-                yield from _context_rows(rows, texts)
-                seen, texts, rows = {}, [], [array("q") for _ in rows]
-        yield from _context_rows(rows, texts)
+            if int(base[hi]) - since > HELD:
+                yield from _context_rows(rows, raw)
+                seen, since, rows = {}, int(base[hi]), [array("q") for _ in rows]
+        yield from _context_rows(rows, raw)
 
 
-def _context_rows(rows: list[array], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-    key, doc, place, n, text, begin, end = (np.frombuffer(x, np.int64) for x in rows)
+def _context_rows(rows: list[array], raw: memoryview) -> Iterator[pa.RecordBatch]:
+    key, doc, place, n, begin, end = (np.frombuffer(x, np.int64) for x in rows)
     for lo in range(0, len(key), ROWS):
         some = slice(lo, lo + ROWS)
-        own = [texts[t][a:b] if t >= 0 else None for t, a, b in zip(text[some].tolist(), begin[some].tolist(), end[some].tolist(), strict=True)]
+        own = [raw[a:b].tobytes() if a >= 0 else None for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
         columns = [pa.array(key[some]), pa.array(doc[some]), pa.array(place[some].astype(np.int32)), pa.array(n[some].astype(np.int32))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.binary())], names=["key", "doc", "place", "n", "bytes"])
 
@@ -269,11 +282,10 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held).sort_by([("key", "ascending")])
     keys = table.column("key").to_numpy()
     edges = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    windows = np.append(0, np.cumsum(table.column("n").to_numpy(), dtype=np.int64))[edges]  # before each key
     lo = 0
     while lo < len(edges) - 1:  # some keys at a time, so that memory is bounded by the largest of them
-        hi = lo + 1
-        while hi < len(edges) - 1 and edges[hi + 1] - edges[lo] <= 20_000:
-            hi += 1
+        hi = max(lo + 1, int(np.searchsorted(windows, windows[lo] + SORTED, "right")) - 1)
         part = table.slice(edges[lo], edges[hi] - edges[lo]).sort_by([("doc", "ascending"), ("place", "ascending")]).combine_chunks()
         lo = hi
         n, key = part.column("n").to_numpy(), part.column("key").to_numpy()
@@ -295,8 +307,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(lo, CUT) for b in batches for lo in range(0, b.num_rows, CUT)):
         out = []
         for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = (text or "").encode()
@@ -307,7 +319,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.cumsum(mark[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             spans = int((gone & ~np.append(False, gone[:-1])).sum())
-            out.append((doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = ["doc", "n_removed", "n_spans", "kept_sha256", "kept"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
@@ -325,13 +337,13 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", text
     rows = docs.select(F.col(id).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sizes = stored(rows.select("doc", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "sizes")
     if sizes.where("doc is not null").groupBy("doc").count().where("count > 1").isEmpty():
-        out = _of_distinct(rows, sizes, crowd)
+        out = _of_distinct(rows, sizes, crowd, texts)
     else:
-        out = _of_repeated(rows, sizes, crowd)
+        out = _of_repeated(rows, sizes, crowd, texts)
     return out if texts else out.drop("kept")
 
 
-def _of_repeated(rows: DataFrame, sizes: DataFrame, crowd: int) -> DataFrame:
+def _of_repeated(rows: DataFrame, sizes: DataFrame, crowd: int, texts: bool) -> DataFrame:
     """The same where ids repeat: distinct pairs of id and text are numbered in order, and the numbers take the ids' place."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = sizes.where("doc is not null").select("doc", "sha", "n_bytes").distinct()
@@ -343,7 +355,7 @@ def _of_repeated(rows: DataFrame, sizes: DataFrame, crowd: int) -> DataFrame:
     number = (F.col("at") - F.col("start") + F.col("before")).alias("number")
     numbered = stored(ordered.withColumn("range", in_range).join(F.broadcast(ranges), "range").select("doc", "sha", "n_bytes", number), "numbered")
     own = rows.withColumn("sha", F.sha2("text", 256)).join(numbered, ["doc", "sha"]).select(F.col("number").alias("doc"), "text")
-    found = _of_distinct(own.dropDuplicates(["doc"]), numbered.select(F.col("number").alias("doc"), "n_bytes", "sha"), crowd)
+    found = _of_distinct(own.dropDuplicates(["doc"]), numbered.select(F.col("number").alias("doc"), "n_bytes", "sha"), crowd, texts)
     found = found.withColumnRenamed("doc", "number").drop("n_bytes")
     both = sizes.join(numbered.drop("n_bytes"), ["doc", "sha"], "left").join(found, "number", "left")
     none = F.lit(0).cast("bigint")
@@ -352,7 +364,7 @@ def _of_repeated(rows: DataFrame, sizes: DataFrame, crowd: int) -> DataFrame:
     )
 
 
-def _of_distinct(rows: DataFrame, sizes: DataFrame, crowd: int) -> DataFrame:
+def _of_distinct(rows: DataFrame, sizes: DataFrame, crowd: int, texts: bool) -> DataFrame:
     """The same for ids that occur once, or are null."""
     buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = sizes.where((F.col("n_bytes") >= LENGTH) & F.col("doc").isNotNull())
@@ -368,7 +380,7 @@ def _of_distinct(rows: DataFrame, sizes: DataFrame, crowd: int) -> DataFrame:
     ranges = _ranges(contexts, 2 * buckets, crowd)
     ranges = stored(ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
     schema = "doc bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    cut = own.join(ranges, "doc").select("doc", "text", "ranges").mapInArrow(_cut, schema)
+    cut = own.join(ranges, "doc").select("doc", "text", "ranges").mapInArrow(partial(_cut, texts=texts), schema)
     copy = (F.col("first") < F.col("doc")) & (F.col("n_bytes") >= LENGTH)
     out = sizes.join(firsts, "sha", "left").join(cut, "doc", "left")
     return out.select(
