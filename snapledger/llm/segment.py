@@ -118,6 +118,7 @@ class Vocabulary:
         self.byte_cost = -ALPHA * math.log(len(plain) + 2)
         spelt = {i: bytes([b]) for b, i in self.bytes.items()}
         self._raw = [spelt.get(i, piece.replace(SPACE, " ").encode()) for i, piece in enumerate(self.pieces)]
+        self._spelt = pa.array(self._raw, pa.large_binary())
         self.reset()
 
     def reset(self) -> None:
@@ -206,7 +207,8 @@ class Vocabulary:
         self._view()
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        """The first nodes of distinct words."""
+        new = [w for w in words if w not in self.known]
         if new:
             self.add(new)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -233,23 +235,33 @@ class Vocabulary:
             word, at = word[on], at[on] + n[e[on]]
         word, ids = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         order = np.argsort(word, kind="stable")
-        cuts = np.cumsum(np.bincount(word, minlength=len(words)))[:-1]
-        return [self._as_ids(x, special) for x in np.split(ids[order], cuts)], reach[begin]
+        out, cuts = self._as_ids(ids[order], special, np.append(0, np.cumsum(np.bincount(word, minlength=len(words)))))
+        return [out[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], reach[begin]
 
-    def spelt(self, edges: np.ndarray) -> np.ndarray:
-        return self._as_ids(self.id[edges], self.special)
+    def spelt(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The pieces of paths of edges."""
+        ids, cuts = self.id[np.concatenate([np.zeros(0, np.int64), *paths])], np.cumsum([0, *map(len, paths)])
+        out, cuts = self._as_ids(ids, self.special, cuts)
+        return [out[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
-    def _as_ids(self, ids: np.ndarray, special: list[list[int]]) -> np.ndarray:
-        """Pieces, with characters that have none spelt in bytes."""
+    def _as_ids(self, ids: np.ndarray, special: list[list[int]], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces, with characters that have none spelt in bytes, and where the cuts between them are then."""
         low = np.flatnonzero(ids < 0)
         if not len(low):
-            return ids
-        parts = [special[-i - 1] for i in ids[low]]
+            return ids, cuts
+        parts = [special[-i - 1] for i in ids[low].tolist()]
         size = np.ones(len(ids), np.int64)
         size[low] = [len(x) for x in parts]
         out = np.repeat(ids, size)
         out[np.repeat(ids < 0, size)] = np.fromiter(chain.from_iterable(parts), np.int32)
-        return out
+        return out, np.append(0, np.cumsum(size))[cuts]
+
+    def decodes(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The texts of segmentations that stand one after another in ids."""
+        found = self._spelt.take(pa.array(ids))
+        at = np.frombuffer(found.buffers()[1], np.int64)[cuts].tolist()
+        raw = memoryview(found.buffers()[2] or b"")
+        return [str(raw[a + 1 : b], "utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; byte pieces are put together again."""
@@ -273,6 +285,22 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(marked.replace(" ", SPACE))
 
 
+def _nodes(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the first nodes of all. Most texts are cut and their words numbered without an object a word."""
+    even = np.array([not (SPACE in t or "  " in t or t.startswith(" ")) for t in texts], bool)  # one space before each word, and no mark
+    split = pc.split_pattern(pa.array([t for t, e in zip(texts, even, strict=True) if e], pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    odd = [words_of(t) for t, e in zip(texts, even, strict=True) if not e]
+    n = np.zeros(len(texts), np.int64)
+    n[even], n[~even] = pc.list_value_length(split).to_numpy(), [len(ws) for ws in odd]
+    distinct = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+    distinct = distinct.to_numpy(zero_copy_only=False).tolist()
+    nodes = v.look_up([*distinct, *chain.from_iterable(odd)])
+    base, own = np.empty(int(n.sum()), np.int64), np.repeat(even, n)
+    base[own], base[~own] = nodes[coded.indices.to_numpy(zero_copy_only=False)], nodes[len(distinct) :]
+    return n, base
+
+
 def _mixed(x: np.ndarray, part) -> np.ndarray:
     """Keys made of keys and of numbers."""
     return mix(x ^ (np.atleast_1d(part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)))
@@ -343,9 +371,7 @@ def sample(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[li
     """Per text, up to k of (log-probability, perturbed value, log of the inclusion score, ids), the largest first."""
     if v._edges > CACHE:
         v.reset()
-    split = [words_of(t) for t in texts]
-    n = np.array([len(w) for w in split])
-    base = v.look_up([w for ws in split for w in ws])
+    n, base = _nodes(v, texts)
     start = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(texts)), n)
     word = np.arange(len(base)) - start[:-1][doc]
@@ -363,22 +389,22 @@ def sample(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[li
             a, b = cut[i], cut[i + 1]
             leaves[i].append(
                 {"edges": np.concatenate([prefix[i][0], e[a:b]]), "words": np.concatenate([prefix[i][1], w[a:b]]), "from": len(prefix[i][0]),
-                 "bound": bound[a:b].copy(), "states": s[a:b], "logp": before[i] + float(v.logp[e[a:b]].sum()), "value": value[i], "out": {}}
+                 "bound": bound[a:b].copy(), "most": float(bound[a:b].max(initial=-np.inf)), "states": s[a:b], "logp": before[i] + float(v.logp[e[a:b]].sum()), "value": value[i], "out": {}}
             )
         parts = []
         for i in np.flatnonzero(alive):
-            best = max(leaves[i], key=lambda leaf: leaf["bound"].max(initial=-np.inf))
-            if not best["bound"].max(initial=-np.inf) > -np.inf:
+            best = max(leaves[i], key=lambda leaf: leaf["most"])
+            if not best["most"] > -np.inf:
                 alive[i] = False
                 continue
             if r == k - 1:
                 continue
             parts.append(_branch(v, keys, i, r, best, start, base, before, value, prefix))
         todo = tuple(np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in range(3))
-    out = []
+    spelt, out = iter(v.spelt([x["edges"] for own in leaves for x in own])), []
     for own in leaves:
-        left = max((leaf["bound"].max(initial=-np.inf) for leaf in own), default=-np.inf)
-        out.append([(x["logp"], x["value"], _log_inclusion(x["logp"] - left), v.spelt(x["edges"])) for x in own])
+        left = max((leaf["most"] for leaf in own), default=-np.inf)
+        out.append([(x["logp"], x["value"], _log_inclusion(x["logp"] - left), next(spelt)) for x in own])
     return out
 
 
@@ -407,6 +433,7 @@ def _branch(v, keys, i, r, leaf, start, base, before, value, prefix) -> tuple:
         leaf["bound"][j] = mass - math.log(math.exp(min(700, mass - top)) + noise)
     else:
         leaf["bound"][j] = -np.inf
+    leaf["most"] = float(leaf["bound"].max())
     w = int(leaf["words"][place])
     prefix[i] = (np.append(leaf["edges"][:place], edge), np.append(leaf["words"][:place], w))
     before[i], value[i] = ahead + v.logp[edge], top
@@ -430,10 +457,14 @@ def _segment(batches: Iterator[pa.RecordBatch], path: str, k: int, seed: int, ch
             rows = []
             for i, text, found in zip(ids, texts, sample(v, texts, keys, k), strict=True):
                 for nth, (logp, value, score, pieces) in enumerate(found):
-                    rows.append((i, nth, len(pieces), logp, value, score, pieces, v.decode(pieces.tolist()) == text if check else None))
+                    rows.append((i, nth, len(pieces), logp, value, score, pieces, text))
+            own, cuts = np.concatenate([r[6] for r in rows]), np.cumsum([0, *(r[2] for r in rows)])
+            back = [a == r[7] for a, r in zip(v.decodes(own, cuts), rows, strict=True)] if check else [None] * len(rows)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own, pa.int32()))
             types = {"doc": pa.int64(), "sample": pa.int32(), "n_pieces": pa.int32(), "log_prob": pa.float64(), "perturbed": pa.float64(),
-                     "log_inclusion": pa.float64(), "ids": pa.list_(pa.int32()), "decoded": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], t) for x, t in enumerate(types.values())], names=list(types))
+                     "log_inclusion": pa.float64()}
+            columns = [pa.array([r[x] for r in rows], t) for x, t in enumerate(types.values())]
+            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(back, pa.bool_())], names=[*types, "ids", "decoded"])
 
 
 def segmentations(

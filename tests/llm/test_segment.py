@@ -101,3 +101,36 @@ def test_query(spark, testdata):
     ids = [r.doc_id for r in spark.read.parquet(f"{testdata}/sf0.001/documents.parquet").select("doc_id").collect()]
     assert {r.doc_id for r in rows} == set(ids) and all(r.decoded for r in rows)
     assert {(r.doc_id, r["sample"]) for r in rows} >= {(i, 0) for i in ids}
+
+
+def test_words_of_a_batch_are_numbered_once(v, monkeypatch):
+    """No object a word: ordinary texts' words reach the lattices as the distinct ones, and others as ``words_of`` cuts them."""
+    rng = np.random.default_rng(2)
+    texts = ["", " ", "a", " a", "a ", "a  b", "▁", "a ▁ b", "a▁b c", "tab\tand\nline", "ü 😀 ü", "  x", "x\x00y x\x00y"]
+    texts += ["".join(rng.choice(list("ab é▁\n"), 30)) for _ in range(60)] + ["same words same words " * 50 + "end"]
+    asked, look_up = [], v.look_up
+    monkeypatch.setattr(v, "look_up", lambda words: (asked.extend(words), look_up(words))[1], raising=False)
+    v.reset()
+    split = [segment.words_of(t) for t in texts]
+    n, nodes = segment._nodes(v, texts)
+    assert n.tolist() == [len(ws) for ws in split]
+    assert nodes.tolist() == [v.known[w] for ws in split for w in ws]
+    assert asked.count("▁same") == 1 and set(asked) == {w for ws in split for w in ws}
+    assert [x.tolist() for x in segment._nodes(v, [])] == [[], []]
+
+
+def test_pieces_and_texts_of_many_at_once(v):
+    texts = ["plain words", "😀", "", "a 🚀 b �", "▁x", "last"]
+    v.reset()
+    found = segment.sample(v, texts, np.arange(len(texts), dtype=np.uint64), 3)
+    paths = [x[3] for own in found for x in own]
+    assert all(v.decode(p.tolist()) == t for t, own in zip(texts, found, strict=True) for *_, p in own)
+    cuts = np.cumsum([0, *map(len, paths)])
+    assert v.decodes(np.concatenate(paths), cuts) == [t for t, own in zip(texts, found, strict=True) for _ in own]
+    assert v.decodes(np.array([], np.int32), np.array([0])) == []
+    batch = pa.RecordBatch.from_arrays([pa.array([3, None, 3, 4]), pa.array(["a 😀", None, "a 😀", "▁ b"])], names=["doc", "text"])
+    (out,) = segment._segment(iter([batch]), MODEL, 2, 0, True)
+    rows = out.to_pylist()
+    assert all(r["decoded"] and r["n_pieces"] == len(r["ids"]) for r in rows) and [r["doc"] for r in rows] == [3, 3, None, 3, 3, 4, 4]
+    (bare,) = segment._segment(iter([batch]), MODEL, 2, 0, False)
+    assert bare.column("decoded").null_count == len(rows) and bare.column("ids") == out.column("ids")
